@@ -17,12 +17,7 @@ from citeloom.checks.inputs import (
 from citeloom.checks.registry import Tables, query
 from citeloom.functions.html import cite_extract, html_paragraphs, inner_text
 from citeloom.functions.markup import ref_rewrite, ref_strip, template_to_cite
-from citeloom.functions.sentences import (
-    marked_index,
-    marked_pieces,
-    sentence_from_pieces,
-    sentence_lookbehind,
-)
+from citeloom.functions.sentences import sentence_lookbehind
 from citeloom.functions.text import claim_clean, prompt_build, topic_text_clean, whitespace_collapse
 from citeloom.functions.uris import absolute_uri
 from citeloom.operators.cites import (
@@ -31,6 +26,7 @@ from citeloom.operators.cites import (
     explode_paragraphs,
     extract_citations,
     locate_sentences,
+    sentence_found,
 )
 from citeloom.operators.filters import clean_markup
 from citeloom.operators.support import split_claims
@@ -115,7 +111,8 @@ FROM w""",
 def _(t):
     pieces = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)
     rows = t.documents.select("doc_id", pieces.alias("l")).select("doc_id", "l", F.posexplode("l").alias("i", "_"))
-    return rows.select("doc_id", F.col("i").cast("bigint").alias("piece_no"), sentence_lookbehind(F.col("l"), F.col("i")).alias("sentence"))
+    so_far = F.array_join(F.slice("l", F.lit(1), F.col("i") + 1), ". ")
+    return rows.select("doc_id", F.col("i").cast("bigint").alias("piece_no"), sentence_lookbehind(so_far).alias("sentence"))
 
 
 @query(
@@ -128,8 +125,8 @@ def _(t):
     # Look for the first line's URI in every paragraph: most do not hold it.
     paragraphs = explode_paragraphs(article_html(t), "html", from_markup=True)
     first = F.concat(F.lit("https://ex.org/"), F.col("article_id"), F.lit("/0"))
-    tried = locate_sentences(paragraphs.select("article_id", "para_no", inner_text(F.col("html")).alias("paragraph"), first.alias("uri")))
-    return tried.where("sentence is not null").select("article_id", F.col("para_no").cast("bigint").alias("para_no"))
+    tried = paragraphs.select("article_id", "para_no", inner_text(F.col("html")).alias("paragraph"), first.alias("uri"))
+    return locate_sentences(sentence_found(tried)).where("sentence is not null").select("article_id", F.col("para_no").cast("bigint").alias("para_no"))
 
 
 @query("cited_articles", f"WITH {CITES_SQL} SELECT DISTINCT doc_id AS article_id FROM cites")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.uris import absolute_uri
 
 # Inline reference with a plain body; any left-over reference tag.
-INLINE_REF = r"(?i)<ref[^>]*?>([^<]*?)</ref>"
+INLINE_REF = r"(?i)<ref[^>]*+>[^<]*+</ref>"
 REF_TAG = r"(?i)<\s*/?\s*ref(\s+[^>]*?)?>"
 
 # Citation templates and the argument that becomes the <cite> text.
@@ -43,15 +43,16 @@ def ref_rewrite(markup: Column) -> Column:
     reference is rewritten, and both lists are joined again.
     """
     between = F.split(markup, INLINE_REF, -1)
-    whole = F.regexp_extract_all(markup, F.lit(INLINE_REF), F.lit(0))
-    bodies = F.regexp_extract_all(markup, F.lit(INLINE_REF), F.lit(1))
-    rewritten = F.zip_with(
-        whole,
-        bodies,
-        lambda ref, body: F.coalesce(F.concat(F.lit("{{Cite web |url="), _first_url(body), F.lit("}}")), ref),
+    refs = F.regexp_extract_all(markup, F.lit(INLINE_REF), F.lit(0))
+
+    def rewrite(ref: Column) -> Column:
+        body = F.left(F.substr(ref, F.instr(ref, ">") + 1), F.length(ref) - F.instr(ref, ">") - len("</ref>"))
+        return F.coalesce(F.concat(F.lit("{{Cite web |url="), _first_url(body), F.lit("}}")), ref)
+
+    rejoined = F.array_join(
+        F.zip_with(between, refs, lambda text, ref: F.concat(text, F.coalesce(rewrite(ref), F.lit("")))), ""
     )
-    rejoined = F.array_join(F.zip_with(between, rewritten, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    # Most paragraphs hold no reference; skip the list work for them.
+    # Many texts hold no reference; skip the list work for them.
     return F.when(F.rlike(markup, F.lit(INLINE_REF)), rejoined).otherwise(markup)
 
 

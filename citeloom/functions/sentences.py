@@ -1,9 +1,12 @@
 """Which sentence of a paragraph does a citation support?
 
 The cited URI is swapped for a one-character marker and the paragraph is cut at
-``". "``. The first piece that holds the marker decides: if the marker opens the
-piece, the citation trails the text before it, so the look-behind is taken;
-otherwise the piece itself.
+``". "``. The piece with the first marker decides: if the marker opens the piece, the
+citation trails the text before it, and that text is taken from its end (look-behind);
+otherwise the piece itself is the sentence.
+
+Only the pieces next to the first marker matter, so they are found with string search
+from the marker. That needs no array of pieces and stays in generated code.
 """
 
 from __future__ import annotations
@@ -11,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import trim_all
-
 # Fixed values.
 MARK = "\ue000"
 SENTENCE_END = ". "
@@ -24,43 +25,45 @@ def paragraph_without_uri(paragraph: Column, uri: Column) -> Column:
     return F.replace(paragraph, uri, F.lit(" "))
 
 
-def marked_pieces(paragraph: Column, uri: Column) -> Column:
-    """Sentence pieces of the paragraph with the URI swapped for the marker."""
-    return F.split(F.concat(F.replace(paragraph, uri, F.lit(MARK)), F.lit(" ")), r"\. ", -1)
+def marked_text(paragraph: Column, uri: Column) -> Column:
+    """Paragraph with the URI swapped for the marker."""
+    return F.concat(F.replace(paragraph, uri, F.lit(MARK)), F.lit(" "))
 
 
-def sentence_lookbehind(pieces: Column, last: Column) -> Column:
-    """Piece number ``last`` (from 0), with earlier pieces put in front while the
-    text is shorter than ``LOOK_BEHIND_CHARS``."""
-    earlier = F.reverse(F.slice(pieces, F.lit(1), last))
-    return F.aggregate(
-        earlier,
-        F.get(pieces, last),
-        lambda text, piece: F.when(
-            F.length(text) < LOOK_BEHIND_CHARS, F.concat(piece, F.lit(SENTENCE_END), text)
-        ).otherwise(text),
-    )
+def sentence_lookbehind(text: Column) -> Column:
+    """Last sentence of ``text``; earlier ones are added in front while the result is
+    shorter than ``LOOK_BEHIND_CHARS``.
 
+    That is the shortest tail on a sentence start that is long enough: the last
+    ``LOOK_BEHIND_CHARS`` characters, and what lies before them back to a sentence end.
+    """
+    head = F.left(text, F.greatest(F.length(text) - LOOK_BEHIND_CHARS, F.lit(0)))
+    return F.concat(F.substring_index(head, SENTENCE_END, -1), F.right(text, F.lit(LOOK_BEHIND_CHARS)))
 
-def marked_index(pieces: Column) -> Column:
-    """Index (from 0) of the first piece that holds the marker; -1 if none does."""
-    hits = F.transform(pieces, lambda piece: F.contains(piece, F.lit(MARK)))
-    return (F.array_position(hits, True) - 1).cast("int")
 
+def text_before(marked: Column) -> Column:
+    """Text before the first marker."""
+    return F.substring_index(marked, MARK, 1)
 
-def sentence_from_pieces(pieces: Column, index: Column) -> Column:
-    """Sentence for the marker in piece ``index``; null when it was not found."""
-    piece = F.get(pieces, index)
-    trailing = F.startswith(trim_all(piece), F.lit(MARK)) & (index > 0)
-    raw = F.when(trailing, sentence_lookbehind(pieces, index - 1)).otherwise(piece)
-    return F.when(index >= 0, F.replace(raw, F.lit(MARK), F.lit(" ")))
 
+def piece_opening(before: Column) -> Column:
+    """Part of the marked piece that lies before the marker."""
+    return F.substring_index(before, SENTENCE_END, -1)
 
-def citation_sentence(paragraph: Column, uri: Column) -> Column:
-    """Sentence that holds the citation; null when it was not found.
 
-    ``operators.cites`` computes the pieces once per row and calls
-    ``sentence_from_pieces``; this form is for single expressions.
-    """
-    pieces = marked_pieces(paragraph, uri)
-    return sentence_from_pieces(pieces, marked_index(pieces))
+def sentence_from_parts(marked: Column, before: Column, opening: Column) -> Column:
+    """Sentence for the first marker in ``marked``; null when there is none."""
+    closing = F.substring_index(F.substr(marked, F.length(before) + 2), SENTENCE_END, 1)
+    earlier = F.left(before, F.length(before) - F.length(opening) - len(SENTENCE_END))
+    trailing = ~F.rlike(opening, F.lit(r"(?U)\S")) & (F.length(before) > F.length(opening))
+    piece = F.concat(opening, F.lit(" "), F.replace(closing, F.lit(MARK), F.lit(" ")))
+    return F.when(
+        F.contains(marked, F.lit(MARK)), F.when(trailing, sentence_lookbehind(earlier)).otherwise(piece)
+    )
+
+
+def citation_sentence(paragraph: Column, uri: Column) -> Column:
+    """Sentence that holds the citation; null when it was not found."""
+    marked = marked_text(paragraph, uri)
+    before = text_before(marked)
+    return sentence_from_parts(marked, before, piece_opening(before))

@@ -6,16 +6,17 @@ holds the article, so no step here moves data between tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.html import cited_uris, html_paragraphs, inner_text
 from citeloom.functions.markup import markup_paragraphs
 from citeloom.functions.sentences import (
-    marked_index,
-    marked_pieces,
+    marked_text,
     paragraph_without_uri,
-    sentence_from_pieces,
+    piece_opening,
+    sentence_from_parts,
+    text_before,
 )
 
 
@@ -31,42 +32,48 @@ def explode_cites(paragraphs: DataFrame) -> DataFrame:
     """One row per cite with an absolute URI inside a paragraph: ``cite_no``,
     ``uri`` and the paragraph's plain text. Cites outside paragraphs never appear."""
     kept = [c for c in paragraphs.columns if c != "html"]
-    return paragraphs.select(
-        *kept,
-        inner_text(F.col("html")).alias("paragraph"),
-        F.posexplode(cited_uris(F.col("html"))).alias("cite_no", "uri"),
-    )
+    # The plain text is made below the explode, once per paragraph that has a cite.
+    cited = paragraphs.where(F.rlike("html", F.lit("(?i)<cite")))
+    plain = cited.withColumn("paragraph", inner_text(F.col("html")))
+    return plain.select(*kept, "paragraph", F.posexplode(cited_uris(F.col("html"))).alias("cite_no", "uri"))
+
+
+def sentence_found(cites: DataFrame) -> DataFrame:
+    """Cites whose sentence can be located: the paragraph's text holds the URI."""
+    return cites.where(F.contains("paragraph", F.col("uri")))
 
 
 def locate_sentences(cites: DataFrame) -> DataFrame:
     """Adds ``sentence`` (null when not found); ``paragraph`` loses the URI."""
     paragraph, uri = F.col("paragraph"), F.col("uri")
     kept = [c for c in cites.columns if c not in ("paragraph", "uri")]
-    return (
-        cites.withColumn("_pieces", marked_pieces(paragraph, uri))
-        .withColumn("_index", marked_index(F.col("_pieces")))
-        .select(
-            *kept,
-            "uri",
-            sentence_from_pieces(F.col("_pieces"), F.col("_index")).alias("sentence"),
-            paragraph_without_uri(paragraph, uri).alias("paragraph"),
-        )
+    # One column per intermediate text: each is used several times, computed once.
+    parts = (
+        cites.withColumn("_marked", marked_text(paragraph, uri))
+        .withColumn("_before", text_before(F.col("_marked")))
+        .withColumn("_opening", piece_opening(F.col("_before")))
+    )
+    return parts.select(
+        *kept,
+        "uri",
+        sentence_from_parts(F.col("_marked"), F.col("_before"), F.col("_opening")).alias("sentence"),
+        paragraph_without_uri(paragraph, uri).alias("paragraph"),
     )
-
-
-def sentence_found(cites: DataFrame) -> DataFrame:
-    return cites.where(F.col("sentence").isNotNull())
 
 
 def extract_citations(articles: DataFrame, html_col: str = "html", from_markup: bool = True) -> DataFrame:
     """Articles to citations: keeps the other columns of ``articles`` and adds
     ``para_no, cite_no, uri, sentence, paragraph``."""
     paragraphs = explode_paragraphs(articles, html_col, from_markup)
-    return sentence_found(locate_sentences(explode_cites(paragraphs)))
+    return locate_sentences(sentence_found(explode_cites(paragraphs)))
+
+
+def has_cites(html: Column, from_markup: bool = True) -> Column:
+    """Does any paragraph hold a cite with an absolute URI?"""
+    paragraphs = markup_paragraphs(html) if from_markup else html_paragraphs(html)
+    return F.exists(paragraphs, lambda p: F.size(cited_uris(p)) > 0)
 
 
 def cited_articles(articles: DataFrame, html_col: str = "html", from_markup: bool = True) -> DataFrame:
     """Articles with at least one citation. Works on the row: no join is needed."""
-    source = F.col(html_col)
-    paragraphs = markup_paragraphs(source) if from_markup else html_paragraphs(source)
-    return articles.where(F.exists(paragraphs, lambda p: F.size(cited_uris(p)) > 0))
+    return articles.where(has_cites(F.col(html_col), from_markup))

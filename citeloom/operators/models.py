@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -48,18 +49,31 @@ class HashingEncoder:
     A text without words, or whose words cancel out, gives a zero vector.
     """
 
+    # Characters worked on at a time, however many texts a batch holds.
+    slice_chars = 4_000_000
+
     def __init__(self, size: int = 64):
         self.size = size
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size))
+        first, chars = 0, 0
         for row, text in enumerate(texts):
-            words = text.split(" ")
-            slots = np.array([_token_slot(w) for w in words if w]).reshape(-1, 2)
-            out[row] = np.bincount(slots[:, 0].astype(np.int64) % self.size, slots[:, 1], self.size)
+            chars += len(text)
+            if chars >= self.slice_chars or row == len(texts) - 1:
+                out[first : row + 1] = self._sums(texts[first : row + 1])
+                first, chars = row + 1, 0
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1.0, norms)
 
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        words = [[word for word in text.split(" ") if word] for text in texts]
+        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+        slots = np.array([_token_slot(word) for word in distinct]).reshape(-1, 2)[codes]
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        cells = rows * self.size + slots[:, 0].astype(np.int64) % self.size
+        return np.bincount(cells, slots[:, 1], len(texts) * self.size).reshape(len(texts), self.size)
+
 
 class OverlapScorer:
     """Logits from the share of the hypothesis' words that the premise holds."""

@@ -12,12 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions.markup import template_to_cite
+from citeloom.functions.markup import ref_rewrite, ref_strip, template_to_cite
 from citeloom.functions.text import topic_text_clean
-from citeloom.operators.cites import cited_articles, extract_citations
+from citeloom.operators.cites import extract_citations, has_cites
 from citeloom.operators.filters import (
-    clean_markup,
-    empty_filter,
     first_per_title,
     namespace_filter,
     redirect_filter,
@@ -25,16 +23,22 @@ from citeloom.operators.filters import (
 )
 from citeloom.operators.models import Encoder, HashingEncoder, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids
-from citeloom.session import scratch_path
+from citeloom.session import scratch_path, stage
 from citeloom.sources.dump import articles_per_block, block_table, dump_read_blocks
 from citeloom.sources.stores import citations_load, citations_write, last_ids, topics_load, topics_withdraw, topics_write
 
 
 def articles_to_html(pages: DataFrame) -> DataFrame:
-    """Pages (``markup``) to cited articles (``html``)."""
-    articles = empty_filter(clean_markup(redirect_filter(pages.where("markup is not null"))))
-    html = articles.withColumn("html", template_to_cite(F.col("markup"))).drop("markup")
-    return cited_articles(html)
+    """Pages (``markup``) to cited articles (``html``); empty articles hold no cite, so
+    they go with the rest.
+
+    The HTML is filtered as an element of a one-element array: a plain filter on it
+    would be pushed below the column and compute the HTML twice.
+    """
+    articles = redirect_filter(pages.where("markup is not null"))
+    html = template_to_cite(ref_strip(ref_rewrite(F.col("markup"))))
+    kept = [c for c in articles.columns if c != "markup"]
+    return articles.select(*kept, F.explode(F.filter(F.array(html), lambda h: has_cites(h))).alias("html"))
 
 
 def embed_articles(articles: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
@@ -79,7 +83,7 @@ def pages_to_read(index: DataFrame, lengths: DataFrame, store: str, run: str) ->
     blocks = block_table(index, lengths)
     todo = blocks.join(wanted.select("dump_path", "block_start").distinct(), ["dump_path", "block_start"], "left_semi")
     numbered = assign_ids(todo, "file_number", last_ids(topics, citations)[2], ["dump_path", "block_start"])
-    return articles_per_block(wanted, numbered)
+    return stage(articles_per_block(wanted, numbered), "blocks")
 
 
 def ingest_dump(

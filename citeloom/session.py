@@ -16,7 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     # Article texts vary from a few bytes to megabytes: keep Python batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"

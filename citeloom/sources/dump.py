@@ -26,6 +26,9 @@ PAGE_SCHEMA = "id bigint, title string, revision struct<text string>"
 
 # Wanted ids per row of the block reader; larger blocks are read once per chunk.
 WANTED_PER_CHUNK = 10_000
+
+# Compressed bytes per task of the block reader.
+TASK_BYTES = 32 << 20
 _READ_BYTES = 1 << 20
 _BATCH_BYTES = 8 << 20
 
@@ -178,9 +181,10 @@ def dump_read_blocks(articles_by_block: DataFrame) -> DataFrame:
 
     ``articles_by_block`` is the output of ``articles_per_block`` over the wanted
     index rows. The list travels to the block, so page text is never joined or
-    shuffled. Returns the block columns, ``article_id``, ``title`` and ``markup``,
+    shuffled. It should be a staged table, as it is read twice. Returns the block columns, ``article_id``, ``title`` and ``markup``,
     which is null for a page that is indexed but missing.
     """
+    spark = articles_by_block.sparkSession
     fields = [f for f in articles_by_block.schema.fields if f.name not in ("articles", "chunk_no")]
     carried = [f.name for f in fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
@@ -188,8 +192,11 @@ def dump_read_blocks(articles_by_block: DataFrame) -> DataFrame:
     def read(batches):
         return _read_blocks(batches, carried)
 
-    # Spread the block rows, which are small, so that each task reads few blocks.
-    spread = articles_by_block.repartition("dump_path", "block_start", "chunk_no")
+    # A fixed number of tasks by the bytes to read: the rows themselves are so small
+    # that an adaptive shuffle would put all of them into one task.
+    compressed = articles_by_block.agg(F.coalesce(F.sum(F.col("block_end") - F.col("block_start")), F.lit(0))).first()[0]
+    least = spark.sparkContext.defaultParallelism
+    spread = articles_by_block.repartition(max(least, -(-compressed // TASK_BYTES)), "dump_path", "block_start", "chunk_no")
     pages = _parse_pages(spread.mapInArrow(read, f"{schema}, article_id bigint, title string, xml string"), "xml")
     return pages.withColumn("markup", F.col("page.revision.text")).drop("page")
 

@@ -38,9 +38,14 @@ class Scorer(Protocol):
 
 
 @lru_cache(maxsize=1 << 18)
-def _token_slot(token: str) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16), 1.0 if int(digest[8:16], 16) % 2 == 0 else -1.0
+def _token_slot(token: str) -> int:
+    """Slot number from the first four bytes of the digest; negative for half of the
+    tokens, by the last bit of the eighth byte. Zero stands for the empty token."""
+    if not token:
+        return 0
+    digest = hashlib.md5(token.encode()).digest()
+    slot = int.from_bytes(digest[:4], "big") + 1
+    return -slot if digest[7] & 1 else slot
 
 
 class HashingEncoder:
@@ -67,12 +72,12 @@ class HashingEncoder:
         return out / np.where(norms == 0, 1.0, norms)
 
     def _sums(self, texts: list[str]) -> np.ndarray:
-        words = [[word for word in text.split(" ") if word] for text in texts]
+        words = [text.split(" ") for text in texts]
         codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
-        slots = np.array([_token_slot(word) for word in distinct]).reshape(-1, 2)[codes]
+        slots = np.fromiter(map(_token_slot, distinct), np.int64, len(distinct))[codes]
         rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        cells = rows * self.size + slots[:, 0].astype(np.int64) % self.size
-        return np.bincount(cells, slots[:, 1], len(texts) * self.size).reshape(len(texts), self.size)
+        cells = rows * self.size + (np.abs(slots) - 1) % self.size
+        return np.bincount(cells, np.sign(slots), len(texts) * self.size).reshape(len(texts), self.size)
 
 
 class OverlapScorer:

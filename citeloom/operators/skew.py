@@ -8,8 +8,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.session import plan_bytes
 
-def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
+
+# Below this estimated size, compressed, one task can take the whole table: a plain join.
+PLAIN_JOIN_BYTES = 64 << 20
+
+# Keys with fewer rows than this are never worth spreading.
+HOT_ROWS = 10_000
+
+
+def salted_join(
+    many: DataFrame,
+    few: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    plain_bytes: int = PLAIN_JOIN_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Inner join of ``many`` with ``few`` on ``keys``.
 
     Keys with more than a quarter of a fair partition's rows are hot: their ``many``
@@ -17,14 +33,16 @@ def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread_by:
     repeated once per salt. No row is dropped, and cold keys pay nothing. There can
     be at most four hot keys per shuffle partition, so their table may be broadcast.
     """
+    keys = list(keys)
+    if plan_bytes(many) <= plain_bytes:
+        return many.join(few, keys)
     spark = many.sparkSession
     slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(keys)
     counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     hot = (
         counts.withColumn("_share", total.scalar() / F.lit(slots))
-        .where(F.col("_n") > F.greatest(F.col("_share"), F.lit(10_000)))
+        .where(F.col("_n") > F.greatest(F.col("_share"), F.lit(hot_rows)))
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_salts"))
     )
 

@@ -14,13 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import stage
+from citeloom.session import broadcast_small, stage
 
 _POSITION_BITS = 33
 
-# Offsets of this many files, some 20 MB, may be broadcast.
-BROADCAST_FILES = 200_000
-
 
 def ordered_parts(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
     """``df`` with ``_part`` and ``_idx``: ordered over the pair as asked for, or in
@@ -68,11 +65,9 @@ def read_with_ids(spark: SparkSession, path: str, id_col: str, start_after: int
     files = table.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if files.count() <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     new_id = F.lit(start_after) + F.col("_offset") + F.col("_row") + 1
     rows = table.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(offsets, "_file").select(*columns, new_id.cast("bigint").alias(id_col))
+    return rows.join(broadcast_small(offsets), "_file").select(*columns, new_id.cast("bigint").alias(id_col))
 
 
 def with_next(df: DataFrame, order_by: Sequence[str], column: str, out: str) -> DataFrame:

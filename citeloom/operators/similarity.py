@@ -51,10 +51,6 @@ def slot_present(topics: DataFrame, vector_col: str = "topic_vector") -> DataFra
     return topics.where(F.col(vector_col).isNotNull())
 
 
-def valid_vectors(df: DataFrame, vector_col: str = "topic_vector") -> DataFrame:
-    return slot_present(df, vector_col).where(has_valid_size(F.col(vector_col)) & has_unit_norm(F.col(vector_col)))
-
-
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """List column as a matrix. Fails on vectors of different or unusable size, and
     on vectors that are not of unit length."""

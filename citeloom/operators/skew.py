@@ -10,47 +10,61 @@ from pyspark.sql import functions as F
 
 from citeloom.session import plan_bytes
 
+# Up to this estimated size of both sides Spark's own join is even enough.
+PLAIN_JOIN_BYTES = 16 << 20
 
-# Below this estimated size, compressed, one task can take the whole table: a plain join.
-PLAIN_JOIN_BYTES = 64 << 20
-
-# Keys with fewer rows than this are never worth spreading.
+# Keys with fewer joined rows than this are never worth spreading.
 HOT_ROWS = 10_000
 
 
 def salted_join(
-    many: DataFrame,
-    few: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str],
+    left_by: Sequence[str],
+    right_by: Sequence[str] | None = None,
     plain_bytes: int = PLAIN_JOIN_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner join of ``many`` with ``few`` on ``keys``.
+    """Inner join of ``left`` with ``right`` on ``keys``, spread by its output.
+
+    ``left_by`` and ``right_by`` name columns whose hash spreads the rows of one key;
+    ``right_by=None`` says that ``right`` has one row per key.
 
-    Keys with more than a quarter of a fair partition's rows are hot: their ``many``
-    rows are spread over salts by a hash of ``spread_by``, and their ``few`` rows are
-    repeated once per salt. No row is dropped, and cold keys pay nothing. There can
-    be at most four hot keys per shuffle partition, so their table may be broadcast.
+    Rows per key are counted first. A key that makes more than a quarter of a fair
+    partition's output is hot: the side with more rows of it is spread over salts, the
+    rows of the other side are repeated once per salt. No row is dropped. There can be
+    at most four hot keys per shuffle partition, so their table may be broadcast.
     """
     keys = list(keys)
-    if plan_bytes(many) <= plain_bytes:
-        return many.join(few, keys)
-    spark = many.sparkSession
-    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
+    if max(plan_bytes(left), plan_bytes(right)) <= plain_bytes:
+        return left.join(right, keys)
+
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_left"))
+    if right_by is None:
+        counts = counts.withColumn("_right", F.lit(1))
+    else:
+        counts = counts.join(right.groupBy(*keys).agg(F.count("*").alias("_right")), keys)
+    counts = counts.withColumn("_rows", F.col("_left").cast("double") * F.col("_right"))
+    slots = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = counts.agg((F.sum("_rows") / slots).alias("_fair")).scalar()
     hot = (
-        counts.withColumn("_share", total.scalar() / F.lit(slots))
-        .where(F.col("_n") > F.greatest(F.col("_share"), F.lit(hot_rows)))
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_salts"))
+        counts.withColumn("_fair", fair)
+        .where(F.col("_rows") > F.greatest("_fair", F.lit(hot_rows)))
+        .select(
+            *[F.col(k).alias(f"_hot_{k}") for k in keys],
+            F.ceil(F.col("_rows") / F.col("_fair")).cast("int").alias("_salts"),
+            (F.col("_left") >= F.col("_right")).alias("_spread_left"),
+        )
     )
 
-    def with_salts(df: DataFrame) -> DataFrame:
+    def salted(df: DataFrame, spread_by: Sequence[str], spread_here) -> DataFrame:
         on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in keys])
-        return df.join(F.broadcast(hot), on, "left").drop(*[f"_hot_{k}" for k in keys])
+        one = F.array(F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_salts") - 1)
+        salts = F.when(F.col("_salts").isNull(), F.array(F.lit(0))).when(spread_here, one).otherwise(every)
+        return df.join(F.broadcast(hot), on, "left").select(*df.columns, F.explode(salts).alias("_salt"))
 
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = with_salts(many).withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_salts")
-    right = with_salts(few).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    spread_left = salted(left, left_by, F.col("_spread_left"))
+    spread_right = salted(right, right_by or keys, ~F.col("_spread_left"))
+    return spread_left.join(spread_right, [*keys, "_salt"]).drop("_salt")

@@ -45,9 +45,9 @@ def prune_to_topics(citations: DataFrame, matches: DataFrame) -> DataFrame:
 def topic_citations(matches: DataFrame, topics: DataFrame, citations: DataFrame) -> DataFrame:
     """Each match with every citation of its topic and the article name:
     ``claim_id, topic_id, sim, rank, name, citation_id, uri, sentence``."""
-    named = matches.join(topics.select("topic_id", "name"), "topic_id")
+    named = salted_join(matches, topics.select("topic_id", "name"), ["topic_id"], ["claim_id"])
     cites = citations.select("topic_id", "citation_id", "uri", "sentence")
-    joined = salted_join(cites, named, ["topic_id"], spread_by=["citation_id"])
+    joined = salted_join(cites, named, ["topic_id"], ["citation_id"], ["claim_id"])
     return joined.select("claim_id", "topic_id", "sim", "rank", "name", "citation_id", "uri", "sentence")
 
 
@@ -72,7 +72,7 @@ def split_claims(claims: DataFrame) -> DataFrame:
 def claim_premise_pairs(lines: DataFrame, citations: DataFrame) -> DataFrame:
     """Every claim line with every citation of its claim; adds the clean ``premise``."""
     premises = citations.withColumn("premise", claim_clean(F.col("sentence")))
-    return salted_join(premises, lines, ["claim_id"], spread_by=["citation_id"])
+    return salted_join(premises, lines, ["claim_id"], ["citation_id"], ["line_no"])
 
 
 def premise_dedup(pairs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def premise_dedup(pairs: DataFrame) -> DataFrame:
 def score_rejoin(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     """Scores of the distinct texts put back on every citation."""
     scores = scored.select("premise", "hypothesis", "contra", "entail")
-    return salted_join(pairs, scores, ["premise", "hypothesis"], spread_by=["claim_id", "citation_id"])
+    return salted_join(pairs, scores, ["premise", "hypothesis"], ["claim_id", "citation_id"])
 
 
 def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer] = OverlapScorer) -> DataFrame:
@@ -105,7 +105,7 @@ def support_nested(scored: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
         scored.select("claim_id", "line_no", "citation_id", "sentence", "uri", "contra", "entail"),
         sizes,
         ["claim_id", "line_no"],
-        spread_by=["citation_id"],
+        ["citation_id"],
     )
     chunks = F.ceil(F.col("n_support") / F.lit(chunk_rows))
     item = F.struct("citation_id", "sentence", "uri", "contra", "entail")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.models import Encoder, HashingEncoder, OverlapScorer, Scorer, topic_embed
-from citeloom.operators.similarity import TOPIC_MATCHES, topk_topics, valid_vectors
+from citeloom.operators.similarity import TOPIC_MATCHES, topk_topics
 from citeloom.operators.support import (
     claim_premise_pairs,
     prune_to_topics,
@@ -26,8 +26,7 @@ def match_claims(
     without a topic of positive similarity get no row."""
     vectors = topic_embed(claims.select("claim_id", "text"), "text", make_encoder)
     staged = stage(vectors.withColumnRenamed("topic_vector", "vector"), "claims")
-    usable = valid_vectors(topics).select("topic_id", F.col("topic_vector").alias("vector"))
-    return topk_topics(staged, usable, k)
+    return topk_topics(staged, topics.select("topic_id", F.col("topic_vector").alias("vector")), k)
 
 
 def classify_claims(

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the jobs rely on; all can be changed by the caller afterwards.
 RUNTIME_CONF = {
@@ -67,6 +68,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast hint for a slim table, after counting it; without the hint when it is
+    larger. For tables of one row per file or partition."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.operators.skew import salted_join
+
 # Fixed values.
 FILE_SUFFIX = ".xml.bz2"
 NUMBER_WIDTH = 7
@@ -30,7 +32,7 @@ def citation_xml_write(citations: DataFrame, path: str, rows_per_file: int = 1_0
     several tasks.
     """
     sizes = citations.groupBy("file_number").agg(F.ceil(F.count("*") / F.lit(rows_per_file)).alias("_files"))
-    spread = citations.join(sizes, "file_number").withColumn("_split", F.pmod(F.xxhash64("citation_id"), F.col("_files")))
+    spread = salted_join(citations, sizes, ["file_number"], ["citation_id"]).withColumn("_split", F.pmod(F.xxhash64("citation_id"), F.col("_files")))
     rows = spread.repartition("file_number", "_split").sortWithinPartitions("file_number").select(
         F.regexp_replace(file_name(F.col("file_number")), r"\.xml\.bz2$", "").alias("file"),
         F.col("uri").alias("_uri"),

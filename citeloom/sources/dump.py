@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.ordered import with_next
+from citeloom.operators.skew import salted_join
+from citeloom.session import broadcast_small
 
 # Fixed values.
 INDEX_LINE = r"^(\d+):(\d+):(.*)$"
 PAGE_END = "</page>"
 PAGE_SCHEMA = "id bigint, title string, revision struct<text string>"
 
-# Wanted ids per row of the block reader; larger blocks are read once per chunk.
-WANTED_PER_CHUNK = 10_000
+# Wanted ids per row of the block reader, a few megabytes. A usual block has a hundred;
+# one with more than this is unpacked once per chunk.
+WANTED_PER_CHUNK = 100_000
 
 # Compressed bytes per task of the block reader.
 TASK_BYTES = 32 << 20
@@ -65,7 +68,7 @@ def block_table(index: DataFrame, lengths: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("_here", F.struct("dump_path", "block_start"))
     ended = with_next(blocks, ["dump_path", "block_start"], "_here", "_next")
     same_file = F.col("_next.dump_path") == F.col("dump_path")
-    return ended.join(lengths, "dump_path").select(
+    return ended.join(broadcast_small(lengths), "dump_path").select(
         "dump_path",
         "block_start",
         F.when(same_file, F.col("_next.block_start")).otherwise(F.col("data_len")).alias("block_end"),
@@ -79,7 +82,7 @@ def articles_per_block(index: DataFrame, blocks: DataFrame, per_chunk: int = WAN
     chunks by article id, so that no list grows without bound."""
     chunks = F.ceil(F.col("n_articles") / F.lit(per_chunk))
     return (
-        index.join(blocks, ["dump_path", "block_start"])
+        salted_join(index, blocks, ["dump_path", "block_start"], ["article_id"])
         .withColumn("chunk_no", F.pmod(F.xxhash64("article_id"), chunks).cast("int"))
         .groupBy(*blocks.columns, "chunk_no")
         .agg(F.sort_array(F.collect_list(F.struct("article_id", "title"))).alias("articles"))

@@ -100,13 +100,18 @@ def test_read_with_ids(spark):
 
 
 def test_salted_join_keeps_every_row(spark):
-    rows = [(0, i) for i in range(4000)] + [(i % 50 + 1, 4000 + i) for i in range(6000)] + [(None, -1)]
-    many = spark.createDataFrame(rows, "k int, v int")
-    few = spark.createDataFrame([(k, c) for k in range(40) for c in "ab"], "k int, w string")
-    plain = sorted(map(tuple, many.join(few, ["k"]).collect()))
-    salted = salted_join(many, few, ["k"], ["v"], plain_bytes=0, hot_rows=100)
+    """Hot on the left, hot on the right, cold, unmatched and null keys."""
+    rows = [(0, i) for i in range(4000)] + [(i % 50 + 1, 4000 + i) for i in range(6000)] + [(60, -2), (None, -1)]
+    left = spark.createDataFrame(rows, "k int, v int")
+    pairs = [(k, c) for k in range(40) for c in range(2)] + [(60, c) for c in range(3000)] + [(None, 0)]
+    right = spark.createDataFrame(pairs, "k int, w int")
+    plain = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    salted = salted_join(left, right, ["k"], ["v"], ["w"], plain_bytes=0, hot_rows=100)
     assert sorted(map(tuple, salted.collect())) == plain
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    unique = right.select("k").distinct()
+    salted = salted_join(left, unique, ["k"], ["v"], plain_bytes=0, hot_rows=100)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, left.join(unique, ["k"]).collect()))
 
 
 def test_quality(spark):

@@ -281,7 +281,7 @@ def _(t):
 @query("pack_compact", f"WITH {DOCUMENT_CITATIONS_SQL} SELECT file_number, citation_id, md5(sentence) AS sentence_md5 FROM citations")
 def _(t):
     path = scratch_path(t.spark, "packed")
-    pack_compact(citation_xml_read(t.spark, written_files(t)), path)
+    pack_compact(t.spark, written_files(t), path)
     return t.spark.read.parquet(path).select("file_number", "citation_id", F.md5("sentence").alias("sentence_md5"))
 
 

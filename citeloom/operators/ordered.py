@@ -4,7 +4,8 @@ A window with no partition key runs on a single task. Here the rows are
 range-partitioned on their order, staged in the shared folder, and numbered by
 (partition, position). What has to cross partitions - counts, sums, first rows - is
 one row per partition, so the only unpartitioned window sees at most as many rows as
-there are shuffle partitions.
+there are shuffle partitions. A table whose estimated size is small (``SMALL_BYTES``) takes
+the plain window instead, which saves the staging.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import broadcast_small, stage
+from citeloom.session import broadcast_small, plan_bytes, stage
 
 _POSITION_BITS = 33
 
+# Estimated size up to which one task may order the whole table.
+SMALL_BYTES = 8 << 20
+
 
 def ordered_parts(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
     """``df`` with ``_part`` and ``_idx``: ordered over the pair as asked for, or in
@@ -35,13 +39,20 @@ def ordered_parts(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
 
 
 def assign_ids(
-    df: DataFrame, id_col: str, start_after: int = 0, order_by: Sequence[str] | None = None
+    df: DataFrame,
+    id_col: str,
+    start_after: int = 0,
+    order_by: Sequence[str] | None = None,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Dense ids ``start_after + 1, ...``.
 
     ``order_by`` must name columns that are unique together, so that one hot value
     cannot fill a partition.
     """
+    if order_by is not None and plan_bytes(df) <= small_bytes:
+        place = F.row_number().over(Window.orderBy(*order_by))
+        return df.withColumn(id_col, (F.lit(start_after) + place).cast("bigint"))
     parts = ordered_parts(df, order_by)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -70,8 +81,12 @@ def read_with_ids(spark: SparkSession, path: str, id_col: str, start_after: int
     return rows.join(broadcast_small(offsets), "_file").select(*columns, new_id.cast("bigint").alias(id_col))
 
 
-def with_next(df: DataFrame, order_by: Sequence[str], column: str, out: str) -> DataFrame:
+def with_next(
+    df: DataFrame, order_by: Sequence[str], column: str, out: str, small_bytes: int = SMALL_BYTES
+) -> DataFrame:
     """``out`` = ``column`` of the next row in the whole order, null on the last row."""
+    if plan_bytes(df) <= small_bytes:
+        return df.withColumn(out, F.lead(column).over(Window.orderBy(*order_by)))
     parts = ordered_parts(df, order_by)
     heads = (
         parts.where("_idx = 0")
@@ -91,8 +106,13 @@ def with_next(df: DataFrame, order_by: Sequence[str], column: str, out: str) ->
     )
 
 
-def with_running_total(df: DataFrame, order_by: Sequence[str], column: str, out: str) -> DataFrame:
+def with_running_total(
+    df: DataFrame, order_by: Sequence[str], column: str, out: str, small_bytes: int = SMALL_BYTES
+) -> DataFrame:
     """``out`` = sum of ``column`` over all earlier rows of the whole order."""
+    if plan_bytes(df) <= small_bytes:
+        earlier = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(column).over(earlier), F.lit(0)).cast("bigint"))
     parts = ordered_parts(df, order_by)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -36,7 +36,7 @@ def distinct_files(citations: DataFrame) -> DataFrame:
 def prune_to_topics(citations: DataFrame, matches: DataFrame) -> DataFrame:
     """Citations of the matched topics only, filtered in the scan when they are few.
 
-    ``matches`` should be a stored or checkpointed table: it is read twice.
+    ``matches`` should be a staged table: it is read twice.
     """
     ids = [r[0] for r in matches.select("topic_id").distinct().limit(PUSHED_IDS + 1).collect()]
     return citations.where(F.col("topic_id").isin(ids)) if len(ids) <= PUSHED_IDS else citations
@@ -76,7 +76,8 @@ def claim_premise_pairs(lines: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def premise_dedup(pairs: DataFrame) -> DataFrame:
-    """One row per claim line and clean premise."""
+    """One row per claim line and clean premise. ``score_pairs`` goes further and also
+    shares scores between claims."""
     return pairs.select("claim_id", "line_no", "premise", "hypothesis").distinct()
 
 
@@ -90,9 +91,9 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer] = OverlapSco
     """Adds ``contra`` and ``entail``. Each distinct text pair is scored once, also
     when several claims or citations share it.
 
-    ``pairs`` should be a stored or checkpointed table: it is read three times.
+    ``pairs`` should be a staged table: it is read more than once.
     """
-    texts = premise_dedup(pairs).select("premise", "hypothesis").distinct()
+    texts = pairs.select("premise", "hypothesis").distinct()
     return score_rejoin(pairs, support_score(texts, make_scorer))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.sources.citation_files import citation_xml_read, list_files
+from citeloom.sources.citation_files import list_files
 from citeloom.sources.packed import numeric_name_filter, pack_compact, pack_manifest, packed_ranges
 
 
 def pack_files(spark: SparkSession, files_path: str, packed_path: str, index_path: str) -> None:
-    pack_compact(citation_xml_read(spark, files_path), packed_path)
+    pack_compact(spark, files_path, packed_path)
     pack_manifest(files_by_number(list_files(spark, files_path))).write.option("compression", "bzip2").text(index_path)
 
 

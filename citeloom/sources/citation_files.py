@@ -47,15 +47,18 @@ def citation_xml_write(citations: DataFrame, path: str, rows_per_file: int = 1_0
     )
 
 
-def citation_xml_read(spark: SparkSession, path: str) -> DataFrame:
-    """All citations of the files below ``path``, with the file number of the folder."""
+def citation_xml_read(spark: SparkSession, path: str, keep_path: str | None = None) -> DataFrame:
+    """All citations of the files below ``path``, with the file number of the folder,
+    and with the file's path in the column ``keep_path``."""
     rows = (
         spark.read.format("xml")
         .schema(CITATION_SCHEMA + ", file string")
         .options(rowTag="citation", ignoreSurroundingSpaces="false")
         .load(path)
     )
+    origin = [F.col("_metadata.file_path").alias(keep_path)] if keep_path else []
     return rows.select(
+        *origin,
         F.col("file").cast("bigint").alias("file_number"),
         F.col("_id").alias("citation_id"),
         F.col("_uri").alias("uri"),
@@ -66,7 +69,8 @@ def citation_xml_read(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of every file below ``path``; the content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length")
+    # Spelled as ``citation_xml_read`` spells it, for joins on the path.
+    return files.select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def file_manifest(files: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.ordered import with_next, with_running_total
-from citeloom.sources.citation_files import file_stem
+from citeloom.session import broadcast_small
+from citeloom.sources.citation_files import citation_xml_read, file_stem, list_files
+
+# Compressed citation files that make one packed file.
+PACKED_BYTES = 64 << 20
 
 
 def numeric_name_filter(files: DataFrame) -> DataFrame:
@@ -39,10 +43,16 @@ def packed_ranges(lines: DataFrame, data_len: int) -> DataFrame:
     return ended.select("file_number", "start_offset", length.alias("length"))
 
 
-def pack_compact(citations: DataFrame, path: str) -> None:
+def pack_compact(spark: SparkSession, files_path: str, packed_path: str) -> None:
     """Citations of many small files as few large ones, in order of file number.
 
-    The order includes the citation id: one huge file number is split over tasks.
+    Which large file a small one goes to follows from the sizes of the files before it,
+    so the citations are read once and each output has about ``PACKED_BYTES``. Files of
+    one number may go to different outputs.
     """
-    order = ["file_number", "citation_id"]
-    citations.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    files = with_running_total(list_files(spark, files_path), ["path"], "length", "_start")
+    target = files.select(F.col("path").alias("_path"), F.floor(F.col("_start") / F.lit(PACKED_BYTES)).alias("_target"))
+    outputs = target.agg(F.coalesce(F.max("_target"), F.lit(0)) + 1).first()[0]
+    rows = citation_xml_read(spark, files_path, keep_path="_path").join(broadcast_small(target), "_path")
+    spread = rows.repartition(outputs, "_target").sortWithinPartitions("_target", "file_number", "citation_id")
+    spread.drop("_path", "_target").write.parquet(packed_path)

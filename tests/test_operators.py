@@ -60,18 +60,19 @@ def test_bad_vectors_stop_the_job(spark):
             topk_topics(claims, vectors(spark, [1], bad, "topic_id")).collect()
 
 
-def test_ordered(spark):
+@pytest.mark.parametrize("small_bytes", [1 << 20, 0])
+def test_ordered(spark, small_bytes):
     random.seed(3)
     values = random.sample(range(10_000), 700)
     df = spark.createDataFrame([(v, v % 17) for v in values], "k bigint, n bigint").repartition(6)
     order = sorted(values)
-    ids = {r["k"]: r["i"] for r in assign_ids(df, "i", 50, ["k"]).collect()}
+    ids = {r["k"]: r["i"] for r in assign_ids(df, "i", 50, ["k"], small_bytes).collect()}
     assert ids == {v: 51 + at for at, v in enumerate(order)}
     scan = [r["i"] for r in assign_ids(df, "i", 50).collect()]
     assert sorted(scan) == list(range(51, 751))
-    nexts = {r["k"]: r["after"] for r in with_next(df, ["k"], "k", "after").collect()}
+    nexts = {r["k"]: r["after"] for r in with_next(df, ["k"], "k", "after", small_bytes).collect()}
     assert nexts == dict(zip(order, order[1:] + [None]))
-    sums = {r["k"]: r["s"] for r in with_running_total(df, ["k"], "n", "s").collect()}
+    sums = {r["k"]: r["s"] for r in with_running_total(df, ["k"], "n", "s", small_bytes).collect()}
     total = 0
     for v in order:
         assert sums[v] == total
@@ -82,7 +83,7 @@ def test_ordered_spans_partitions(spark):
     """Without adaptive coalescing the rows really lie in several partitions."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        test_ordered(spark)
+        test_ordered(spark, 0)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 

@@ -94,6 +94,10 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer] = OverlapSco
     ``pairs`` should be a staged table: it is read more than once.
     """
     texts = pairs.select("premise", "hypothesis").distinct()
+    # A fixed number of tasks: an adaptive shuffle goes by bytes and would give few
+    # tasks many calls of a slow model.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(tasks, "premise", "hypothesis")
     return score_rejoin(pairs, support_score(texts, make_scorer))
 
 

@@ -79,7 +79,7 @@ def pages_to_read(index: DataFrame, lengths: DataFrame, store: str, run: str) ->
     spark = index.sparkSession
     others = F.col("run") != run
     topics, citations = topics_load(spark, store).where(others), citations_load(spark, store).where(others)
-    wanted = skip_present(first_per_title(namespace_filter(index)), topics)
+    wanted = stage(skip_present(first_per_title(namespace_filter(index)), topics), "wanted")
     blocks = block_table(index, lengths)
     todo = blocks.join(wanted.select("dump_path", "block_start").distinct(), ["dump_path", "block_start"], "left_semi")
     numbered = assign_ids(todo, "file_number", last_ids(topics, citations)[2], ["dump_path", "block_start"])

@@ -96,8 +96,14 @@ def dump_lengths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse_pages(df: DataFrame, xml_col: str) -> DataFrame:
-    """Raw page XML to ``page`` (null id when the XML is broken)."""
-    return df.withColumn("page", F.from_xml(F.col(xml_col), PAGE_SCHEMA, {"mode": "PERMISSIVE"})).drop(xml_col)
+    """Raw page XML to ``page`` (null id when the XML is broken).
+
+    The parsed page is an exploded one-element array: filters on its fields then stay
+    above it, where they would otherwise be pushed down and parse the page again.
+    """
+    page = F.from_xml(F.col(xml_col), PAGE_SCHEMA, {"mode": "PERMISSIVE"})
+    kept = [c for c in df.columns if c != xml_col]
+    return df.select(*kept, F.explode(F.array(page)).alias("page"))
 
 
 def dump_read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from citeloom.functions.uris import absolute_uri
 
 # Inline reference with a plain body; any left-over reference tag.
 INLINE_REF = r"(?i)<ref[^>]*+>[^<]*+</ref>"
-REF_TAG = r"(?i)<\s*/?\s*ref(\s+[^>]*?)?>"
+REF_TAG = r"(?i)<\s*/?\s*ref(?:\s[^>]*)?>"
 
 # Citation templates and the argument that becomes the <cite> text.
 CITE_TEMPLATES = {r"[Ss]fnm?": "loc", r"[Cc]ite[ _]+web": "url"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The passes applied to page HTML before it is embedded. Each match
 # becomes one blank. (?i) ignores case, (?d) lets "." stop at \n only.
 MISSING_PAGE_LINK = r'(?id)<a[^>]+?title="[^"]*?page\sdoes\snot\sexist[^"]*?">[^<]+?</a>'
-ANY_TAG = r"(?id)<\s*.+?/?\s*(\s+[^>]*?)?>"
+ANY_TAG = r"<\s*[^\n][^>]*>"
 DIRECTIVE = r"(?id)\{\{\{[^}]+?\}\}\}"
 URL_START = r"(?id)https?://[^\s]+?"
 FULL_URL = r"(?id)https?://[^\s]+"

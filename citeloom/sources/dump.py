@@ -127,6 +127,7 @@ def pages_from_text(raw: DataFrame) -> DataFrame:
 
 
 def _open(path: str) -> io.RawIOBase:
+    path = path.removeprefix("file:")
     if "://" in path:
         filesystem, inner = pafs.FileSystem.from_uri(path)
         return filesystem.open_input_file(inner)
@@ -153,7 +154,7 @@ def _pages_of_block(path: str, start: int, end: int) -> Iterator[str]:
             for page in pages:
                 at = page.find(b"<page>")
                 if at >= 0:
-                    yield (page[at:] + b"</page>").decode("utf-8")
+                    yield (page[at:] + b"</page>").decode("utf-8", errors="replace")
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:

@@ -196,3 +196,22 @@ def test_scores(spark):
     assert one(spark, vector_parse(F.lit("[0.1 x]"))) is None
     for norm, ok in ((1.005, True), (1.02, False)):
         assert one(spark, has_unit_norm(F.array(F.lit(norm / math.sqrt(2)), F.lit(norm / math.sqrt(2))))) is ok
+
+
+def test_tag_patterns_are_equivalent():
+    """The patterns in use are linear; they match what the rule's own patterns match."""
+    import random
+    import re
+
+    from citeloom.functions.markup import REF_TAG
+    from citeloom.functions.text import ANY_TAG
+
+    random.seed(2)
+    for told, used, letters in (
+        (r"<\s*.+?/?\s*(\s+[^>]*?)?>", ANY_TAG, "<> /\na"),
+        (r"(?i)<\s*/?\s*ref(\s+[^>]*?)?>", REF_TAG, ["<", ">", " ", "/", "\n", "ref", "Ref", "s"]),
+    ):
+        told, used = re.compile(told), re.compile(used)
+        for _ in range(50_000):
+            text = "".join(random.choices(letters, k=random.randint(1, 10)))
+            assert told.sub("_", text) == used.sub("_", text), text

@@ -70,3 +70,21 @@ def free_name(df: DataFrame, name: str) -> str:
 def utf8_size(text) -> F.Column:
     """UTF-8 bytes of a text column, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+
+
+def append_columns(df: DataFrame, text: str, added: dict[str, str], compute: Callable[[list[str | None]], Sequence[pa.Array]]) -> DataFrame:
+    """``df`` with columns ``added`` (name to type) that ``compute`` makes from the texts of
+    an Arrow batch. Row-local; a name that ``df`` has already is an error."""
+    if taken := {c.lower() for c in df.columns} & {c.lower() for c in added}:
+        raise ValueError(f"the table has columns {sorted(taken)} already")
+    schema = df
+    for name, kind in added.items():
+        schema = schema.withColumn(name, F.lit(None).cast(kind))
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [*batch.columns, *compute(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *added])
+
+    return df.mapInArrow(run, schema.schema)

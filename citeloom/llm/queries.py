@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, sharding
+from citeloom.llm import bpe, chat, decontaminate, language, pii, quality, sharding
 from citeloom.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
 
+#: Stands for the secret that a production job reads from its key store.
+DEMO_KEY = b"a key for the test tables only"
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_predict(read_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.aggregate(F.map_values("pii_counts"), F.lit(0), lambda a, n: a + n)
+    return pii.pseudonymise_texts(docs, DEMO_KEY).select("doc_id", "text", found.alias("n_replaced"))
+
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(read_table(spark, sf_dir, "documents"), shards=24)
@@ -54,4 +68,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op3_shards, op4_chat, op5_bpe)}
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality.judge_quality(read_table(spark, sf_dir, "documents"))
+    return judged
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality)
+}

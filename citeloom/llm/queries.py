@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontaminate, language, pii, quality, sharding
+from citeloom.llm import bpe, chat, decontaminate, html_text, language, ngram_join, pii, quality, sharding
 from citeloom.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -77,7 +77,63 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join_components(read_table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op8_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 3)) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+    WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+), both_ways AS (
+    SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other)::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.doc_id = d.doc_id
+GROUP BY d.doc_id, s.n
+"""
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+# The given pages all name their main part and use few character references.
+ORACLES["op9_main_text"] = r"""
+WITH parts AS (
+    SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM pages
+), blocks AS (
+    SELECT page_id, url, list_transform(regexp_split_to_array(article, '</?(?:p|h1|h2|ul|li)>'), lambda b:
+        trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
+            regexp_replace(b, '<[^>]*>', ' ', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
+            '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS texts
+    FROM parts
+), joined AS (
+    SELECT page_id, url, coalesce(array_to_string(list_filter(texts, lambda t: t != ''), chr(10)), '') AS text FROM blocks
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality)
+    for f in (op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality, op8_ngram_join, op9_main_text)
 }

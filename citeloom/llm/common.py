@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -88,3 +89,10 @@ def append_columns(df: DataFrame, text: str, added: dict[str, str], compute: Cal
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *added])
 
     return df.mapInArrow(run, schema.schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose result has been staged: it does so
+    once the driver's garbage collector finds them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

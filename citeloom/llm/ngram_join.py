@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import parts_for, rows_of
+from citeloom.llm.common import free_name, parts_for, release
 from citeloom.llm.components import components
 from citeloom.llm.shingles import shingle_set, shingle_sets
 from citeloom.session import broadcast_small, stage
@@ -245,15 +245,17 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
 def join_components(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, first_of_component of every row.
+    """doc_id, said, n_shingles, component_id, first_of_component of every row.
 
     A document's set has the distinct shingles of ``width`` words, A-Z lower-cased; with
     fewer words the whole sequence is one. Two are linked if 100 * intersection >=
     ``percent`` * union. ``component_id`` is the least id that links reach. A null text, or
     one without words, has no shingles and is its own component. Repeated rows each have
     their row; a null id counts for no component. An empty table gives no rows; other
-    columns are not read.
+    columns are not read. ``said`` is a hash of the text; ``first_of_component`` marks the
+    least (id, said) of a component, and every text without shingles.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("said"), F.col(text).alias("text"))
     staged = read_sets(docs, width)
     sets = staged.where("n is not null")
@@ -266,7 +268,8 @@ def join_components(
     tokens = classes.agg(F.sum("n")).first()[0] or 0
 
     found = prefix_candidates(docs, width, percent, np.sort(frequent))
-    own = stage(prefixes(shared_tokens(found, parts_for(tokens / 4, TASK_TOKENS, df.sparkSession))), "prefixes")
+    own = stage(prefixes(shared_tokens(found, parts_for(tokens / 4, TASK_TOKENS, spark))), "prefixes")
+    release(spark)
 
     # Groups of equal prefix and size. A prefix with tokens that no other set has is alone.
     kinds = own.groupBy("cid").agg(
@@ -290,6 +293,7 @@ def join_components(
     near = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "near")
     links = stage(verify(near, texts_of(docs, classes, near), width, percent), "links")
     roots = stage(components(links), "roots")
+    release(spark)
 
     # Second pass: what is not in one component yet.
     placed = stage(
@@ -312,6 +316,7 @@ def join_components(
     by_class = final.join(lowest, "root").select(F.col("cid").alias("_cid"), "component_id", "_first")
     return sets.join(by_class, sets["cid"] == F.col("_cid"), "left").select(
         "doc_id",
+        "said",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         (F.col("_first").isNull() | (F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("_first.said").eqNullSafe(F.col("said")))).alias("first_of_component"),
@@ -365,3 +370,24 @@ def second_pass(rooted: DataFrame, placed: DataFrame, percent: int) -> DataFrame
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
+
+
+def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with one document of each component, with their columns: the one
+    with the least id. Of rows that repeat id and text one stays; documents without
+    shingles all stay.
+
+    Only the rows to drop and the repeated ones are looked up, by id and a hash of the
+    text; texts are not shuffled while those are few.
+    """
+    columns = df.columns
+    found = stage(join_components(df, key, text, **options), "components")
+    keys = found.groupBy("doc_id", "said").agg(F.count("*").alias("copies"), F.first("first_of_component").alias("first"), F.first("n_shingles").alias("n"))
+    special = keys.where("not first or (copies > 1 and n > 0)").select(F.col("doc_id").alias("_k"), F.col("said").alias("_s"), F.col("first").alias("_first"))
+    special = broadcast_small(stage(special, "special"))
+    own = free_name(df, "_own")
+    said = df.withColumn(own, F.xxhash64(F.col(text)))
+    joined = said.join(special, F.col(key).cast("bigint").eqNullSafe(F.col("_k")) & (F.col(own) == F.col("_s")), "left")
+    plain = joined.where("_first is null").select(*columns)
+    once = joined.where("_first").dropDuplicates([key, own]).select(*columns)
+    return plain.unionByName(once)

@@ -108,8 +108,10 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 def with_counts(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """Columns ``keep`` and the counts of ``text``."""
-    fields = [df.schema[c] for c in keep]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"_{c} bigint" for c in COUNTS])
+    slim = df.select(*keep, F.col(text).alias("_text"))
+    schema = slim.drop("_text")
+    for name in COUNTS:
+        schema = schema.withColumn(f"_{name}", F.lit(0).cast("bigint"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +119,7 @@ def with_counts(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c) for c in counts.T]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *[f"_{c}" for c in COUNTS]])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(count, ddl)
+    return slim.mapInArrow(count, schema.schema)
 
 
 @dataclass(frozen=True)
@@ -221,3 +223,11 @@ def judge_quality(
         ),
         model,
     )
+
+
+def drop_low_quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``df`` that ``judge_quality`` keeps, with their columns, whatever their
+    names."""
+    rows = df.select(F.struct("*").alias("_row"), F.col(text).alias("_said"))
+    judged, _ = judge_quality(rows, "_said", ["_row"], rules)
+    return judged.where("kept").select("_row.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontaminate, html_text, language, ngram_join, pii, quality, sharding
+from citeloom.llm import bpe, chat, decontaminate, html_text, language, ngram_join, pii, quality, sharding, suffix_dedup
 from citeloom.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -133,7 +134,53 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"), keep=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLES["op10_suffix_dedup"] = r"""
+WITH given AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+    SELECT doc_id, 500 * c AS at, substr(h, 1000 * c + 1, 1000 + 98) AS p
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS c FROM given)
+), windows AS (
+    SELECT doc_id, at + j AS i, hash(substr(p, 2 * j + 1, 100)) AS g
+    FROM (SELECT doc_id, at, p, unnest(range(0, length(p) // 2 - 49)) AS j FROM pieces)
+), firsts AS (
+    SELECT g, min(doc_id) AS d FROM windows GROUP BY g
+), covered AS (
+    SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.g = f.g WHERE f.d < w.doc_id
+), marked AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS fresh FROM covered
+), numbered AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+    SELECT doc_id, span, min(i) AS b, max(i) + 50 AS e FROM numbered GROUP BY doc_id, span
+), gaps AS (
+    SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS a FROM spans
+), kept AS (
+    SELECT g.doc_id, count(*) AS n, sum(e - b) AS removed, max(e) AS last,
+           string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS front
+    FROM gaps g JOIN given ON given.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT g.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(k.removed, 0)::BIGINT AS n_removed, coalesce(k.n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM given g LEFT JOIN kept k ON k.doc_id = g.doc_id
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality, op8_ngram_join, op9_main_text)
-}
+    for f in (
+        op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality,
+        op8_ngram_join, op9_main_text, op10_suffix_dedup, pipeline,
+    )
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

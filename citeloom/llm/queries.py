@@ -143,11 +143,11 @@ ORACLES["op10_suffix_dedup"] = r"""
 WITH given AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), pieces AS (
-    SELECT doc_id, 500 * c AS at, substr(h, 1000 * c + 1, 1000 + 98) AS p
+    SELECT doc_id, 500 * c AS origin, substr(h, 1000 * c + 1, 1000 + 98) AS p
     FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS c FROM given)
 ), windows AS (
-    SELECT doc_id, at + j AS i, hash(substr(p, 2 * j + 1, 100)) AS g
-    FROM (SELECT doc_id, at, p, unnest(range(0, length(p) // 2 - 49)) AS j FROM pieces)
+    SELECT doc_id, origin + j AS i, hash(substr(p, 2 * j + 1, 100)) AS g
+    FROM (SELECT doc_id, origin, p, unnest(range(0, length(p) // 2 - 49)) AS j FROM pieces)
 ), firsts AS (
     SELECT g, min(doc_id) AS d FROM windows GROUP BY g
 ), covered AS (

@@ -96,6 +96,17 @@ def document_markup(documents: DataFrame) -> DataFrame:
     )
 
 
+def noisy_markup(documents: DataFrame) -> DataFrame:
+    """``document_markup`` with what is not part of a page's text: nested templates around,
+    a comment with a reference, bold quotes, links. What a page says is the same."""
+    box = "{{Infobox place\n| name = {{nowrap|{{lang|x|Box}}}}\n| url = https://box.org/1\n}}"
+    hidden = "<!-- no <ref>{{cite web|url=https://hidden.org/1}}</ref>\n -->"
+    nested = F.replace("markup", F.lit("|title=T}}</ref>"), F.lit("|title={{lang|de|{{nowrap|T}}}}}}</ref>"))
+    linked = F.regexp_replace(nested, r"(?m)^(\p{L}+) ", "[[Some place (town)|$1]] ")
+    noisy = F.concat(F.lit(box + hidden + "[[File:a.png|thumb|see [[b]]]]"), linked, F.lit("'''" + "{{stub}}"))
+    return document_markup(documents).withColumn("markup", F.when(F.pmod("article_id", F.lit(3)) == 0, noisy).otherwise(F.col("markup")))
+
+
 def _shapes_sql(shapes: list[str], other: str) -> str:
     cases = " ".join(f"WHEN {n} THEN {s}" for n, s in enumerate(shapes))
     return f"CASE (doc_id + line_no) % 6 {cases} ELSE {other} END"

@@ -12,6 +12,7 @@ from citeloom.checks.inputs import (
     document_markup,
     embedding_sql,
     joined_sql,
+    noisy_markup,
     titled,
     titled_sql,
     ARTICLE_TITLE_SQL,
@@ -43,7 +44,7 @@ from citeloom.session import scratch_path, stage
 from citeloom.sources.citation_files import list_files
 from citeloom.sources.dump import index_parse
 from citeloom.sources.stores import citations_load, topics_load
-from citeloom.streaming.jobs import stream_claims, stream_ingest
+from citeloom.streaming.jobs import stream_claims, stream_classify, stream_ingest
 
 # --- matches and citations: a document belongs to one of 500 topics ----------
 
@@ -235,7 +236,7 @@ def stored_rows(spark, store):
 
 
 def ingested_store(t) -> str:
-    lines, lengths = write_block_dump(document_markup(t.documents))
+    lines, lengths = write_block_dump(noisy_markup(t.documents))
     store = scratch_path(t.spark, "store")
     ingest_dump(index_parse(lines), lengths, store, "first")
     return store
@@ -252,7 +253,7 @@ def _(t):
 )
 def _(t):
     # The second run finds everything stored; ids are dense from 1.
-    lines, lengths = write_block_dump(document_markup(t.documents))
+    lines, lengths = write_block_dump(noisy_markup(t.documents))
     store = scratch_path(t.spark, "store")
     for run in ("first", "second"):
         ingest_dump(index_parse(lines), lengths, store, run)
@@ -278,23 +279,8 @@ def _(t):
     return ranges.join(true_sizes, "file_number").select("file_number", (F.col("length") == F.col("size")).alias("tiles"))
 
 
-@query(
-    "classify_claims",
-    f"""WITH {STORED_SQL}, claims AS (SELECT conv_id * 100 + turn AS claim_id, text FROM conversations WHERE role = 'user'),
-{embedding_sql('claims', 'claim_id', 'text')}, topics AS (
-  SELECT p.* FROM topic_text_parts p WHERE doc_id IN (SELECT doc_id FROM cites)
-), sims AS (
-  SELECT c.claim_id, t.doc_id, round(sum(c.value::DOUBLE * t.value::DOUBLE), 9) AS sim
-  FROM claims_parts c JOIN topics t USING (bucket) GROUP BY 1, 2
-), matches AS (
-  SELECT * FROM sims WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, doc_id) <= 5
-), pairs AS (
-  SELECT m.claim_id, m.doc_id, m.sim, c.uri, c.para_no, c.cite_no, {CLAIM_CLEAN_SQL.format(x="l.text")} AS hypothesis, {CLAIM_CLEAN_SQL.format(x="c.sentence")} AS premise
-  FROM matches m JOIN cites c USING (doc_id) JOIN claims l ON l.claim_id = m.claim_id
-), {scored_sql('pairs')}
-SELECT claim_id, doc_id AS article_id, uri, round(sim, 6) AS sim, round(contra, 6) AS contra, round(entail, 6) AS entail, count(*) AS n FROM scored GROUP BY ALL""",
-)
-def _(t):
+def classify_inputs(t):
+    """Claims, topics and citations of an ingested store."""
     store = ingested_store(t)
     topics = topics_load(t.spark, store)
     # Equal vectors tie by topic id, which follows the scan here: number by article.
@@ -302,7 +288,10 @@ def _(t):
     citations = citations.drop("topic_id").withColumnRenamed("article_id", "topic_id")
     topics = topics.withColumn("topic_id", F.col("article_id"))
     claims = t.conversations.where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), "text")
-    scored = classify_claims(claims, topics, citations)
+    return claims, topics, citations
+
+
+def counted_scores(scored):
     return scored.groupBy(
         "claim_id",
         F.col("topic_id").alias("article_id"),
@@ -313,6 +302,27 @@ def _(t):
     ).agg(F.count("*").alias("n"))
 
 
+CLASSIFIED_SQL = f"""WITH {STORED_SQL}, claims AS (SELECT conv_id * 100 + turn AS claim_id, text FROM conversations WHERE role = 'user'),
+{embedding_sql('claims', 'claim_id', 'text')}, topics AS (
+  SELECT p.* FROM topic_text_parts p WHERE doc_id IN (SELECT doc_id FROM cites)
+), sims AS (
+  SELECT c.claim_id, t.doc_id, round(sum(c.value::DOUBLE * t.value::DOUBLE), 9) AS sim
+  FROM claims_parts c JOIN topics t USING (bucket) GROUP BY 1, 2
+), matches AS (
+  SELECT * FROM sims WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, doc_id) <= 5
+), pairs AS (
+  SELECT m.claim_id, m.doc_id, m.sim, c.uri, c.para_no, c.cite_no, {CLAIM_CLEAN_SQL.format(x="l.text")} AS hypothesis, {CLAIM_CLEAN_SQL.format(x="c.sentence")} AS premise
+  FROM matches m JOIN cites c USING (doc_id) JOIN claims l ON l.claim_id = m.claim_id
+), {scored_sql('pairs')}
+SELECT claim_id, doc_id AS article_id, uri, round(sim, 6) AS sim, round(contra, 6) AS contra, round(entail, 6) AS entail, count(*) AS n FROM scored GROUP BY ALL"""
+
+
+@query("classify_claims", CLASSIFIED_SQL)
+def _(t):
+    claims, topics, citations = classify_inputs(t)
+    return counted_scores(classify_claims(claims, topics, citations))
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -329,8 +339,31 @@ def _(t):
 
 @query("stream_ingest", INGESTED_SQL)
 def _(t):
-    source = write_plain_dump(document_markup(t.documents).repartition(3))
+    source = write_plain_dump(noisy_markup(t.documents).repartition(3))
     store = scratch_path(t.spark, "store")
     stream = t.spark.readStream.option("lineSep", "</page>").option("maxFilesPerTrigger", 1).text(source)
     stream_ingest(stream, store, scratch_path(t.spark, "position")).awaitTermination()
     return stored_rows(t.spark, store)
+
+
+@query("stream_ingest_twice", INGESTED_SQL)
+def _(t):
+    """Two streams with positions of their own into one store: each adds what it alone has."""
+    store = scratch_path(t.spark, "store")
+    docs = noisy_markup(t.documents)
+    halves = (F.pmod("article_id", F.lit(2)) == 0, F.lit(True))
+    for half in halves:
+        source = write_plain_dump(docs.where(half).repartition(2))
+        stream = t.spark.readStream.option("lineSep", "</page>").text(source)
+        stream_ingest(stream, store, scratch_path(t.spark, "position")).awaitTermination()
+    return stored_rows(t.spark, store)
+
+
+@query("stream_classify", CLASSIFIED_SQL)
+def _(t):
+    claims, topics, citations = classify_inputs(t)
+    source, out = scratch_path(t.spark, "claims"), scratch_path(t.spark, "answers")
+    claims.repartition(2).write.parquet(source)
+    stream = t.spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_classify(stream, topics, citations, out, scratch_path(t.spark, "position")).awaitTermination()
+    return counted_scores(t.spark.read.parquet(out))

@@ -12,11 +12,12 @@ from citeloom.checks.inputs import (
     RAW_PARAGRAPH,
     REWRITTEN_PARAGRAPH,
     document_markup,
+    noisy_markup,
     joined_sql,
 )
 from citeloom.checks.registry import Tables, query
 from citeloom.functions.html import cite_extract, html_paragraphs, inner_text
-from citeloom.functions.markup import ref_rewrite, ref_strip, template_to_cite
+from citeloom.functions.markup import markup_to_html, ref_rewrite, ref_strip
 from citeloom.functions.sentences import sentence_lookbehind
 from citeloom.functions.text import claim_clean, prompt_build, topic_text_clean, whitespace_collapse
 from citeloom.functions.uris import absolute_uri
@@ -28,13 +29,11 @@ from citeloom.operators.cites import (
     locate_sentences,
     sentence_found,
 )
-from citeloom.operators.filters import clean_markup
 from citeloom.operators.support import split_claims
 
 
 def article_html(t: Tables):
-    articles = clean_markup(document_markup(t.documents))
-    return articles.select("article_id", "title", template_to_cite(F.col("markup")).alias("html"))
+    return noisy_markup(t.documents).select("article_id", "title", markup_to_html(F.col("markup")).alias("html"))
 
 
 # --- markup -----------------------------------------------------------------

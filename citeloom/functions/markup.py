@@ -61,19 +61,67 @@ def ref_strip(markup: Column) -> Column:
     return F.regexp_replace(markup, REF_TAG, " ")
 
 
-def template_to_cite(markup: Column) -> Column:
-    """Citation templates become ``<cite>argument</cite>``; the last copy of a
-    repeated argument counts, a missing one leaves its ``{{{name}}}`` placeholder."""
-    out = markup
+def _cite_of(template: Column) -> Column:
+    """``<cite>argument</cite>`` for the inside of a citation template, nothing for any
+    other. The last copy of a repeated argument counts, a missing one leaves its
+    ``{{{name}}}`` placeholder."""
+    cite = F.lit("")
     for name, argument in CITE_TEMPLATES.items():
-        head = r"\{\{\s*" + name + r"\s*"
-        out = F.regexp_replace(
-            out,
-            head + r"\|(?:[^{}]*\|)?\s*" + argument + r"\s*=\s*([^{}|]*?)\s*(?:\|[^{}]*)?\}\}",
-            "<cite>$1</cite>",
+        head = r"(?s)^\s*" + name + r"\s*"
+        valued = head + r"\|(?:.*\|)?\s*" + argument + r"\s*=\s*([^|]*?)\s*(?:\|.*)?$"
+        cite = (
+            F.when(F.rlike(template, F.lit(valued)), F.concat(F.lit("<cite>"), F.regexp_extract(template, valued, 1), F.lit("</cite>")))
+            .when(F.rlike(template, F.lit(head + r"(?:\|.*)?$")), F.lit("<cite>{{{" + argument + "}}}</cite>"))
+            .otherwise(cite)
+        )
+    return cite
+
+
+def template_to_cite(markup: Column) -> Column:
+    """Citation templates become ``<cite>argument</cite>``, all other templates go.
+
+    Braces are counted, so that a template may stand inside another one: only the outermost
+    counts, and what is nested in its arguments goes. Braces that are never closed are
+    text, and so are those that were never opened.
+    """
+    tokens = F.regexp_extract_all(markup, F.lit(r"\{\{|\}\}|[^{}]++|[{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit("").alias("inside"), F.lit("").alias("raw"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token == "{{", (token == "}}") & (state.depth > 0)
+        ends = closes & (state.depth == 1)
+        return F.struct(
+            F.when(opens, state.depth + 1).when(closes, state.depth - 1).otherwise(state.depth).alias("depth"),
+            F.when(ends, F.concat(state.out, _cite_of(state.inside)))
+            .when((state.depth == 0) & ~opens, F.concat(state.out, token))
+            .otherwise(state.out)
+            .alias("out"),
+            F.when(ends, F.lit("")).when((state.depth == 1) & ~opens & ~closes, F.concat(state.inside, token)).otherwise(state.inside).alias("inside"),
+            F.when(ends, F.lit("")).when((state.depth > 0) | opens, F.concat(state.raw, token)).otherwise(state.raw).alias("raw"),
         )
-        out = F.regexp_replace(out, head + r"(?:\|[^{}]*)?\}\}", "<cite>{{{" + argument + "}}}</cite>")
-    return out
+
+    folded = F.aggregate(tokens, start, step, lambda state: F.concat(state.out, state.raw))
+    # Many texts hold no template; skip the list work for them.
+    return F.when(F.contains(markup, F.lit("{{")), folded).otherwise(markup)
+
+
+def drop_comments(markup: Column) -> Column:
+    """Without ``<!-- ... -->``; one that is never closed runs to the end."""
+    return F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|\z)", "")
+
+
+def plain_links(markup: Column) -> Column:
+    """Links become their label, files, images and categories go, and so do the quotes
+    that make text bold."""
+    media = r"(?i)\[\[\s*(?:File|Image|Category)\s*:[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*+\]\]"
+    linked = F.regexp_replace(F.regexp_replace(markup, media, ""), r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
+    return F.regexp_replace(F.regexp_replace(linked, r"\[https?://[^\s\[\]]+ ([^\[\]]*)\]", "$1"), "'{2,}", "")
+
+
+def markup_to_html(markup: Column) -> Column:
+    """A page's markup as paragraphs of text with ``<cite>`` elements: comments first, as
+    what they hold is not part of the page, then references, templates, links."""
+    return plain_links(template_to_cite(ref_strip(ref_rewrite(drop_comments(markup)))))
 
 
 def markup_paragraphs(markup: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions.markup import ref_rewrite, ref_strip, template_to_cite
+from citeloom.functions.markup import markup_to_html
 from citeloom.functions.text import topic_text_clean
 from citeloom.operators.cites import extract_citations, has_cites
 from citeloom.operators.filters import (
@@ -23,7 +23,7 @@ from citeloom.operators.filters import (
 )
 from citeloom.operators.models import Encoder, HashingEncoder, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids
-from citeloom.session import scratch_path, stage
+from citeloom.session import broadcast_small, scratch_path, stage
 from citeloom.sources.dump import articles_per_block, block_table, dump_read_blocks
 from citeloom.sources.stores import citations_load, citations_write, last_ids, topics_load, topics_withdraw, topics_write
 
@@ -36,7 +36,7 @@ def articles_to_html(pages: DataFrame) -> DataFrame:
     would be pushed below the column and compute the HTML twice.
     """
     articles = redirect_filter(pages.where("markup is not null"))
-    html = template_to_cite(ref_strip(ref_rewrite(F.col("markup"))))
+    html = markup_to_html(F.col("markup"))
     kept = [c for c in articles.columns if c != "markup"]
     return articles.select(*kept, F.explode(F.filter(F.array(html), lambda h: has_cites(h))).alias("html"))
 
@@ -86,6 +86,19 @@ def pages_to_read(index: DataFrame, lengths: DataFrame, store: str, run: str) ->
     return stage(articles_per_block(wanted, numbered), "blocks")
 
 
+def first_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``pages`` (``article_id, title, markup``) those that ``wanted`` names, one for each
+    title: the lowest article id.
+
+    Only names are grouped; the winners come back as a slim, size-checked table.
+    """
+    winners = stage(wanted.groupBy("title").agg(F.min("article_id").alias("article_id"), F.count("*").alias("_copies")), "winners")
+    chosen = pages.join(broadcast_small(winners), ["title", "article_id"])
+    once = chosen.where("_copies = 1").drop("_copies")
+    repeated = chosen.where("_copies > 1").drop("_copies").dropDuplicates(["title", "article_id"])
+    return once.unionByName(repeated)
+
+
 def ingest_dump(
     index: DataFrame,
     lengths: DataFrame,
@@ -109,9 +122,10 @@ def ingest_scan(
     others = F.col("run") != run
     topics, citations = topics_load(spark, store).where(others), citations_load(spark, store).where(others)
     file_number = last_ids(topics, citations)[2] + 1
-    # Redirects go first, so that less text reaches the shuffle of the title checks.
-    named = redirect_filter(namespace_filter(pages.where("article_id is not null and markup is not null")))
-    fresh = skip_present(first_per_title(named), topics)
+    # Staged, as the title checks read names and texts apart: no text is shuffled but that
+    # of pages that repeat both title and id.
+    named = stage(redirect_filter(namespace_filter(pages.where("article_id is not null and markup is not null"))), "pages")
+    fresh = first_pages(named, skip_present(named.select("title", "article_id"), topics))
     full = fresh.select(
         "article_id",
         "title",

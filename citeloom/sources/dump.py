@@ -54,24 +54,39 @@ def index_rejects(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str, dump_path: str) -> DataFrame:
-    """Index file(s) of one dump file; bz2 is read as is."""
-    return index_parse(spark.read.text(path)).select(F.lit(dump_path).alias("dump_path"), "block_start", "article_id", "title")
+    """Index file(s) of one dump file; bz2 is read as is. ``dump_path`` may be spelled in
+    any way that Spark can read; it is stored as the file system spells it."""
+    where = F.lit(qualified_path(spark, dump_path)).alias("dump_path")
+    return index_parse(spark.read.text(path)).select(where, "block_start", "article_id", "title")
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path as its file system spells it, with scheme and authority; a local one
+    without. ``dump_lengths`` spells paths the same way."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target):
+        target = system.getFileStatus(target).getPath()
+    return re.sub("^file:/+", "/", system.makeQualified(target).toString())
 
 
 def block_table(index: DataFrame, lengths: DataFrame) -> DataFrame:
     """``dump_path, block_start, block_end, n_articles``.
 
     A block ends where the next one of its file starts, the last at the file's length
-    (``lengths``: ``dump_path, data_len``, one row per dump file).
+    (``lengths``: ``dump_path, data_len``, one row per dump file). A file without a length
+    is an error: the paths of index and lengths differ, or the file is not there.
     """
     blocks = index.groupBy("dump_path", "block_start").agg(F.count("*").alias("n_articles"))
     blocks = blocks.withColumn("_here", F.struct("dump_path", "block_start"))
     ended = with_next(blocks, ["dump_path", "block_start"], "_here", "_next")
     same_file = F.col("_next.dump_path") == F.col("dump_path")
-    return ended.join(broadcast_small(lengths), "dump_path").select(
+    missing = F.raise_error(F.concat(F.lit("no length is known of dump file "), "dump_path")).cast("bigint")
+    file_end = F.when(F.col("data_len").isNull(), missing).otherwise(F.col("data_len"))
+    return ended.join(broadcast_small(lengths), "dump_path", "left").select(
         "dump_path",
         "block_start",
-        F.when(same_file, F.col("_next.block_start")).otherwise(F.col("data_len")).alias("block_end"),
+        F.when(same_file, F.col("_next.block_start")).otherwise(file_end).alias("block_end"),
         "n_articles",
     )
 
@@ -126,12 +141,21 @@ def pages_from_text(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Schemes that pyarrow spells otherwise than Hadoop does.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _open(path: str) -> io.RawIOBase:
-    path = path.removeprefix("file:")
-    if "://" in path:
-        filesystem, inner = pafs.FileSystem.from_uri(path)
-        return filesystem.open_input_file(inner)
-    return open(path, "rb")
+    """A random-access file. Blocks are read at their offsets, which Spark's own readers
+    cannot do, so the scheme must be one that pyarrow knows as well."""
+    scheme, colon, rest = path.partition("://")
+    if scheme == "file" or not colon:
+        return open(re.sub("^file:/*", "/", path), "rb")
+    try:
+        filesystem, inner = pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+    except (pa.ArrowException, ValueError) as unknown:
+        raise ValueError(f"cannot open {path} at an offset: copy the dump to a file, s3, gs, abfs or hdfs path") from unknown
+    return filesystem.open_input_file(inner)
 
 
 def _pages_of_block(path: str, start: int, end: int) -> Iterator[str]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.session import broadcast_small
+
 TOPICS_SCHEMA = (
     "topic_id bigint, name string, block_start bigint, block_end bigint, article_id bigint, topic_vector array<float>"
 )
@@ -61,10 +63,10 @@ def topics_load(spark: SparkSession, store: str) -> DataFrame:
 
 
 def citations_load(spark: SparkSession, store: str) -> DataFrame:
-    """Citations of finished runs. The runs are partition folders: the filter is
-    settled before any data is read."""
-    runs = [r[0] for r in topics_load(spark, store).select("run").distinct().collect()]
-    return _read(spark, f"{store}/citations", CITATIONS_SCHEMA).where(F.col("run").isin(runs))
+    """Citations of finished runs. Runs are partition folders, so the list of finished
+    ones is made from folder names and joined, whatever their number."""
+    finished = topics_load(spark, store).select("run").distinct()
+    return _read(spark, f"{store}/citations", CITATIONS_SCHEMA).join(broadcast_small(finished), "run", "left_semi")
 
 
 def append_topics(spark: SparkSession, store: str, new_topics: DataFrame, run: str) -> DataFrame:

@@ -1,35 +1,54 @@
 """The two endless loops as streams of files.
 
 Neither keeps state in the stream: the stored tables are the state, the stream's
-checkpoint is the position. Each batch writes a folder of its own, named by its batch
-id, and replaces it when the batch is repeated after a failure.
+checkpoint is the position. Each batch writes a folder of its own, named by the stream's
+id and its batch id, and replaces it when the batch is repeated after a failure. The id
+lives in the checkpoint, so a restarted stream keeps it, and a second stream into the same
+place has another one and cannot touch what the first has written.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citeloom.operators.models import Encoder, HashingEncoder
+from citeloom.operators.models import Encoder, HashingEncoder, OverlapScorer, Scorer
 from citeloom.operators.similarity import TOPIC_MATCHES, topk_topics
-from citeloom.plans.classify import match_claims
+from citeloom.plans.classify import classify_claims, match_claims
 from citeloom.plans.ingest import ingest_scan
 from citeloom.session import stage
 from citeloom.sources.dump import pages_from_text
 
 
-def _start(stream: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+#: Reads what is there and stops; pass ``{"processingTime": "1 minute"}`` for an endless stream.
+ONCE = {"availableNow": True}
+
+
+def _start(
+    stream: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None
+) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was new."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _answer_folder(spark: SparkSession, out: str, checkpoint: str, batch_id: int) -> str:
+    return f"{out}/stream={stream_id(spark, checkpoint)}/batch={batch_id}"
+
+
 def stream_claims(
     claims: DataFrame,
     topics: DataFrame,
@@ -37,6 +56,7 @@ def stream_claims(
     checkpoint: str,
     k: int = TOPIC_MATCHES,
     make_encoder: Callable[[], Encoder] = HashingEncoder,
+    trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Answers a stream of claims (``claim_id`` with ``text``, or with ``vector`` when
     it was embedded before) with its nearest topics, below ``out``."""
@@ -46,18 +66,44 @@ def stream_claims(
             matches = topk_topics(stage(batch, "claims"), topics.select("topic_id", F.col("topic_vector").alias("vector")), k)
         else:
             matches = match_claims(stage(batch, "claims"), topics, k, make_encoder)
-        matches.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        matches.write.mode("overwrite").parquet(_answer_folder(batch.sparkSession, out, checkpoint, batch_id))
 
-    return _start(claims, answer, checkpoint)
+    return _start(claims, answer, checkpoint, trigger)
+
+
+def stream_classify(
+    claims: DataFrame,
+    topics: DataFrame,
+    citations: DataFrame,
+    out: str,
+    checkpoint: str,
+    k: int = TOPIC_MATCHES,
+    make_encoder: Callable[[], Encoder] = HashingEncoder,
+    make_scorer: Callable[[], Scorer] = OverlapScorer,
+    trigger: dict[str, Any] | None = None,
+) -> StreamingQuery:
+    """Answers a stream of claims (``claim_id, text``) as ``classify_claims`` does: with the
+    cited sentences of its nearest topics and their scores, below ``out``."""
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        scored = classify_claims(stage(batch, "claims"), topics, citations, k, make_encoder, make_scorer)
+        scored.write.mode("overwrite").parquet(_answer_folder(batch.sparkSession, out, checkpoint, batch_id))
+
+    return _start(claims, answer, checkpoint, trigger)
 
 
 def stream_ingest(
-    raw_pages: DataFrame, store: str, checkpoint: str, make_encoder: Callable[[], Encoder] = HashingEncoder
+    raw_pages: DataFrame,
+    store: str,
+    checkpoint: str,
+    make_encoder: Callable[[], Encoder] = HashingEncoder,
+    trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Ingests dump files as they arrive. ``raw_pages`` is a text stream cut at the end
     tag of each page (option ``lineSep``). Pages that are stored are skipped."""
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        ingest_scan(batch.sparkSession, pages_from_text(batch), store, f"stream-{batch_id:09d}", make_encoder)
+        run = f"stream-{stream_id(batch.sparkSession, checkpoint)}-{batch_id:09d}"
+        ingest_scan(batch.sparkSession, pages_from_text(batch), store, run, make_encoder)
 
-    return _start(raw_pages, ingest, checkpoint)
+    return _start(raw_pages, ingest, checkpoint, trigger)

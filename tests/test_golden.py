@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions.html import cite_extract, html_paragraphs
-from citeloom.functions.markup import is_redirect, markup_paragraphs, ref_rewrite, ref_strip, template_to_cite
+from citeloom.functions.markup import is_redirect, markup_paragraphs, markup_to_html, ref_rewrite, ref_strip, template_to_cite
 from citeloom.functions.sentences import citation_sentence, paragraph_without_uri
 from citeloom.functions.text import claim_clean, topic_text_clean, whitespace_collapse
 from citeloom.functions.uris import absolute_uri
@@ -116,13 +116,32 @@ def test_ref_strip(spark):
         ("{{Sfnm|a|loc=p. 3}}", "<cite>p. 3</cite>"),
         ("{{sfn|Smith|2001}}", "<cite>{{{loc}}}</cite>"),
         ("{{Cite web}}", "<cite>{{{url}}}</cite>"),
-        ("{{cite book|url=x}} {{Infobox|url=x}}", "{{cite book|url=x}} {{Infobox|url=x}}"),
+        ("{{cite book|url=x}} {{Infobox|url=x}}", " "),
+        ("a {{cite web|url=http://g.h/i|date={{date|1}}}} b", "a <cite>http://g.h/i</cite> b"),
+        ("{{Infobox|a={{nowrap|{{lang|x}}}}|ref={{cite web|url=http://in.box}}}}Text", "Text"),
+        ("a {{open and {{sfn|loc=x}} b", "a {{open and {{sfn|loc=x}} b"),
+        ("a }} b {{stub}}", "a }} b "),
     ],
 )
 def test_template_to_cite(spark, markup, expected):
     assert one(spark, template_to_cite(F.lit(markup))) == expected
 
 
+@pytest.mark.parametrize(
+    "markup, expected",
+    [
+        (
+            "'''Bob''' of [[town|city]] and [[Rome]].<ref>{{cite web|url=http://g.h|x=y}}</ref>",
+            "Bob of city and Rome.<cite>http://g.h</cite>",
+        ),
+        ("a<!-- <ref>{{cite web|url=http://no}}</ref> -->b<!-- open", "ab"),
+        ("[[File:x.png|thumb|of [[Bob|him]] here]]c [http://x.y label]", "c label"),
+    ],
+)
+def test_markup_to_html(spark, markup, expected):
+    assert one(spark, markup_to_html(F.lit(markup))) == expected
+
+
 def test_markup_paragraphs(spark):
     text = "First\nline.\n\n== Head ==\nAfter head.\n* item {{c}}\n{| table\n|-\n\n   \nLast."
     assert one(spark, markup_paragraphs(F.lit(text))) == ["First\nline.", "After head.", "Last."]

@@ -15,6 +15,7 @@ from citeloom.sources.citation_files import citation_xml_read, citation_xml_writ
 from citeloom.sources.dump import (
     articles_per_block,
     block_table,
+    _open,
     dump_lengths,
     dump_read,
     dump_read_blocks,
@@ -227,3 +228,41 @@ def test_stream_ingest_equals_batch(spark, store):
     assert stored(spark, streamed) == stored(spark, store)
     ids = [r["topic_id"] for r in topics_load(spark, streamed).collect()]
     assert len(set(ids)) == len(ids)
+
+
+def test_two_streams_into_one_store_keep_both(spark):
+    target = scratch_path(spark, "store")
+    for part in range(2):
+        folder = scratch_path(spark, "dumps")
+        df = articles(spark, range(part * 20, part * 20 + 20))
+        df.coalesce(1).select(page_xml(df).alias("value")).write.option("compression", "bzip2").text(folder)
+        stream = spark.readStream.option("lineSep", "</page>").text(folder)
+        before = {tuple(r) for r in topics_load(spark, target).select("topic_id", "name").collect()}
+        stream_ingest(stream, target, scratch_path(spark, "position"), HashingEncoder).awaitTermination()
+        after = {tuple(r) for r in topics_load(spark, target).select("topic_id", "name").collect()}
+        assert before < after
+        assert len({i for i, _ in after}) == len(after)
+
+
+def test_two_streams_of_claims_keep_both(spark, store):
+    topics, out = topics_load(spark, store), scratch_path(spark, "answers")
+    for claim_id in (1, 2):
+        source = scratch_path(spark, "claims")
+        claims = spark.createDataFrame([(claim_id, CLAIMS[0][1])], "claim_id bigint, text string")
+        claims.write.parquet(source)
+        stream = spark.readStream.schema(claims.schema).parquet(source)
+        stream_claims(stream, topics, out, scratch_path(spark, "position"), trigger={"availableNow": True}).awaitTermination()
+    assert {r["claim_id"] for r in spark.read.parquet(out).collect()} == {1, 2}
+
+
+def test_path_spelling_cannot_drop_a_dump(spark, dump):
+    spelled = read_index(spark, dump[1], f"file://{dump[0]}")
+    assert block_table(spelled, dump_lengths(spark, dump[0])).count() == block_table(read_index(spark, dump[1], dump[0]), dump_lengths(spark, dump[0])).count() > 0
+    foreign = spelled.withColumn("dump_path", F.lit("hdfs://elsewhere/dump"))
+    with pytest.raises(Exception, match="no length is known"):
+        block_table(foreign, dump_lengths(spark, dump[0])).collect()
+
+
+def test_unknown_schemes_are_named():
+    with pytest.raises(ValueError, match="copy the dump"):
+        _open("nowhere://x/y")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.session import tune
+from citeloom import session
 
 # Texts vary from nothing to megabytes, so Arrow batches are bounded by bytes as well.
-ARROW_BATCH_BYTES = "16m"
+ARROW_BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    tune(spark)
+    session.tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     return spark
 
@@ -91,8 +90,16 @@ def append_columns(df: DataFrame, text: str, added: dict[str, str], compute: Cal
     return df.mapInArrow(run, schema.schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose result has been staged: it does so
-    once the driver's garbage collector finds them unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. The shuffle files behind it are deleted as soon
+    as it is written, so that an operator of many steps needs the disk of one."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return session.stage(df, name)
+    finally:
+        conf.set(_CLEANUP, before)

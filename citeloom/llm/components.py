@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import stage
+from citeloom.llm.common import stage
+
 
 
 def _both_ways(links: DataFrame) -> DataFrame:

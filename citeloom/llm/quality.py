@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import stage
+from citeloom.llm.common import stage
+
 
 SPACE = b" \t\n\r\x0b\f"
 SYMBOLS = b"#*$%&|<>"

@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import shuffle_partitions, utf8_size
-from citeloom.session import stage
+from citeloom.llm.common import shuffle_partitions, stage, utf8_size
 
 #: Copies of one (key, size, checksum) that one task numbers at a time.
 COPIES_PER_ROW = 100_000

@@ -12,7 +12,9 @@ enough to refine down to the length asked for:
 2. The identifier of a window follows from the buckets at offsets 0, Q and LENGTH - Q, that
    of a region, all windows with one anchor, from its first and last window. Anchors of a
    bucket are sorted by region: where regions are equal, the least document keeps it.
-3. Buckets with several regions are refined once more, window by window.
+3. Buckets with several regions are refined once more, window by window. Two regions of
+   a bucket can only share a window if they agree on SIDE bytes before or after the anchor,
+   so a byte of hash for each side tells most of those that share nothing more.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import batches_of, parts_for, release, utf8_size
+from citeloom.llm.common import batches_of, parts_for, stage, utf8_size
 from citeloom.llm.shingles import _BYTES, _PLACES, _grown, mix
-from citeloom.session import stage
 
 LENGTH = 50
 Q = 20
 
+#: A window has an anchor and LENGTH - Q bytes more, so half of these on one side of it.
+SIDE = (LENGTH - Q) // 2
+
 #: Suffixes, or windows, that one task sorts at a time.
 TASK_ENTRIES = 1_000_000
 
@@ -52,6 +56,8 @@ class Windows:
     last: np.ndarray
     bucket: np.ndarray
     region: np.ndarray
+    before: np.ndarray  # per anchor: a byte of hash of what stands before it, 0 for too little
+    after: np.ndarray
 
 
 def least_place(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +79,7 @@ def identify(raw: Sequence[bytes], length: int = LENGTH, q: int = Q) -> Windows:
     data = np.frombuffer(b"".join(raw), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return Windows(none.astype(np.uint64), none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Windows(none.astype(np.uint64), none, none, none, *[none.astype(np.uint64)] * 2, *[none.astype(np.uint8)] * 2)
     up, down = _grown(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTES[data] + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     gram = mix((sums[q:] - sums[:-q]) * down[: len(data) - q + 1])
@@ -90,7 +96,18 @@ def identify(raw: Sequence[bytes], length: int = LENGTH, q: int = Q) -> Windows:
     last = starts[np.append(at[1:], len(starts)) - 1] if len(at) else none
     shape = ((anchor - first) * (2 * length) + (last - first)).astype(np.uint64)
     region = mix(window[first] * _PLACES[3] + window[last] * _PLACES[4] + shape)
-    return Windows(window, owner[first], first, last, gram[anchor], region)
+    text = owner[first]
+    before = side(sums, down, anchor - SIDE, ends[text] - sizes[text], ends[text])
+    after = side(sums, down, anchor + q, ends[text] - sizes[text], ends[text])
+    return Windows(window, text, first, last, gram[anchor], region, before, after)
+
+
+def side(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """1 to 255, a hash of SIDE bytes from ``begin``; 0 where the text has not as many."""
+    inside = (begin >= least) & (begin + SIDE <= most)
+    at = np.where(inside, begin, 0)
+    hashed = mix((sums[np.minimum(at + SIDE, len(sums) - 1)] - sums[at]) * down[at])
+    return np.where(inside, 1 + hashed % np.uint64(255), 0).astype(np.uint8)
 
 
 def blocks(raw: Sequence[bytes]) -> Iterator[tuple[int, int]]:
@@ -108,32 +125,50 @@ def whole_id(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big")
 
 
-ENTRIES = pa.schema([("part", pa.int32()), ("bucket", pa.binary()), ("region", pa.binary()), ("doc", pa.binary()), ("known", pa.bool_())])
-ENTRIES_DDL = "part int, bucket binary, region binary, doc binary, known boolean"
+ENTRIES = pa.schema([("part", pa.int32()), ("rows", pa.int32()), ("columns", pa.binary()), ("known", pa.bool_())])
+ENTRIES_DDL = "part int, rows int, columns binary, known boolean"
 VERDICT = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("open", pa.bool_())])
 
 
-def dealt(bucket: np.ndarray, region: np.ndarray, doc: np.ndarray, parts: int, known: bool) -> Iterator[tuple]:
+def planes(values: np.ndarray) -> bytes:
+    """The first byte of all values, then the second of all, and so on: high bytes of ids
+    and of sorted hashes are much alike and take little room once compressed."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(raw: bytes, at: int, rows: int, kind) -> tuple[np.ndarray, int]:
+    size = rows * np.dtype(kind).itemsize
+    flat = np.frombuffer(raw, np.uint8, size, at).reshape(-1, rows)
+    return np.ascontiguousarray(flat.T).view(kind).reshape(rows), at + size
+
+
+#: Columns of entries to sort, and of those that are known to be covered.
+SORTED = (np.uint64, np.uint64, np.int64, np.uint8, np.uint8)
+KNOWN = (np.uint64, np.int64)
+
+
+def dealt(bucket: np.ndarray, columns: Sequence[np.ndarray], parts: int, known: bool) -> Iterator[tuple]:
     """Entries as one row for each part they belong to. Only the bucket decides the part."""
     part = ((bucket >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, bucket, region, doc = part[order], bucket[order], region[order], doc[order]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for p, b, r, d in zip(np.split(part, cuts), np.split(bucket, cuts), np.split(region, cuts), np.split(doc, cuts), strict=True):
-        if len(p):
-            yield int(p[0]), b.tobytes(), r.tobytes(), d.tobytes(), known
+    part = part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    ordered = [c[order] for c in columns]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield int(part[a]), b - a, b"".join(planes(c[a:b]) for c in ordered), known
 
 
-def least_first(bucket: np.ndarray, region: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by bucket, region and document, equal entries once; and which are the first
-    of their region."""
+def least_first(bucket: np.ndarray, region: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted by bucket, region and document, equal entries once; and, last, which are the
+    first of their region."""
     order = np.lexsort((doc, region, bucket))
     bucket, region, doc = bucket[order], region[order], doc[order]
     new = np.ones(len(doc), bool)
     new[1:] = (region[1:] != region[:-1]) | (bucket[1:] != bucket[:-1])
     keep = new.copy()
     keep[1:] |= doc[1:] != doc[:-1]
-    return bucket[keep], region[keep], doc[keep], new[keep]
+    return bucket[keep], region[keep], doc[keep], *[m[order][keep] for m in more], new[keep]
 
 
 def read_anchors(df: DataFrame, parts: int) -> DataFrame:
@@ -149,37 +184,41 @@ def read_anchors(df: DataFrame, parts: int) -> DataFrame:
             whole = np.array([whole_id(raw[i]) for i in order], np.uint64)
             _, once = np.unique(whole, return_index=True)  # the first, so the least document
             once = order[np.sort(once)]
-            found = [(whole, whole, ids[order])]
+            found = [(whole, whole, ids[order], *[np.zeros(len(whole), np.uint8)] * 2)]
             own = [raw[i] for i in once]
             for a, b in blocks(own):
                 w = identify(own[a:b])
-                found.append((w.bucket, w.region, ids[once[a:b]][w.text]))
-            bucket, region, doc, least = least_first(*[np.concatenate(x) for x in zip(*found, strict=True)])
-            yield from batches_of(dealt(bucket[least], region[least], doc[least], parts, False), ENTRIES)
-            # A later entry of its region has a larger document, except for the same one.
-            yield from batches_of(dealt(bucket[~least], region[~least], doc[~least], parts, True), ENTRIES)
+                found.append((w.bucket, w.region, ids[once[a:b]][w.text], w.before, w.after))
+            *columns, least = least_first(*[np.concatenate(x) for x in zip(*found, strict=True)])
+            yield from batches_of(dealt(columns[0][least], [c[least] for c in columns], parts, False), ENTRIES)
+            # What is not the first of its region has a larger document.
+            yield from batches_of(dealt(columns[0][~least], [c[~least] for c in columns[1:3]], parts, True), ENTRIES)
 
     return df.mapInArrow(read, ENTRIES_DDL)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+def parts_of(batches: Iterator[pa.RecordBatch], kinds: Sequence) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
     """The entries of each part of sorted rows: those to sort, and those known."""
-    held: dict[bool, list[tuple]] = {False: [], True: []}
+    of = {False: kinds, True: KNOWN}
+    held: dict[bool, list[list[np.ndarray]]] = {False: [], True: []}
     now = None
 
-    def arrays(rows: list[tuple]) -> list[np.ndarray]:
-        kinds = (np.uint64, np.uint64, np.int64)
-        return [np.concatenate([np.frombuffer(r[i], k) for r in rows] or [np.zeros(0, k)]) for i, k in enumerate(kinds)]
+    def joined(known: bool) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0, k), *[c[i] for c in held[known]]]) for i, k in enumerate(of[known])]
 
     for batch in batches:
-        for part, *blobs, known in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+        for part, rows, raw, known in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
             if part != now:
                 if now is not None:
-                    yield arrays(held[False]), arrays(held[True])
+                    yield joined(False), joined(True)
                 held, now = {False: [], True: []}, part
-            held[known].append(blobs)
+            columns, at = [], 0
+            for kind in of[known]:
+                column, at = unplaned(raw, at, rows, kind)
+                columns.append(column)
+            held[known].append(columns)
     if now is not None:
-        yield arrays(held[False]), arrays(held[True])
+        yield joined(False), joined(True)
 
 
 def by_part(entries: DataFrame, parts: int) -> DataFrame:
@@ -192,24 +231,33 @@ def verdict(doc: np.ndarray, region: np.ndarray, opened: bool, each: int = 100_0
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(region[i : i + each].view(np.int64)), pa.array(np.full(len(d), opened))], schema=VERDICT)
 
 
+def agreeing(bucket: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where another document's region of the bucket agrees on a side."""
+    order = np.lexsort((side, bucket))
+    b, s, d = bucket[order], side[order], doc[order]
+    new = np.ones(len(b), bool)
+    new[1:] = (b[1:] != b[:-1]) | (s[1:] != s[:-1])
+    out = np.zeros(len(b), bool)
+    begins = np.flatnonzero(new)
+    if len(begins):
+        several = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
+        out[order] = several[np.cumsum(new) - 1] & (s > 0)
+    return out
+
+
 def sort_regions(entries: DataFrame, parts: int) -> DataFrame:
     """(doc_id, region, open): regions that an earlier document has too, and with ``open``
     the regions whose windows have to be looked at: the first of each of several regions
-    in a bucket of several documents."""
+    in a bucket that agree on a side, in different documents."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, region, doc), (_, known_region, known_doc) in parts_of(batches):
+        for (bucket, region, doc, before, after), (known_region, known_doc) in parts_of(batches, SORTED):
             yield from verdict(known_doc, known_region, False)
-            bucket, region, doc, least = least_first(bucket, region, doc)
+            bucket, region, doc, before, after, least = least_first(bucket, region, doc, before, after)
             yield from verdict(doc[~least], region[~least], False)
-            bucket, region, doc = bucket[least], region[least], doc[least]
-            new = np.ones(len(bucket), bool)
-            new[1:] = bucket[1:] != bucket[:-1]
-            run = np.cumsum(new) - 1
-            begins = np.flatnonzero(new)
-            if len(begins):
-                several = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)
-                yield from verdict(doc[several[run]], region[several[run]], True)
+            bucket, region, doc, before, after = (c[least] for c in (bucket, region, doc, before, after))
+            several = agreeing(bucket, before, doc) | agreeing(bucket, after, doc)
+            yield from verdict(doc[several], region[several], True)
 
     return by_part(entries, parts).mapInArrow(judge, "doc_id bigint, region bigint, open boolean")
 
@@ -233,8 +281,9 @@ def read_windows(df: DataFrame, parts: int) -> DataFrame:
                 found.append((w.window[where], ids[a:b][np.repeat(w.text[take], counts)]))
             windows, doc = [np.concatenate(x) for x in zip(*found, strict=True)] if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             windows, _, doc, least = least_first(windows, windows, doc)
-            yield from batches_of(dealt(windows[least], windows[least], doc[least], parts, False), ENTRIES)
-            yield from batches_of(dealt(windows[~least], windows[~least], doc[~least], parts, True), ENTRIES)
+            for known in (False, True):
+                some = least ^ known
+                yield from batches_of(dealt(windows[some], [windows[some], doc[some]], parts, known), ENTRIES)
 
     return df.mapInArrow(read, ENTRIES_DDL)
 
@@ -243,9 +292,9 @@ def sort_windows(entries: DataFrame, parts: int) -> DataFrame:
     """(doc_id, region): windows that an earlier document has too."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, region, doc), (_, known_region, known_doc) in parts_of(batches):
+        for (region, doc), (known_region, known_doc) in parts_of(batches, KNOWN):
             yield from verdict(known_doc, known_region, False)
-            _, region, doc, least = least_first(bucket, region, doc)
+            _, region, doc, least = least_first(region, region, doc)
             yield from verdict(doc[~least], region[~least], False)
 
     return by_part(entries, parts).mapInArrow(judge, "doc_id bigint, region bigint, open boolean").select("doc_id", "region")
@@ -275,11 +324,9 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep: bo
     parts = parts_for(size / 15, TASK_ENTRIES, spark)
 
     judged = stage(sort_regions(read_anchors(ordered, parts), parts), "regions")
-    release(spark)
     asked = judged.where("open").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("region").alias("regions"))
     opened = ordered.join(asked, ordered["_id"] == asked["_doc"]).select("_id", "text", "regions")
     windows = stage(sort_windows(read_windows(opened, parts), parts), "windows")
-    release(spark)
 
     covered = judged.where("not open").select("doc_id", "region").unionByName(windows)
     covered = covered.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("region").alias("_covered"))

@@ -4,15 +4,16 @@ Two sets whose Jaccard similarity reaches the threshold share a token among the
 of each, in any order of all tokens; the rarer the first ones, the fewer candidates. So:
 
 1. Texts with equal sets are one class.
-2. Tokens are ordered: a quarter of all tokens (by hash) comes first, the rarer ones
+2. Tokens are ordered: two fifths of all tokens (by hash) come first, the rarer ones
    earlier; then the others by hash; then a bounded list of very frequent ones. The
-   document frequency is counted for the first quarter only, which is enough, as a prefix
+   document frequency is counted for these two fifths only, which is enough, as a prefix
    takes less than that; any order is right, it only has to be the same for all.
 3. Classes with equal prefixes and size are one group. Only one member stands for it in
    the lists of tokens.
 4. A first pass ties neighbours: members to their group, and groups that stand next to
    each other in a token's list. These pairs are verified on the whole texts, and what is
    linked becomes one component. A large group of copies is thus never written as pairs.
+   A few rounds more tie components that stand next to each other in a token's list.
 5. A second pass takes what is left: pairs of groups that share a token, fit in size and
    are not yet in one component. Pairs are filtered by the number of shared prefix
    tokens, expanded to the members and verified. So no link between components is missed.
@@ -29,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import free_name, parts_for, release
+from citeloom.llm.common import free_name, parts_for, stage
 from citeloom.llm.components import components
 from citeloom.llm.shingles import shingle_set, shingle_sets
-from citeloom.session import broadcast_small, stage
+from citeloom.session import broadcast_small
 
-#: Tokens below this are ordered by frequency: a quarter of all 64-bit hashes.
-RANKED = 1 << 62
+#: Tokens below this are ordered by frequency: two fifths of all 64-bit hashes.
+RANKED = (1 << 64) * 2 // 5
+
+#: Rounds that tie components before the second pass; it is complete after any number.
+BRIDGES = 3
 
 #: Most frequent tokens, at most so many, that are ordered last. Looked for among those
 #: that at least one in FREQUENT_SHARE of the texts of an Arrow batch have.
@@ -178,8 +182,8 @@ def shared_tokens(found: DataFrame, partitions: int) -> DataFrame:
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
-    """(token, salt, cid, n, whole): the tokens of each prefix that another set has, and
-    whether they are the whole prefix."""
+    """(token, salt, cid, n, place): the tokens of each prefix that another set has; (place,
+    token) is the order of all tokens."""
     own = Window.partitionBy("cid")
     ranked = F.col("hits").isNotNull() & (F.col("token") >= 0) & (F.col("token") < RANKED)
     counted = (
@@ -188,7 +192,12 @@ def prefixes(shared: DataFrame) -> DataFrame:
         .withColumn("_place", F.row_number().over(own.orderBy(F.desc("_ranked"), "hits", "token")))
     )
     kept = counted.where(~F.col("_ranked") | (F.col("_place") <= F.col("_shared") + F.col("spare")))
-    return kept.select("token", "salt", "cid", "n")
+    place = F.when(F.col("_ranked"), F.col("hits")).otherwise(F.lit(1 << 40) * (1 + F.signum(F.col("salt"))))
+    return kept.select("token", "salt", "cid", "n", place.cast("bigint").alias("place"))
+
+
+def prefix_size(n, percent: int):
+    return n - F.ceil(n * percent / 100.0) + 1
 
 
 def size_class(n, percent: int):
@@ -268,22 +277,22 @@ def join_components(
     tokens = classes.agg(F.sum("n")).first()[0] or 0
 
     found = prefix_candidates(docs, width, percent, np.sort(frequent))
-    own = stage(prefixes(shared_tokens(found, parts_for(tokens / 4, TASK_TOKENS, spark))), "prefixes")
-    release(spark)
+    own = stage(prefixes(shared_tokens(found, parts_for(tokens * 0.4, TASK_TOKENS, spark))), "prefixes")
 
     # Groups of equal prefix and size. A prefix with tokens that no other set has is alone.
     kinds = own.groupBy("cid").agg(
         F.first("n").alias("n"),
         F.count("*").alias("_tokens"),
         F.sum(F.xxhash64("token").cast("decimal(20,0)")).alias("_sum"),
+        F.max(F.struct("place", "token")).alias("last"),
     )
-    kinds = kinds.withColumn("_whole", F.col("_tokens") == F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
+    kinds = kinds.withColumn("_whole", F.col("_tokens") == prefix_size(F.col("n"), percent))
     kinds = kinds.withColumn("_alone", F.when(F.col("_whole"), F.lit(0)).otherwise(F.col("cid")))
     same = ["n", "_tokens", "_sum", "_whole", "_alone"]
     leaders = kinds.groupBy(*same).agg(F.min("cid").alias("gid"))
-    members = stage(kinds.join(leaders, same).select("cid", "gid", "n", F.col("_tokens").alias("tokens")), "members")
+    members = stage(kinds.join(leaders, same).select("cid", "gid", "n", "last", F.col("_tokens").alias("tokens")), "members")
     lists = stage(
-        own.withColumnRenamed("cid", "gid").join(members.where("cid = gid").select("gid", "tokens"), "gid").select("token", "salt", "gid", "n", "tokens"), "lists"
+        own.withColumnRenamed("cid", "gid").join(members.where("cid = gid").select("gid", "tokens", "last"), "gid").select("token", "salt", "gid", "n", "tokens", "last"), "lists"
     )
 
     # First pass: neighbours.
@@ -293,21 +302,20 @@ def join_components(
     near = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "near")
     links = stage(verify(near, texts_of(docs, classes, near), width, percent), "links")
     roots = stage(components(links), "roots")
-    release(spark)
+
+    for _ in range(BRIDGES):
+        placed, rooted = place(members, lists, roots)
+        pairs = stage(bridges(rooted, percent), "bridges")
+        new = stage(verify(pairs, texts_of(docs, classes, pairs), width, percent), "new-links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = stage(components(links), "roots")
 
     # Second pass: what is not in one component yet.
-    placed = stage(
-        members.join(roots, members["cid"] == roots["node"], "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), "placed"
-    )
-    group_root = placed.groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    mixed = group_root.select("gid", F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("one"), F.col("gid").alias("_gid"))
-    rooted = stage(
-        lists.join(mixed, "gid").select("token", "gid", "n", "tokens", F.coalesce("one", F.lit(0)).alias("one"), F.when(F.col("one").isNull(), F.col("gid")).alias("mixed")),
-        "rooted",
-    )
-    far = second_pass(rooted, placed, percent)
-    far = stage(far, "far")
-    more = verify(far, texts_of(docs, classes, far), width, percent)
+    placed, rooted = place(members, lists, roots)
+    far = stage(second_pass(rooted, placed, percent), "far")
+    more = stage(verify(far, texts_of(docs, classes, far), width, percent), "more-links")
     roots = stage(components(links.unionByName(more)), "roots")
 
     final = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "low", "first", F.coalesce("root", "cid").alias("root"))
@@ -323,53 +331,81 @@ def join_components(
     )
 
 
+def place(members: DataFrame, lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their component (``root``), and the lists with the component of
+    each group: ``one``, or if its members are in several, 0 and ``mixed``, the group."""
+    tied = members.join(roots, members["cid"] == roots["node"], "left")
+    placed = stage(tied.select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), "placed")
+    spans = placed.groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    same = F.col("_low") == F.col("_high")
+    who = spans.select("gid", F.when(same, F.col("_low")).otherwise(0).alias("one"), F.when(~same, F.col("gid")).otherwise(0).alias("mixed"))
+    return placed, stage(lists.join(who, "gid"), "rooted")
+
+
+def bridges(rooted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups of different components, next to each other in the list of a
+    token. Component and member are taken in an order of the token's own, so that each
+    token ties others."""
+    one = rooted.groupBy("token", "one", "mixed").agg(F.min(F.struct(F.xxhash64("token", "gid"), "gid", "n")).alias("_some"))
+    beside = Window.partitionBy("token", size_class(F.col("_some.n"), percent)).orderBy(F.xxhash64("token", "one", "mixed"), "one", "mixed")
+    found = one.select(F.lag("_some").over(beside).alias("_before"), F.col("_some")).where("_before is not null")
+    a, b = F.col("_before.gid"), F.col("_some.gid")
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
+
+
 def second_pass(rooted: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that the prefixes allow.
 
     Tokens are first looked at by component: one whose sets are all in one component is
     done, however many they are.
     """
-    # A group with members in several components stands for itself.
-    who = [F.col("one"), F.col("mixed")]
+    who = ["one", "mixed"]
     parts = rooted.groupBy("token", *who).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     open_tokens = parts.groupBy("token").agg(F.count("*").alias("_parts")).where("_parts > 1").select("token")
     left = parts.join(open_tokens, "token", "left_semi")
     a, b = left.alias("a"), left.alias("b")
     fits = (F.col("a.least") * percent <= F.col("b.most") * 100) & (F.col("b.least") * percent <= F.col("a.most") * 100)
-    before = F.struct("a.one", F.coalesce("a.mixed", F.lit(0))) < F.struct("b.one", F.coalesce("b.mixed", F.lit(0)))
+    before = F.struct("a.one", "a.mixed") < F.struct("b.one", "b.mixed")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & before & fits).select(
-        F.col("a.token").alias("token"), F.col("a.one").alias("one_a"), F.col("a.mixed").alias("mixed_a"), F.col("b.one").alias("one_b"), F.col("b.mixed").alias("mixed_b")
+        F.col("a.token").alias("token"), *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in who]
     )
-    x = rooted.select("token", F.col("one").alias("one_a"), F.col("mixed").alias("mixed_a"), F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("px"))
-    y = rooted.select("token", F.col("one").alias("one_b"), F.col("mixed").alias("mixed_b"), F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("py"))
-    met = met.join(x, (met["token"] == x["token"]) & (met["one_a"] == x["one_a"]) & met["mixed_a"].eqNullSafe(x["mixed_a"])).select(
-        met["token"], "one_b", "mixed_b", "x", "nx"
-    )
-    met = met.join(
-        y,
-        (met["token"] == y["token"]) & (met["one_b"] == y["one_b"]) & met["mixed_b"].eqNullSafe(y["mixed_b"])
-        & (F.col("nx") * percent <= F.col("ny") * 100) & (F.col("ny") * percent <= F.col("nx") * 100),
-    ).select("x", "y", "nx", "ny")
-    # The intersection is at most the shared prefix tokens and what follows the prefixes.
-    rest = F.greatest(*[F.col(c) - (F.col(c) - F.ceil(F.col(c) * percent / 100.0) + 1) for c in ("nx", "ny")])
-    enough = (F.col("shared") + rest) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    x = rooted.select("token", F.col("one").alias("one_a"), F.col("mixed").alias("mixed_a"), F.col("gid").alias("x"), F.struct("n", "tokens", "last").alias("sx"))
+    y = rooted.select("token", F.col("one").alias("one_b"), F.col("mixed").alias("mixed_b"), F.col("gid").alias("y"), F.struct("n", "tokens", "last").alias("sy"))
+    met = met.join(x, ["token", "one_a", "mixed_a"]).join(y, ["token", "one_b", "mixed_b"])
+    met = met.where((F.col("sx.n") * percent <= F.col("sy.n") * 100) & (F.col("sy.n") * percent <= F.col("sx.n") * 100))
+    swap = F.col("x") > F.col("y")
     groups = (
-        met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("nx"), F.col("ny"))
+        met.select(
+            F.least("x", "y").alias("x"),
+            F.greatest("x", "y").alias("y"),
+            F.when(swap, F.col("sy")).otherwise(F.col("sx")).alias("sx"),
+            F.when(swap, F.col("sx")).otherwise(F.col("sy")).alias("sy"),
+        )
         .groupBy("x", "y")
-        .agg(F.count("*").alias("shared"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-        .where(enough)
+        .agg(F.count("*").alias("shared"), F.max("sx").alias("sx"), F.max("sy").alias("sy"))
+        .where(may_be_similar(percent))
         .select("x", "y")
     )
     inside = placed.groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
     groups = groups.unionByName(inside.select(F.col("gid").alias("x"), F.col("gid").alias("y")))
-    p, q = placed.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("root").alias("_ra")), placed.select(F.col("gid").alias("y"), F.col("cid").alias("b"), F.col("root").alias("_rb"))
-    return (
-        groups.join(p, "x")
-        .join(q, "y")
-        .where("_ra != _rb")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    p = placed.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("root").alias("_ra"))
+    q = placed.select(F.col("gid").alias("y"), F.col("cid").alias("b"), F.col("root").alias("_rb"))
+    return groups.join(p, "x").join(q, "y").where("_ra != _rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def may_be_similar(percent: int):
+    """Whether two sets with ``shared`` tokens in both prefixes can reach the threshold.
+
+    Up to the end of the prefix that ends first, all common tokens are shared; behind it
+    there are the rest of that set. Nor can the tokens be common that no other set has.
+    """
+    n_x, n_y = F.col("sx.n"), F.col("sy.n")
+    rest_x, rest_y = n_x - prefix_size(n_x, percent), n_y - prefix_size(n_y, percent)
+    rest = (
+        F.when(F.col("sx.last") < F.col("sy.last"), rest_x).when(F.col("sy.last") < F.col("sx.last"), rest_y).otherwise(F.least(rest_x, rest_y))
     )
+    most = F.least(F.col("shared") + rest, rest_x + F.col("sx.tokens"), rest_y + F.col("sy.tokens"))
+    return most * (100 + percent) >= (n_x + n_y) * percent
 
 
 def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

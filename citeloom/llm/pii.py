@@ -157,6 +157,9 @@ def _phone(text: str) -> bool:
     return 7 <= len(re.sub(r"\D", "", text)) <= 15
 
 
+#: An area in brackets; one separator throughout; digits alone.
+PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]\d{2,4}|(?P<sep>[ .-])\d{2,4}(?:(?P=sep)\d{2,4}){1,3}|\d{7,12})(?!\d)"
+
 #: Longer formats first: what one kind has taken is not looked at again.
 KINDS = (
     Kind("secret", r"""(?:(?<=token = ")|(?<=TOKEN = ")|(?<=key = ")|(?<=secret = "))[0-9A-Fa-f]{16,128}(?=")""", lambda t, k: word_pseudonym(t, k, "secret", HEX)),
@@ -164,7 +167,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", None, lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1),
     Kind("date", r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-]|\.\d)", date_pseudonym, is_date),
     Kind("ipv4", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", address_pseudonym, _octets),
-    Kind("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\d)", lambda t, k: phone_pseudonym(t, k), _phone),
+    Kind("phone", PHONE, lambda t, k: phone_pseudonym(t, k), _phone),
     Kind("ssn", r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", lambda t, k: ssn_pseudonym(t, k)),
     Kind("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)", card_pseudonym, _card),
 )

@@ -10,8 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.llm import bpe, decontaminate, ngram_join, pii, quality
-from citeloom.llm.common import prepare, read_table
-from citeloom.session import stage
+from citeloom.llm.common import prepare, read_table, stage
 
 #: Stands for the secret that a production job reads from its key store.
 PII_KEY = b"a key for the test tables only"

@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ class Vocabulary:
     """Ranks of a tiktoken file and the pattern that splits text before the merges.
 
     Small and fixed (about a megabyte); it travels with the task, so that executors need
-    no file of the driver.
+    no file of the driver. The tables built from it are larger: they belong to the task's
+    copy and go with it, so that idle workers hold none.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -43,19 +44,21 @@ class Vocabulary:
             self.ranks = lines.read()
         self.pattern = pattern
 
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
     def encoding(self) -> tiktoken.Encoding:
-        return _encoding(self.ranks, self.pattern)
+        return self._tables
+
+    @cached_property
+    def _tables(self) -> tiktoken.Encoding:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.ranks.splitlines()) if token}
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=table, special_tokens={})
 
     def splitter(self) -> regex.Pattern:
         return regex.compile(self.pattern)
 
 
-@lru_cache(maxsize=2)
-def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
-    table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines()) if token}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
-
 def encode_piece(text: str, vocabulary: Vocabulary) -> np.ndarray:
     return np.asarray(vocabulary.encoding().encode_ordinary(text), dtype="<u4")
 

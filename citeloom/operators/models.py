@@ -158,11 +158,16 @@ def topic_embed(
 
 
 def support_score(
-    pairs: DataFrame, make_scorer: Callable[[], Scorer] = OverlapScorer, attempts: int = ATTEMPTS
+    pairs: DataFrame,
+    make_scorer: Callable[[], Scorer] = OverlapScorer,
+    attempts: int = ATTEMPTS,
+    keep_failures: bool = False,
 ) -> DataFrame:
     """``contra`` and ``entail`` (they add up to 1) for rows with ``premise`` and
-    ``hypothesis``. Pass distinct pairs: each row is one model call. A pair whose
-    tries all failed stops the job, as a missing score must not be dropped."""
+    ``hypothesis``. Pass distinct pairs: each row is one model call.
+
+    A missing score must not be dropped: a pair whose tries all failed stops the job, or,
+    with ``keep_failures``, stays with null scores and the last failure in ``error``."""
 
     @F.pandas_udf(LOGITS_TYPE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -170,13 +175,14 @@ def support_score(
         for prompts in batches:
             rows, tries, errors = run_with_retries(scorer.logits, prompts.tolist(), attempts)
             failed = [e for e in errors if e is not None]
-            if failed:
+            if failed and not keep_failures:
                 raise RuntimeError(f"no score after {attempts} tries: {failed[0]}")
-            logits = np.array(rows, dtype=np.float64).reshape(-1, 2)
+            logits = np.array([(None, None) if r is None else r for r in rows], dtype=np.float64).reshape(-1, 2)
             yield pd.DataFrame({"contra": logits[:, 0], "entail": logits[:, 1], "attempts": tries, "error": errors})
 
     prompt = prompt_build(F.col("premise"), F.col("hypothesis"))
     scored = pairs.withColumn("_logits", score.asNondeterministic()(prompt)).withColumn(
         "_soft", softmax2(F.col("_logits.contra"), F.col("_logits.entail"))
     )
-    return scored.select(*pairs.columns, "_soft.contra", "_soft.entail")
+    error = [F.col("_logits.error").alias("error")] if keep_failures else []
+    return scored.select(*pairs.columns, "_soft.contra", "_soft.entail", *error)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from citeloom.operators.models import HashingEncoder, embed_column, run_with_retries, support_score, topic_embed
+from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_column, run_with_retries, support_score, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.similarity import claim_topic_sim, topk_topics
@@ -195,6 +195,19 @@ def test_failed_score_stops_the_job(spark):
         support_score(pairs, Broken).collect()
 
 
+def test_failed_scores_can_be_kept(spark):
+    class Picky(OverlapScorer):
+        def logits(self, prompts):
+            if any("bad" in p for p in prompts):
+                raise ValueError("a bad pair")
+            return super().logits(prompts)
+
+    pairs = spark.createDataFrame([("a b", "a"), ("bad", "a"), ("c", "a")], "premise string, hypothesis string").coalesce(1)
+    got = {r.premise: r for r in support_score(pairs, Picky, keep_failures=True).collect()}
+    assert len(got) == 3 and got["a b"].error is None and got["a b"].entail > got["c"].entail
+    assert (got["bad"].contra, got["bad"].entail) == (None, None) and "a bad pair" in got["bad"].error
+
+
 def test_support_lists_are_whole(spark):
     rows = [(1, 0, i, "s", "u", 0.5, 0.5) for i in range(500)] + [(2, 0, 1, "s", "u", 0.1, 0.9)]
     scored = spark.createDataFrame(rows, "claim_id bigint, line_no int, citation_id bigint, sentence string, uri string, contra double, entail double")

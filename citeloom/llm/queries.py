@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontaminate, html_text, language, ngram_join, pii, quality, sharding, suffix_dedup
+from citeloom.llm import bpe, bpe_stream, chat, decontaminate, gnat_codes, html_text, language, ngram_join, pii, quality, sharding, spelling, suffix_dedup
 from citeloom.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -171,6 +171,102 @@ FROM given g LEFT JOIN kept k ON k.doc_id = g.doc_id
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(read_table(spark, sf_dir, "documents"), r"[A-Za-z\u00C0-\u00FF]+", slips=97)
+    return spelling.spelling_groups(words)
+
+
+# The checksum is not among the SQL functions: it is worked out byte by byte from its table.
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE bits AS (
+    SELECT i, i::BIGINT AS c, 0 AS step FROM range(256) r(i)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8
+), crc AS (
+    SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w
+    FROM documents
+), counted AS (
+    SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS h FROM runs GROUP BY id, w
+), signed AS (
+    SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda k: ('0x' || substr(h, k + 1, 2))::BIGINT)),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS sign
+    FROM counted, crc
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT n, CASE WHEN sign % 97 = 0 THEN substr(w, 1, (sign % length(w))::BIGINT) || substr(w, (sign % length(w))::BIGINT + 2) ELSE w END AS word FROM signed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN other END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word
+), followed AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT f.word, g.form FROM followed f JOIN formed g ON f.at = g.word WHERE g.form IS NOT NULL
+)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN followed r ON f.word = r.word JOIN formed g ON g.word = r.at WHERE g.form IS NULL
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds one after another; distances and means in whole numbers."""
+    steps = [
+        """kept AS (
+    SELECT vec_id, label, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "parts AS (SELECT row, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM kept, range(8) r(p))",
+        """book0 AS (
+    SELECT p, e, x AS c FROM parts JOIN (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept) USING (row) WHERE e < 16
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+    SELECT row, p, any_value(x) AS x, min(d * 16 + e) % 16 AS e, min(d) AS d
+    FROM (SELECT row, p, x, e, coalesce(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)::BIGINT AS d FROM parts JOIN book{r} USING (p))
+    GROUP BY row, p
+)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+        SELECT p, e, list(c ORDER BY i) AS c
+        FROM (SELECT p, e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS c FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY p, e, i)
+        GROUP BY p, e
+    ) m ON m.p = b.p AND m.e = b.e
+)""")
+    return f"""
+WITH {", ".join(steps)}, coded AS (
+    SELECT k.vec_id, k.label, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+    FROM near{rounds} n JOIN kept k ON k.row = n.row GROUP BY k.row, k.vec_id, k.label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe_stream.WordVocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_stream.encoding_digests(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -179,7 +275,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_pii, op3_shards, op4_chat, op5_bpe, op6_leaks, op7_quality,
-        op8_ngram_join, op9_main_text, op10_suffix_dedup, pipeline,
+        op8_ngram_join, op9_main_text, op10_suffix_dedup, op11_spelling, op12_vector_codes,
+        op13_word_bpe, pipeline,
     )
 }
 if corpus_pipeline.ORACLE_SQL is not None:

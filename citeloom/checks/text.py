@@ -17,7 +17,7 @@ from citeloom.checks.inputs import (
 )
 from citeloom.checks.registry import Tables, query
 from citeloom.functions.html import cite_extract, html_paragraphs, inner_text
-from citeloom.functions.markup import markup_to_html, ref_rewrite, ref_strip
+from citeloom.functions.markup import markup_to_html, ref_rewrite, ref_strip, template_to_cite
 from citeloom.functions.sentences import sentence_lookbehind
 from citeloom.functions.text import claim_clean, prompt_build, topic_text_clean, whitespace_collapse
 from citeloom.functions.uris import absolute_uri
@@ -56,8 +56,18 @@ def _(t):
     return document_markup(t.documents).select("article_id", F.md5(new).alias("markup_md5"), F.length(new).cast("bigint").alias("n_chars"))
 
 
-@query("template_to_cite", f"WITH {LINES_SQL}, m AS ({joined_sql(HTML_PARAGRAPH, 'x')}) SELECT doc_id AS article_id, md5(x) AS html_md5, length(x) AS n_chars FROM m")
+MARKUP_HTML_SQL = f"WITH {LINES_SQL}, m AS ({joined_sql(HTML_PARAGRAPH, 'x')}) SELECT doc_id AS article_id, md5(x) AS html_md5, length(x) AS n_chars FROM m"
+
+
+@query("template_to_cite", MARKUP_HTML_SQL)
+def _(t):
+    html = template_to_cite(ref_strip(ref_rewrite(F.col("markup"))))
+    return document_markup(t.documents).select("article_id", F.md5(html).alias("html_md5"), F.length(html).cast("bigint").alias("n_chars"))
+
+
+@query("markup_to_html", MARKUP_HTML_SQL)
 def _(t):
+    """Pages with comments, links and nested templates give the same HTML as those without."""
     return article_html(t).select("article_id", F.md5("html").alias("html_md5"), F.length("html").cast("bigint").alias("n_chars"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,32 +79,95 @@ def _cite_of(template: Column) -> Column:
     return cite
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. A lambda that names an expression itself
+    would work it out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _brace_levels(marks: Column) -> Column:
+    """``struct<i, opens, level>`` per brace token, in order: ``level`` is opened minus closed
+    up to and with the token, below zero where more were closed.
+
+    A running sum without a fold: the k-th opening token, i-th of all, has i - k closing ones
+    before it, and the other way round. Each kind is counted by its place in its own list.
+    """
+
+    def kind(mark: str) -> Column:
+        return F.filter(F.transform(marks, lambda m, i: F.when(m == mark, i)), lambda i: i.isNotNull())
+
+    opening = F.transform(kind("{{"), lambda i, k: F.struct(i.alias("i"), F.lit(True).alias("opens"), (2 * k + 1 - i).alias("level")))
+    closing = F.transform(kind("}}"), lambda i, k: F.struct(i.alias("i"), F.lit(False).alias("opens"), (i - 2 * k - 1).alias("level")))
+    return F.array_sort(F.concat(opening, closing))
+
+
+def _strays(levels: Column) -> Column:
+    """Places of closing tokens that close nothing: the first to reach each level below zero.
+    The m-th of them is the first at level -m, as levels go in steps of one."""
+    low = F.filter(levels, lambda t: ~t.opens & (t.level < 0))
+    by_level = F.array_sort(F.transform(low, lambda t: F.struct((-t.level).alias("m"), t.i.alias("i"))))
+    firsts = _bound(by_level, lambda low: F.filter(low, lambda t, at: (at == 0) | (F.get(low, at - 1).m != t.m)))
+    return F.transform(firsts, lambda t: t.i)
+
+
+def _at_top(level: Column, i: Column, strays: Column) -> Column:
+    """Whether nothing is open at a level between two tokens, seen from token ``i``: as many
+    strays as the level is below zero lie before it."""
+    before = F.get(strays, -level - 1) < i
+    after = F.get(strays, -level) > i
+    return (level <= 0) & F.coalesce(before, level == 0) & F.coalesce(after, F.lit(True))
+
+
+def _without_templates(pieces: Column, marks: Column, levels: Column, strays: Column) -> Column:
+    """``pieces`` lie between the ``marks``: piece j before mark j."""
+    gaps = F.transform(
+        pieces,
+        lambda piece, j: F.struct(
+            piece.alias("text"), F.coalesce(F.get(marks, j - 1), F.lit("")).alias("mark"), F.coalesce(F.get(levels, j - 1).level, F.lit(0)).alias("level")
+        ),
+    )
+    opening = F.filter(levels, lambda t: t.opens & _at_top(t.level - 1, t.i, strays))
+    closing = F.filter(levels, lambda t: ~t.opens & _at_top(t.level, t.i, strays))
+
+    def raw(gaps: Column, first: Column, length: Column) -> Column:
+        """Text of pieces with the marks between them."""
+        texts = F.transform(F.slice(gaps, first + 1, length), lambda g, at: F.when(at == 0, g.text).otherwise(F.concat(g.mark, g.text)))
+        return F.array_join(texts, "")
+
+    def cut(now: Column) -> Column:
+        """Templates in order: the text since the one before, then what comes of the template."""
+
+        def step(end: Column, t: Column) -> Column:
+            begin = F.get(now.opening, t)
+            since = F.when(t == 0, 0).otherwise(F.get(now.closing, t - 1).i + 1)
+            nested = F.slice(now.gaps, begin.i + 2, end.i - begin.i)
+            inside = F.array_join(F.transform(F.filter(nested, lambda g: g.level == begin.level), lambda g: g.text), "")
+            return F.concat(raw(now.gaps, since, begin.i - since + 1), _bound(inside, _cite_of))
+
+        last = F.coalesce(F.get(now.closing, F.size(now.closing) - 1).i + 1, F.lit(0))
+        return F.concat(F.array_join(F.transform(now.closing, step), ""), raw(now.gaps, last, F.size(now.gaps) - last))
+
+    return _bound(F.struct(gaps.alias("gaps"), opening.alias("opening"), closing.alias("closing")), cut)
+
+
 def template_to_cite(markup: Column) -> Column:
     """Citation templates become ``<cite>argument</cite>``, all other templates go.
 
     Braces are counted, so that a template may stand inside another one: only the outermost
     counts, and what is nested in its arguments goes. Braces that are never closed are
     text, and so are those that were never opened.
+
+    The text is cut at its braces once, levels are counted over the list of braces, and the
+    slices that stay are joined once: work grows with the text, but for a sort of braces.
     """
-    tokens = F.regexp_extract_all(markup, F.lit(r"\{\{|\}\}|[^{}]++|[{}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit("").alias("inside"), F.lit("").alias("raw"))
-
-    def step(state: Column, token: Column) -> Column:
-        opens, closes = token == "{{", (token == "}}") & (state.depth > 0)
-        ends = closes & (state.depth == 1)
-        return F.struct(
-            F.when(opens, state.depth + 1).when(closes, state.depth - 1).otherwise(state.depth).alias("depth"),
-            F.when(ends, F.concat(state.out, _cite_of(state.inside)))
-            .when((state.depth == 0) & ~opens, F.concat(state.out, token))
-            .otherwise(state.out)
-            .alias("out"),
-            F.when(ends, F.lit("")).when((state.depth == 1) & ~opens & ~closes, F.concat(state.inside, token)).otherwise(state.inside).alias("inside"),
-            F.when(ends, F.lit("")).when((state.depth > 0) | opens, F.concat(state.raw, token)).otherwise(state.raw).alias("raw"),
-        )
+    brace = r"\{\{|\}\}"
+    found = F.struct(F.split(markup, brace, -1).alias("pieces"), F.regexp_extract_all(markup, F.lit(brace), F.lit(0)).alias("marks"))
+
+    def levelled(cut: Column) -> Column:
+        return _bound(_brace_levels(cut.marks), lambda levels: _bound(_strays(levels), lambda strays: _without_templates(cut.pieces, cut.marks, levels, strays)))
 
-    folded = F.aggregate(tokens, start, step, lambda state: F.concat(state.out, state.raw))
     # Many texts hold no template; skip the list work for them.
-    return F.when(F.contains(markup, F.lit("{{")), folded).otherwise(markup)
+    return F.when(F.contains(markup, F.lit("{{")), _bound(found, levelled)).otherwise(markup)
 
 
 def drop_comments(markup: Column) -> Column:

@@ -51,22 +51,9 @@ def test_citation_sentence(spark, paragraph, sentence):
     assert one(spark, citation_sentence(F.lit(paragraph), F.lit(U))) == sentence
 
 
-def by_splitting(paragraph: str, uri: str) -> str | None:
-    """The rule as it is told: cut into pieces, look at the first with the marker."""
-    mark = "\ue000"
-    pieces = (paragraph.replace(uri, mark) + " ").split(". ")
-    for i, piece in enumerate(pieces):
-        if mark in piece:
-            if piece.strip().startswith(mark) and i > 0:
-                out, j = pieces[i - 1], i - 2
-                while j >= 0 and len(out) < 100:
-                    out, j = pieces[j] + ". " + out, j - 1
-                return out
-            return piece.replace(mark, " ")
-    return None
-
-
-def test_citation_sentence_against_splitting(spark):
+def test_citation_sentence_properties(spark):
+    """What the rule promises, whatever the paragraph: a run of whole pieces, the shortest
+    that is long enough, with the URI's places blanked."""
     import random
 
     random.seed(5)
@@ -76,8 +63,23 @@ def test_citation_sentence_against_splitting(spark):
         rows.append(("".join(parts),))
     got = spark.createDataFrame(rows, "p string").select("p", citation_sentence(F.col("p"), F.lit(U)).alias("s")).collect()
     assert len(got) == 3000
-    for row in got:
-        assert row["s"] == by_splitting(row["p"], U), row["p"]
+    for p, s in got:
+        # A blank behind the last stop ends a piece as well.
+        before, _, after = (p + " ").partition(U)
+        if U not in p:
+            assert s is None
+            continue
+        begin = before.rfind(". ") + 2 if ". " in before else 0
+        lead, complete = before[begin:], before[: max(begin - 2, 0)]
+        if lead.strip() == "" and begin > 0:
+            # Nothing but the URI opens the piece: pieces before it, from a piece's start.
+            assert complete.endswith(s) and (len(s) == len(complete) or complete[: -len(s) or None].endswith(". ") or s == "")
+            inner = s.find(". ")
+            assert len(s) >= 100 or len(s) == len(complete)
+            assert inner < 0 or len(s) - inner - 2 < 100
+        else:
+            end = after.partition(". ")[0]
+            assert s == lead + " " + end.replace(U, " ")
 
 
 def test_paragraph_without_uri(spark):
@@ -127,6 +129,53 @@ def test_template_to_cite(spark, markup, expected):
     assert one(spark, template_to_cite(F.lit(markup))) == expected
 
 
+def test_templates_against_counting(spark):
+    """Braces in any order, against counting them one by one."""
+    import random
+    import re
+
+    random.seed(1)
+    tokens = ["{{", "}}", "{", "}", "{{{", "}}}", "{{sfn|loc=x", "|loc=y", "a", "\n"]
+    rows = ["".join(random.choices(tokens, k=random.randint(0, 22))) for _ in range(3000)]
+
+    def by_counting(text):
+        open_at, depth, spans = 0, 0, []
+        for mark in re.finditer(r"\{\{|\}\}", text):
+            if mark.group() == "{{":
+                open_at = open_at if depth else mark.start()
+                depth += 1
+            elif depth:
+                depth -= 1
+                spans += [] if depth else [(open_at, mark.end())]
+        return spans
+
+    got = spark.createDataFrame([(r,) for r in rows], "m string").select("m", template_to_cite(F.col("m")).alias("html")).collect()
+    assert len(got) == 3000
+    for text, html in got:
+        parts, last = [], 0
+        for begin, end in by_counting(text):
+            parts.append(re.escape(text[last:begin]) + r"(?:<cite>[^<]*</cite>)?")
+            last = end
+        assert re.fullmatch("".join(parts) + re.escape(text[last:]), html), (text, html)
+
+
+def test_templates_take_time_by_length(spark):
+    import time
+
+    unit = "text {{cite web|title=T {{lang|x}}|url=http://a.b/c}} and {{nowrap|b}} "
+
+    def seconds(copies):
+        text = spark.range(1).select(F.repeat(F.lit(unit), F.lit(copies)).alias("m")).cache()
+        text.count()
+        work = text.select(F.length(template_to_cite(F.col("m"))))
+        work.collect()
+        begun = time.perf_counter()
+        work.collect()
+        return time.perf_counter() - begun
+
+    assert seconds(40_000) < 10 * max(seconds(10_000), 0.2)
+
+
 @pytest.mark.parametrize(
     "markup, expected",
     [

@@ -17,13 +17,16 @@ from citeloom.functions.vectors import (
     vector_to_float,
 )
 from citeloom.operators.models import HashingEncoder, topic_embed
+from citeloom.operators.pivots import group_topics, grouped_topk
 from citeloom.operators.similarity import (
+    TOPIC_MATCHES,
     claim_topic_sim,
     dim_check,
     slot_present,
     topk_topics,
     unit_norm_check,
 )
+from citeloom.session import stage
 
 VECTOR_TEXT_SQL = """texts AS (
   SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ' ' || chr(10) || '  ') || ']' AS text
@@ -184,11 +187,28 @@ def _(t):
     return claim_topic_sim(claims_of(t), topics_of(t)).where("n_positive > 0").select("claim_id", "n_positive")
 
 
+@query("claim_topic_sim_grid", f"WITH {SIMS_SQL} SELECT claim_id, count(*) AS n_topics, count(*) FILTER (sim > 0) AS n_positive, round(max(sim), 6) AS sim_max FROM sims GROUP BY claim_id")
+def _(t):
+    """The way of more claims than can be broadcast: cells of both sides."""
+    s = claim_topic_sim(stage(claims_of(t), "claims"), stage(topics_of(t), "topics"), broadcast_bytes=10_000)
+    return s.select("claim_id", "n_topics", "n_positive", F.round("sim_max", 6).alias("sim_max"))
+
+
 @query("topk_topics", f"WITH {TOPK_SQL} SELECT claim_id, topic_id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM matches")
 def _(t):
     return topk_topics(claims_of(t), topics_of(t)).withColumn("sim", F.round("sim", 6))
 
 
+GROUPED_SQL = f"WITH {TOPK_SQL} SELECT claim_id, topic_id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM matches"
+
+
+@query("topk_topics_grouped", GROUPED_SQL)
+def _(t):
+    """The way of many claims, whatever their number: groups of topics and bounds."""
+    groups = group_topics(topics_of(t))
+    return grouped_topk(claims_of(t), groups, TOPIC_MATCHES).matches.withColumn("sim", F.round("sim", 6))
+
+
 # --- models -----------------------------------------------------------------
 
 

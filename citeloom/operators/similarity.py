@@ -1,11 +1,12 @@
 """Claims against topics: cosine similarity and the best topics per claim.
 
-The topics table is the large side. It is read once, where it lies, and never
-shuffled: each task keeps the best ``k`` topics per claim of its own partition, so at
-most ``k`` rows per claim and task leave it. The claims go to the tasks as one
-broadcast matrix while that is below ``BROADCAST_BYTES`` (counted first). Beyond it
-both sides are cut into a grid of cells of bounded size, and each cell is one task's
-work. No (claim, topic) pair is written out that is not among a task's best.
+The topics table is the large side. While the claims are small (``BROADCAST_BYTES``,
+counted first) they go to the tasks as one broadcast matrix, and the topics are read once,
+where they lie: each task keeps the best ``k`` topics per claim of its own partition, so at
+most ``k`` rows per claim and task leave it. Beyond that the nearest topics are found by
+groups around pivots, most of which a claim can leave out (``operators.pivots``), and
+figures over all topics by a grid of cells of bounded size. No (claim, topic) pair is
+written out that is not among a task's best.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def _scan_topics(batches: Iterator[pa.RecordBatch], claims, reducer: Callable) -
     yield pa.RecordBatch.from_arrays([pa.array(a) for a in state.result()], schema=state.schema)
 
 
-def _scan_cell(claims: pa.Table, topics: pa.Table, reducer: Callable) -> pa.Table:
+def scan_cell(claims: pa.Table, topics: pa.Table, reducer: Callable) -> pa.Table:
     state = reducer(np.asarray(claims.column("claim_id")))
     if claims.num_rows and topics.num_rows:
         pair = to_matrix(claims.column("vector")), to_matrix(topics.column("vector"))
@@ -164,24 +165,33 @@ def _scan_cell(claims: pa.Table, topics: pa.Table, reducer: Callable) -> pa.Tabl
     return pa.Table.from_arrays([pa.array(a) for a in state.result()], schema=state.schema)
 
 
-def _compare(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str, broadcast_bytes: int) -> DataFrame:
-    """Per-task results of ``reducer`` over all claims and all topics."""
-    spark = topics.sparkSession
-    claims = claims.select("claim_id", F.col("vector").cast("array<float>").alias("vector"))
-    topics = topics.where("vector is not null").select("topic_id", F.col("vector").cast("array<float>").alias("vector"))
+def _claim_numbers(claims: DataFrame) -> tuple[int, int]:
+    """Claims, and the numbers in their vectors."""
+    return tuple(claims.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first())
 
-    n_claims, n_numbers = claims.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    if n_numbers * 8 <= broadcast_bytes:
-        local = claims.toArrow()
-        matrix = to_matrix(local.column("vector")) if local.num_rows else np.empty((0, 0))
-        shared = spark.sparkContext.broadcast((np.asarray(local.column("claim_id")), matrix))
 
-        def scan(batches):
-            return _scan_topics(batches, shared, reducer)
+def _claims(claims: DataFrame) -> DataFrame:
+    return claims.select("claim_id", F.col("vector").cast("array<float>").alias("vector"))
 
-        return topics.mapInArrow(scan, schema)
 
-    rows = max(1, min(CELL_ROWS, broadcast_bytes // max(1, 8 * n_numbers // n_claims)))
+def _topics(topics: DataFrame) -> DataFrame:
+    return topics.where("vector is not null").select("topic_id", F.col("vector").cast("array<float>").alias("vector"))
+
+
+def _scan_all(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str) -> DataFrame:
+    """Per-task results of ``reducer``; the claims are a broadcast matrix, checked before."""
+    local = claims.toArrow()
+    matrix = to_matrix(local.column("vector")) if local.num_rows else np.empty((0, 0))
+    shared = topics.sparkSession.sparkContext.broadcast((np.asarray(local.column("claim_id")), matrix))
+
+    def scan(batches):
+        return _scan_topics(batches, shared, reducer)
+
+    return topics.mapInArrow(scan, schema)
+
+
+def _scan_grid(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str, rows: int, n_claims: int) -> DataFrame:
+    """Results of ``reducer`` per cell of at most about ``rows`` claims and ``CELL_ROWS`` topics."""
     claim_cells = -(-n_claims // rows)
     topic_cells = max(1, -(-topics.count() // CELL_ROWS))
     left = claims.withColumn("_c", F.pmod(F.xxhash64("claim_id"), F.lit(claim_cells))).withColumn(
@@ -192,7 +202,7 @@ def _compare(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: st
     )
 
     def cell(c, t):
-        return _scan_cell(c, t, reducer)
+        return scan_cell(c, t, reducer)
 
     return left.groupBy("_c", "_t").cogroup(right.groupBy("_c", "_t")).applyInArrow(cell, schema)
 
@@ -203,9 +213,16 @@ def topk_topics(
     """The ``k`` nearest topics per claim with positive similarity.
 
     ``claims``: ``claim_id bigint, vector``; ``topics``: ``topic_id bigint, vector``.
-    Returns ``claim_id, topic_id, sim, rank`` (from 1).
+    Returns ``claim_id, topic_id, sim, rank`` (from 1). More claims than can be broadcast are
+    looked up in groups of topics; give staged tables then, as they are read several times.
     """
-    partial_best = _compare(claims, topics, partial(TopicsPerClaim, k=k), MATCH_SCHEMA, broadcast_bytes)
+    # Groups reduce what this module computes, so they import it.
+    from citeloom.operators.pivots import group_topics, grouped_topk
+
+    _, numbers = _claim_numbers(claims)
+    if numbers * 8 > broadcast_bytes:
+        return grouped_topk(claims, group_topics(topics), k).matches
+    partial_best = _scan_all(_claims(claims), _topics(topics), partial(TopicsPerClaim, k=k), MATCH_SCHEMA)
     order = Window.partitionBy("claim_id").orderBy(F.desc("sim"), "topic_id")
     return partial_best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -213,7 +230,12 @@ def topk_topics(
 def claim_topic_sim(claims: DataFrame, topics: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All similarities of a claim, summed up: ``claim_id, n_topics, n_positive,
     sim_sum, sim_max``. The single values are never written out."""
-    parts = _compare(claims, topics, StatsPerClaim, STATS_SCHEMA, broadcast_bytes)
+    n_claims, numbers = _claim_numbers(claims)
+    if numbers * 8 <= broadcast_bytes:
+        parts = _scan_all(_claims(claims), _topics(topics), StatsPerClaim, STATS_SCHEMA)
+    else:
+        rows = max(1, min(CELL_ROWS, broadcast_bytes // max(1, 8 * numbers // n_claims)))
+        parts = _scan_grid(_claims(claims), _topics(topics), StatsPerClaim, STATS_SCHEMA, rows, n_claims)
     return parts.groupBy("claim_id").agg(
         F.sum("n_topics").alias("n_topics"),
         F.sum("n_positive").alias("n_positive"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_column, run_with_retries, support_score, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
+from citeloom.operators.pivots import group_topics, grouped_topk
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.similarity import claim_topic_sim, topk_topics
 from citeloom.operators.skew import salted_join
@@ -44,6 +45,28 @@ def test_topk_is_brute_force(spark, broadcast_bytes):
     assert not topk_topics(vectors(spark, range(40), claims, "claim_id"), vectors(spark, [], [], "topic_id"), 5, broadcast_bytes).count()
 
 
+def test_groups_skip_and_agree_with_the_scan(spark):
+    """Clustered topics with ties across groups: the same rows, most groups left out; a third
+    of the topics are one vector, cut into cells."""
+    rng = np.random.default_rng(8)
+    centres = unit(rng, 12, 32)
+
+    def around(n):
+        m = centres[rng.integers(0, 12, n)] + rng.normal(scale=0.05, size=(n, 32))
+        return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+
+    topics, claims = around(900), around(150)
+    topics[rng.permutation(900)[:300]] = topics[5]
+    claims[:20], claims[20] = topics[:20], -centres[0]
+    c, t = vectors(spark, range(150), claims, "claim_id"), vectors(spark, rng.permutation(900), topics, "topic_id")
+    found = grouped_topk(c, group_topics(t), 5, cell_rows=64)
+    columns = ["claim_id", "topic_id", "sim", "rank"]
+    assert sorted(map(tuple, found.matches.select(columns).collect())) == sorted(map(tuple, topk_topics(c, t).select(columns).collect()))
+    visits = found.visits.agg(F.sum("n_visited"), F.sum("n_groups"), F.count("*"), F.max(F.col("n_visited") > F.col("n_groups"))).first()
+    assert visits[2] == 150 and not visits[3]
+    assert visits[0] < 0.5 * visits[1]
+
+
 def test_topk_ties_and_signs(spark):
     topics = vectors(spark, [9, 4, 2], [[0.5, 0.75**0.5] + [0] * 6, [0.5, -(0.75**0.5)] + [0] * 6, [-1] + [0] * 7], "topic_id")
     claims = vectors(spark, [1], [[1] + [0] * 7], "claim_id")

@@ -7,7 +7,7 @@ of an id picks the *shape* of a row here; it never drops a row.
 from __future__ import annotations
 
 import bz2
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.filters import SKIPPED_PREFIXES
 from citeloom.session import scratch_path
-from citeloom.sources.dump import dump_lengths
+from citeloom.sources.dump import dump_lengths, locate
 
 # --- index lines over pages -------------------------------------------------
 
@@ -244,17 +244,20 @@ def write_plain_dump(articles: DataFrame) -> str:
 def write_block_dump(articles: DataFrame, pages_per_block: int = 100) -> tuple[DataFrame, DataFrame]:
     """Multi-member dump files, one per task, with their index and lengths.
 
-    Only for tests and checks: tasks write their file straight to the shared folder.
+    Only for tests and checks: tasks write their file straight to the shared folder, by the
+    file system that its path names.
     """
     spark = articles.sparkSession
-    folder = scratch_path(spark, "blocks").removeprefix("file:")
+    folder = scratch_path(spark, "blocks")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{uuid.uuid4().hex}.xml.bz2"
+        filesystem, inner = locate(folder)
+        filesystem.create_dir(inner, recursive=True)
+        name = f"{uuid.uuid4().hex}.xml.bz2"
+        path = f"{re.sub('^file:/+', '/', folder)}/{name}"
         lines: list[str] = []
         pending: list[str] = []
-        with open(path, "wb") as file:
+        with filesystem.open_output_stream(f"{inner}/{name}") as file:
 
             def flush() -> None:
                 if pending:

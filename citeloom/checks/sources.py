@@ -31,6 +31,7 @@ from citeloom.operators.ordered import assign_ids
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.support import citation_text_join, distinct_files, id_semi_filter
 from citeloom.session import scratch_path
+from citeloom.sources.blocks import read_blocks, write_block_index
 from citeloom.sources.citation_files import (
     citation_xml_read,
     citation_xml_write,
@@ -179,6 +180,14 @@ def _(t):
     return pages.select("article_id", "title", F.md5("markup").alias("markup_md5"))
 
 
+@query("dump_blocks_source", PLAIN_SQL)
+def _(t):
+    lines, lengths = write_block_dump(plain_articles(t))
+    where = scratch_path(t.spark, "block-index")
+    write_block_index(index_parse(lines), lengths, where)
+    return read_blocks(t.spark, where).select("article_id", "title", F.md5("markup").alias("markup_md5"))
+
+
 # --- citation files: fifty documents per file, the whole text as the sentence
 
 

@@ -8,7 +8,6 @@ so rows carry ``dump_path``.
 from __future__ import annotations
 
 import bz2
-import io
 import re
 from collections.abc import Iterator
 
@@ -145,23 +144,27 @@ def pages_from_text(raw: DataFrame) -> DataFrame:
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 
-def _open(path: str) -> io.RawIOBase:
-    """A random-access file. Blocks are read at their offsets, which Spark's own readers
-    cannot do, so the scheme must be one that pyarrow knows as well."""
-    scheme, colon, rest = path.partition("://")
-    if scheme == "file" or not colon:
-        return open(re.sub("^file:/*", "/", path), "rb")
+PAGE_ID = re.compile(r"<id>\s*(\d+)\s*</id>")
+
+
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path names, and the path in it. Blocks are read at their
+    offsets, which Spark's own readers cannot do, so the scheme must be one that pyarrow
+    knows as well."""
+    scheme, colon, rest = path.partition(":")
+    if scheme == "file" or not (colon and rest.startswith("//")):
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
     try:
-        filesystem, inner = pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+        return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
     except (pa.ArrowException, ValueError) as unknown:
         raise ValueError(f"cannot open {path} at an offset: copy the dump to a file, s3, gs, abfs or hdfs path") from unknown
-    return filesystem.open_input_file(inner)
 
 
-def _pages_of_block(path: str, start: int, end: int) -> Iterator[str]:
+def pages_of_block(path: str, start: int, end: int) -> Iterator[str]:
     """Raw page XML of one block, decompressed piece by piece."""
     unpacker, pending = bz2.BZ2Decompressor(), b""
-    with _open(path) as file:
+    filesystem, inner = locate(path)
+    with filesystem.open_input_file(inner) as file:
         file.seek(start)
         left = end - start
         while left > 0:
@@ -183,7 +186,6 @@ def _pages_of_block(path: str, start: int, end: int) -> Iterator[str]:
 
 def _read_blocks(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
     """Block rows to page rows; ``carried`` columns are copied onto each page."""
-    page_id = re.compile(r"<id>\s*(\d+)\s*</id>")
     for batch in batches:
         types = [batch.schema.field(c).type for c in carried] + [pa.int64(), pa.string(), pa.string()]
         names = [*carried, "article_id", "title", "xml"]
@@ -195,8 +197,8 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Itera
         for block in batch.to_pylist():
             titles = {a["article_id"]: a["title"] for a in block["articles"]}
             where = tuple(block[c] for c in carried)
-            for xml in _pages_of_block(block["dump_path"], block["block_start"], block["block_end"]):
-                found = page_id.search(xml)
+            for xml in pages_of_block(block["dump_path"], block["block_start"], block["block_end"]):
+                found = PAGE_ID.search(xml)
                 number = int(found.group(1)) if found else None
                 if number in titles:
                     rows.append((*where, number, titles.pop(number), xml))

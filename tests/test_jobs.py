@@ -4,6 +4,7 @@ import bz2
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import In
 
 from citeloom.checks.inputs import page_xml
 from citeloom.operators.models import HashingEncoder
@@ -11,16 +12,17 @@ from citeloom.plans.classify import classify_claims
 from citeloom.plans.ingest import ingest_dump, pages_to_read
 from citeloom.plans.pack import files_by_number, load_ranges, pack_files
 from citeloom.session import scratch_path
+from citeloom.sources.blocks import BlockReader, read_blocks, write_block_index
 from citeloom.sources.citation_files import citation_xml_read, citation_xml_write, file_manifest, list_files
 from citeloom.sources.dump import (
     articles_per_block,
     block_table,
-    _open,
     dump_lengths,
     dump_read,
     dump_read_blocks,
     index_parse,
     index_rejects,
+    locate,
     read_index,
 )
 from citeloom.sources.stores import append_topics, citations_load, citations_write, topics_load, topics_write
@@ -105,6 +107,43 @@ def test_block_reader(spark, index, lengths, per_chunk):
     assert len(pages) == 57
 
 
+def test_block_source_opens_only_what_it_needs(spark, dump, tmp_path):
+    """Blocks that no filter wants are broken on purpose: reading one would fail."""
+    good = open(dump[0], "rb").read()
+    path = tmp_path / "copy.xml.bz2"
+    path.write_bytes(good)
+    index = read_index(spark, dump[1], str(path))
+    where = scratch_path(spark, "block-index")
+    write_block_index(index, dump_lengths(spark, str(path)), where)
+    pages = read_blocks(spark, where)
+    assert {r.article_id: (r.title, r.markup) for r in pages.collect()} == {i: (TITLES.get(i, f"Article {i}"), article(i)) for i in range(60)}
+
+    spans = BlockReader(where, 1 << 20).spans()
+    assert len(spans) == 9 and spans[0][1] == 0 and spans[-1][2] == len(good)
+    broken = bytearray(good)
+    for _, start, end in spans[2:]:
+        broken[start + 4 : end] = bytes(end - start - 4)
+    path.write_bytes(bytes(broken))
+    for condition, expected in [
+        (F.col("article_id") == 5, {5}),
+        (F.col("article_id").isin(1, 8, 13), {1, 8, 13}),
+        ((F.col("article_id") < 9) & (F.col("article_id") >= 6), {6, 7, 8}),
+        (F.col("title").isin("Article 0", "Article 9"), {0, 9}),
+        ((F.col("title") == "Article 5") & (F.col("article_id") < 14), {5}),
+        (F.col("title") == "no such title", set()),
+        (F.col("article_id").isNull() & (F.col("article_id") < 0), set()),
+    ]:
+        assert {r.article_id for r in pages.where(condition).collect()} == expected
+    # 'Article 5' names page 15 as well, which lies in a broken block.
+    with pytest.raises(Exception, match="Invalid data stream|OSError"):
+        pages.where("title = 'Article 5'").collect()
+
+    reader = BlockReader(where, 1)
+    assert not list(reader.pushFilters([])) and len(reader.partitions()) == 9
+    list(reader.pushFilters([In(("article_id",), (1, 13))]))
+    assert [p.spans for p in reader.partitions()] == [[spans[0]], [spans[1]]]
+
+
 def test_scan_reader(spark, dump):
     pages = dump_read(spark, dump[0]).collect()
     assert {r["article_id"]: (r["title"], r["markup"]) for r in pages} == {i: (TITLES.get(i, f"Article {i}"), article(i)) for i in range(60)}
@@ -265,4 +304,4 @@ def test_path_spelling_cannot_drop_a_dump(spark, dump):
 
 def test_unknown_schemes_are_named():
     with pytest.raises(ValueError, match="copy the dump"):
-        _open("nowhere://x/y")
+        locate("nowhere://x/y")

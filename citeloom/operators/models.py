@@ -119,15 +119,21 @@ def run_with_retries(call: Callable[[list[str]], np.ndarray], texts: list[str],
 
 
 def embed_column(text: Column, make_encoder: Callable[[], Encoder] = HashingEncoder, attempts: int = ATTEMPTS) -> Column:
-    """``struct<vector, attempts, error>``; ``vector`` is null when all tries failed."""
+    """``struct<vector, attempts, error>``; ``vector`` is null when all tries failed, and for
+    a null text, which costs no call."""
 
     @F.pandas_udf(EMBED_TYPE)
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for texts in batches:
-            rows, tries, errors = run_with_retries(encoder.encode, texts.tolist(), attempts)
-            vectors = [None if r is None else np.asarray(r, dtype=np.float32) for r in rows]
-            yield pd.DataFrame({"vector": vectors, "attempts": tries, "error": errors})
+            given = texts.notna().to_numpy()
+            rows, tries, errors = run_with_retries(encoder.encode, texts[given].tolist(), attempts) if given.any() else ([], [], [])
+            out = pd.DataFrame({"vector": None, "attempts": 0, "error": None}, index=range(len(texts)), dtype=object)
+            for column, values in (("attempts", tries), ("error", errors)):
+                out.loc[given, column] = values
+            vectors = iter([None if r is None else np.asarray(r, dtype=np.float32) for r in rows])
+            out["vector"] = [next(vectors) if g else None for g in given]
+            yield out.astype({"attempts": "int32"})
 
     # Non-deterministic keeps Catalyst from copying the call into several operators.
     return embed.asNondeterministic()(text)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import claim_clean, claim_lines
 from citeloom.operators.models import OverlapScorer, Scorer, support_score
 from citeloom.operators.skew import salted_join
+from citeloom.session import broadcast_small, stage
+from citeloom.sources.scores import pair_key, scores_load, scores_write
 
 # Nested lists are cut into chunks of about this many rows, so that the citations of
 # one very popular article never have to fit into a single row.
@@ -33,13 +35,18 @@ def distinct_files(citations: DataFrame) -> DataFrame:
     return citations.select("file_number").distinct()
 
 
-def prune_to_topics(citations: DataFrame, matches: DataFrame) -> DataFrame:
-    """Citations of the matched topics only, filtered in the scan when they are few.
+def prune_to_topics(citations: DataFrame, matches: DataFrame, pushed_ids: int = PUSHED_IDS) -> DataFrame:
+    """Citations of the matched topics only. Few ids go into the scan; more are a semi-join,
+    broadcast while they are counted as few enough, so that texts of other topics go before
+    anything is shuffled.
 
-    ``matches`` should be a staged table: it is read twice.
+    ``matches`` should be a staged table: it is read more than once.
     """
-    ids = [r[0] for r in matches.select("topic_id").distinct().limit(PUSHED_IDS + 1).collect()]
-    return citations.where(F.col("topic_id").isin(ids)) if len(ids) <= PUSHED_IDS else citations
+    matched = matches.select("topic_id").distinct()
+    ids = [r[0] for r in matched.limit(pushed_ids + 1).collect()]
+    if len(ids) <= pushed_ids:
+        return citations.where(F.col("topic_id").isin(ids))
+    return citations.join(broadcast_small(stage(matched, "matched")), "topic_id", "left_semi")
 
 
 def topic_citations(matches: DataFrame, topics: DataFrame, citations: DataFrame) -> DataFrame:
@@ -82,23 +89,46 @@ def premise_dedup(pairs: DataFrame) -> DataFrame:
 
 
 def score_rejoin(pairs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scores of the distinct texts put back on every citation."""
-    scores = scored.select("premise", "hypothesis", "contra", "entail")
-    return salted_join(pairs, scores, ["premise", "hypothesis"], ["claim_id", "citation_id"])
-
-
-def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer] = OverlapScorer) -> DataFrame:
+    """Scores of the distinct texts put back on every citation, by the pair's key: texts are
+    not compared or shuffled for it."""
+    key = pair_key(F.col("premise"), F.col("hypothesis")).alias("_pair")
+    columns = ["contra", "entail", *[c for c in scored.columns if c == "error"]]
+    scores = scored.select(F.col("_pair") if "_pair" in scored.columns else key, *columns)
+    return salted_join(pairs.select("*", key), scores, ["_pair"], ["claim_id", "citation_id"]).drop("_pair")
+
+
+def score_pairs(
+    pairs: DataFrame,
+    make_scorer: Callable[[], Scorer] = OverlapScorer,
+    keep_failures: bool = False,
+    store: str | None = None,
+    run: str | None = None,
+) -> DataFrame:
     """Adds ``contra`` and ``entail``. Each distinct text pair is scored once, also
-    when several claims or citations share it.
+    when several claims or citations share it. A pair that cannot be scored ends the job,
+    or, with ``keep_failures``, has null scores and says why in ``error``.
 
-    ``pairs`` should be a staged table: it is read more than once.
+    With a ``store`` the pairs that it has scores of are not given to the model; those of the
+    others are added to it as ``run``. ``pairs`` should be a staged table: it is read more
+    than once.
     """
-    texts = pairs.select("premise", "hypothesis").distinct()
+    key = pair_key(F.col("premise"), F.col("hypothesis"))
+    texts = pairs.select("premise", "hypothesis").distinct().withColumn("_pair", key)
+    if store is not None:
+        if run is None:
+            raise ValueError("scores are stored by run: give its name")
+        known = stage(scores_load(pairs.sparkSession, store, run).withColumnRenamed("pair", "_pair"), "known-scores")
+        texts = texts.join(known, "_pair", "left_anti")
     # A fixed number of tasks: an adaptive shuffle goes by bytes and would give few
     # tasks many calls of a slow model.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(tasks, "premise", "hypothesis")
-    return score_rejoin(pairs, support_score(texts, make_scorer))
+    scored = support_score(texts.repartition(tasks, "_pair"), make_scorer, keep_failures=keep_failures)
+    if store is None:
+        return score_rejoin(pairs, scored)
+    # Staged, as the store and the result are made from one call.
+    scored = stage(scored.drop("premise", "hypothesis"), "scores")
+    scores_write(scored.where("contra is not null").withColumnRenamed("_pair", "pair"), store, run)
+    return score_rejoin(pairs, scored.unionByName(known, allowMissingColumns=True))
 
 
 def support_nested(scored: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

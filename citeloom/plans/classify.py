@@ -36,15 +36,23 @@ def classify_claims(
     k: int = TOPIC_MATCHES,
     make_encoder: Callable[[], Encoder] = HashingEncoder,
     make_scorer: Callable[[], Scorer] = OverlapScorer,
+    keep_failures: bool = False,
+    store: str | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """``claim_id, line_no, topic_id, sim, rank, name, citation_id, uri, sentence,
     contra, entail``; ``operators.support.support_nested`` makes lists of it.
 
+    A pair that cannot be scored ends the job. With ``keep_failures`` it is a row with null
+    scores and the reason in a further column ``error``, null for all others. With a ``store``
+    text pairs that earlier runs have scored cost no call of the model.
+
     Matches and pairs are staged: each is read several times after.
     """
     matches = stage(match_claims(claims, topics, k, make_encoder), "matches")
     cited = topic_citations(matches, topics, prune_to_topics(citations, matches))
     pairs = stage(claim_premise_pairs(split_claims(claims), cited), "pairs")
-    return score_pairs(pairs, make_scorer).select(
-        "claim_id", "line_no", "topic_id", "sim", "rank", "name", "citation_id", "uri", "sentence", "contra", "entail"
+    error = ["error"] if keep_failures else []
+    return score_pairs(pairs, make_scorer, keep_failures, store, run).select(
+        "claim_id", "line_no", "topic_id", "sim", "rank", "name", "citation_id", "uri", "sentence", "contra", "entail", *error
     )

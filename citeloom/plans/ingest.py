@@ -9,96 +9,149 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions.markup import markup_to_html
-from citeloom.functions.text import topic_text_clean
+from citeloom.functions.markup import is_redirect, markup_to_html
+from citeloom.functions.text import topic_text_clean, whitespace_collapse
+from citeloom.functions.vectors import has_unit_norm, has_valid_size
 from citeloom.operators.cites import extract_citations, has_cites
 from citeloom.operators.filters import (
     first_per_title,
-    namespace_filter,
-    redirect_filter,
-    skip_present,
+    is_article_title,
 )
-from citeloom.operators.models import Encoder, HashingEncoder, topic_embed
+from citeloom.operators.models import Encoder, HashingEncoder, embed_column
 from citeloom.operators.ordered import assign_ids, read_with_ids
 from citeloom.session import broadcast_small, scratch_path, stage
 from citeloom.sources.dump import articles_per_block, block_table, dump_read_blocks
-from citeloom.sources.stores import citations_load, citations_write, last_ids, topics_load, topics_withdraw, topics_write
+from citeloom.sources.outcomes import lasting_outcomes, outcomes_write
+from citeloom.sources.register import reserve
+from citeloom.sources.stores import (
+    CITATIONS_SCHEMA,
+    TOPICS_SCHEMA,
+    citations_load,
+    citations_write,
+    highest_id,
+    topics_load,
+    topics_withdraw,
+    topics_write,
+)
+
+PAGE_COLUMNS = ["dump_path", "block_start", "block_end", "file_number", "article_id", "title"]
 
 
-def articles_to_html(pages: DataFrame) -> DataFrame:
-    """Pages (``markup``) to cited articles (``html``); empty articles hold no cite, so
-    they go with the rest.
+def judge_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``markup`` to ``html`` and the ``reason`` that stops a page, null for a cited
+    article; other pages keep no text.
 
-    The HTML is filtered as an element of a one-element array: a plain filter on it
-    would be pushed below the column and compute the HTML twice.
+    The HTML is an element of an exploded one-element array: filters and further columns
+    on it would otherwise be pushed below and compute it again.
     """
-    articles = redirect_filter(pages.where("markup is not null"))
-    html = markup_to_html(F.col("markup"))
-    kept = [c for c in articles.columns if c != "markup"]
-    return articles.select(*kept, F.explode(F.filter(F.array(html), lambda h: has_cites(h))).alias("html"))
+    kept = [c for c in pages.columns if c != "markup"]
+    article = F.col("markup").isNotNull() & ~is_redirect(F.col("markup"))
+    html = F.explode(F.array(F.when(article, markup_to_html(F.col("markup"))))).alias("html")
+    reason = (
+        F.when(F.col("markup").isNull(), "missing page")
+        .when(is_redirect(F.col("markup")), "redirect")
+        .when(~F.rlike("html", F.lit(r"\S")), "empty")
+        .when(~has_cites(F.col("html")), "no cites")
+    )
+    judged = pages.select(*kept, "markup", html).select(*kept, F.explode(F.array(F.struct(reason.alias("reason"), "html"))).alias("_page"))
+    return judged.select(*kept, "_page.reason", F.when(F.col("_page.reason").isNull(), F.col("_page.html")).alias("html"))
 
 
-def embed_articles(articles: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
-    text = articles.withColumn("_text", topic_text_clean(F.col("html")))
-    return topic_embed(text, "_text", make_encoder)
+def embed_judged(judged: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
+    """Adds ``topic_vector`` and ``detail``. Pages that are out cost no call of the encoder; one
+    without a usable vector gets its ``reason``."""
+    kept = [c for c in judged.columns if c != "reason"]
+    embedded = judged.withColumn("_embed", embed_column(whitespace_collapse(topic_text_clean(F.col("html"))), make_encoder))
+    vector = F.col("_embed.vector")
+    failed = F.when(vector.isNull(), "embedding failed").when(~(has_valid_size(vector) & has_unit_norm(vector)), "embedding rejected")
+    return embedded.select(*kept, F.coalesce("reason", failed).alias("reason"), vector.alias("topic_vector"), F.col("_embed.error").alias("detail"))
 
 
 def ingest_pages(
-    pages: DataFrame, store: str, run: str, make_encoder: Callable[[], Encoder] = HashingEncoder
+    pages: DataFrame,
+    store: str,
+    run: str,
+    make_encoder: Callable[[], Encoder] = HashingEncoder,
+    passed_over: DataFrame | None = None,
 ) -> None:
     """Adds new pages to the store as one run.
 
-    ``pages``: ``article_id, title, markup, block_start, block_end, file_number``, one
-    row per title, none of them stored yet. Repeating a run replaces it.
+    ``pages``: ``dump_path, block_start, block_end, file_number, article_id, title, markup``,
+    one row per title, none of them stored yet. ``passed_over``: articles that were not read,
+    with their ``reason``, for the run's outcomes. Repeating a run replaces it.
     """
     spark = pages.sparkSession
-    others = F.col("run") != run
-    last_topic, last_citation, _ = last_ids(
-        topics_load(spark, store).where(others), citations_load(spark, store).where(others)
-    )
-
     topics_withdraw(spark, store, run)
 
-    # The encoder's output is staged once; both tables are made from it.
+    # The encoder's output is staged once, articles and dropped pages in folders apart; all
+    # three tables are made from it.
     staged = scratch_path(spark, "articles")
-    embed_articles(articles_to_html(pages), make_encoder).write.parquet(staged)
-    articles = read_with_ids(spark, staged, "topic_id", last_topic)
-
-    cites_staged = scratch_path(spark, "citations")
-    cites = extract_citations(articles.select("topic_id", "file_number", "html"))
-    cites.write.parquet(cites_staged)
-    citations_write(read_with_ids(spark, cites_staged, "citation_id", last_citation), store, run)
+    judged = embed_judged(judge_pages(pages.select(*PAGE_COLUMNS, "markup")), make_encoder)
+    judged.withColumn("kept", F.col("reason").isNull()).write.partitionBy("kept").parquet(staged)
+    everything = spark.read.schema(judged.schema.add("kept", "boolean")).parquet(staged)
+    dropped = everything.where("not kept").select("dump_path", "block_start", "article_id", "title", "reason", "detail")
+    n_articles = everything.where("kept").count()
+    if passed_over is not None:
+        dropped = dropped.unionByName(passed_over.select("dump_path", "block_start", "article_id", "title", "reason", F.lit(None).cast("string").alias("detail")))
+
+    if n_articles:
+        last_topic = reserve(spark, store, "topic_id", run, n_articles, lambda: highest_id(topics_load(spark, store), "topic_id"))
+        articles = read_with_ids(spark, f"{staged}/kept=true", "topic_id", last_topic)
+        cites_staged = scratch_path(spark, "citations")
+        extract_citations(articles.select("topic_id", "file_number", "html")).write.parquet(cites_staged)
+        n_cites = spark.read.parquet(cites_staged).count()
+        last_citation = reserve(spark, store, "citation_id", run, n_cites, lambda: highest_id(citations_load(spark, store), "citation_id"))
+        citations = read_with_ids(spark, cites_staged, "citation_id", last_citation)
+    else:
+        articles = spark.createDataFrame([], TOPICS_SCHEMA).withColumnRenamed("name", "title")
+        citations = spark.createDataFrame([], CITATIONS_SCHEMA)
+    citations_write(citations, store, run)
+    outcomes_write(dropped, store, run)
     topics_write(articles.withColumnRenamed("title", "name"), store, run)
 
 
+def judge_index(index: DataFrame, store: str, run: str) -> DataFrame:
+    """Index rows with the ``reason`` not to read them, null for those to read: the first of a
+    title that is an article's and not stored, unless an earlier run has seen that the page
+    is of no use. Only names and ids are grouped and joined."""
+    spark = index.sparkSession
+    topics = topics_load(spark, store).where(F.col("run") != run)
+    # Null names are no articles; they must not meet each other in the joins.
+    usable = index.where("title is not null and article_id is not null and block_start is not null")
+    unusable = index.where("title is null or article_id is null or block_start is null")
+    lowest = usable.groupBy("title").agg(F.min("article_id").alias("_lowest"))
+    stored = topics.select(F.col("name").alias("title"), F.lit(True).alias("_present")).distinct()
+    seen = lasting_outcomes(spark, store, run).withColumn("_seen", F.lit(True))
+    reason = (
+        F.when(F.col("_present"), "present")
+        .when(~is_article_title(F.col("title")), "namespace")
+        .when(F.col("article_id") != F.col("_lowest"), "title repeated")
+        .when(F.col("_seen"), "seen before")
+    )
+    joined = usable.join(lowest.join(stored, "title", "left"), "title").join(seen, ["dump_path", "block_start", "article_id"], "left")
+    judged = joined.select(*index.columns, reason.alias("reason"))
+    return judged.unionByName(unusable.select(*index.columns, F.lit("index line").alias("reason")))
+
+
 def pages_to_read(index: DataFrame, lengths: DataFrame, store: str, run: str) -> DataFrame:
     """Blocks with the articles wanted from them; adds ``file_number``."""
+    return _blocks_to_read(stage(judge_index(index, store, run), "judged"), index, lengths, store, run)
+
+
+def _blocks_to_read(judged: DataFrame, index: DataFrame, lengths: DataFrame, store: str, run: str) -> DataFrame:
     spark = index.sparkSession
-    others = F.col("run") != run
-    topics, citations = topics_load(spark, store).where(others), citations_load(spark, store).where(others)
-    wanted = stage(skip_present(first_per_title(namespace_filter(index)), topics), "wanted")
+    # Copies of a whole index row are one page.
+    wanted = stage(first_per_title(judged.where("reason is null").drop("reason")), "wanted")
     blocks = block_table(index, lengths)
-    todo = blocks.join(wanted.select("dump_path", "block_start").distinct(), ["dump_path", "block_start"], "left_semi")
-    numbered = assign_ids(todo, "file_number", last_ids(topics, citations)[2], ["dump_path", "block_start"])
+    todo = stage(blocks.join(wanted.select("dump_path", "block_start").distinct(), ["dump_path", "block_start"], "left_semi"), "todo")
+    last_file = reserve(spark, store, "file_number", run, todo.count(), lambda: highest_id(citations_load(spark, store), "file_number"))
+    numbered = assign_ids(todo, "file_number", last_file, ["dump_path", "block_start"])
     return stage(articles_per_block(wanted, numbered), "blocks")
 
 
-def first_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of ``pages`` (``article_id, title, markup``) those that ``wanted`` names, one for each
-    title: the lowest article id.
-
-    Only names are grouped; the winners come back as a slim, size-checked table.
-    """
-    winners = stage(wanted.groupBy("title").agg(F.min("article_id").alias("article_id"), F.count("*").alias("_copies")), "winners")
-    chosen = pages.join(broadcast_small(winners), ["title", "article_id"])
-    once = chosen.where("_copies = 1").drop("_copies")
-    repeated = chosen.where("_copies > 1").drop("_copies").dropDuplicates(["title", "article_id"])
-    return once.unionByName(repeated)
-
-
 def ingest_dump(
     index: DataFrame,
     lengths: DataFrame,
@@ -106,35 +159,72 @@ def ingest_dump(
     run: str,
     make_encoder: Callable[[], Encoder] = HashingEncoder,
 ) -> None:
-    """Reads what the store lacks. Running it again on the same dump adds nothing.
+    """Reads what the store lacks. Running it again on the same dump adds nothing, and reads
+    only what was missing or failed. ``sources.outcomes`` tells what became of all others.
 
     ``index``: ``dump_path, block_start, article_id, title``; ``lengths``:
     ``dump_path, data_len``.
     """
-    ingest_pages(dump_read_blocks(pages_to_read(index, lengths, store, run)), store, run, make_encoder)
+    judged = stage(judge_index(index, store, run), "judged")
+    pages = dump_read_blocks(_blocks_to_read(judged, index, lengths, store, run))
+    ingest_pages(pages, store, run, make_encoder, passed_over=judged.where("reason is not null"))
 
 
-def ingest_scan(
-    spark: SparkSession, pages: DataFrame, store: str, run: str, make_encoder: Callable[[], Encoder] = HashingEncoder
+#: Page names as a stream's state and a scan's title checks see them.
+NAMES_SCHEMA = "title string, article_id bigint, path string, reason string, copies bigint"
+
+
+def scan_reason() -> Column:
+    """Why a scanned page (``article_id, title, markup``) need not be asked for by name."""
+    return (
+        F.when(F.col("title").isNull() | F.col("article_id").isNull(), "no title or id")
+        .when(F.col("markup").isNull(), "missing page")
+        .when(~is_article_title(F.col("title")), "namespace")
+        .when(is_redirect(F.col("markup")), "redirect")
+    )
+
+
+def ingest_chosen(
+    pages: DataFrame, names: DataFrame, store: str, run: str, make_encoder: Callable[[], Encoder] = HashingEncoder
 ) -> None:
-    """The same for pages that come without an index (``article_id, title,
-    markup``), such as a stream's batch: one citation file number for all of them."""
-    others = F.col("run") != run
-    topics, citations = topics_load(spark, store).where(others), citations_load(spark, store).where(others)
-    file_number = last_ids(topics, citations)[2] + 1
-    # Staged, as the title checks read names and texts apart: no text is shuffled but that
-    # of pages that repeat both title and id.
-    named = stage(redirect_filter(namespace_filter(pages.where("article_id is not null and markup is not null"))), "pages")
-    fresh = first_pages(named, skip_present(named.select("title", "article_id"), topics))
-    full = fresh.select(
+    """Of ``pages`` (``article_id, title, markup``) those that ``names`` (``NAMES_SCHEMA``, staged)
+    has without a reason, as one run; one citation file number for all of them. The other
+    names are the run's outcomes. No text is shuffled but that of pages that repeat both
+    title and id: names come to the pages as a slim, size-checked table."""
+    spark = pages.sparkSession
+    file_number = 1 + reserve(spark, store, "file_number", run, 1, lambda: highest_id(citations_load(spark, store), "file_number"))
+    wanted = names.where("reason is null").select("title", "article_id", "copies")
+    found = pages.join(broadcast_small(wanted), ["title", "article_id"])
+    once = found.where("copies = 1")
+    repeated = found.where("copies > 1").dropDuplicates(["title", "article_id"])
+    none = F.lit(None).cast("bigint")
+    full = once.unionByName(repeated).select(
+        F.lit(None).cast("string").alias("dump_path"),
         "article_id",
         "title",
         "markup",
-        F.lit(None).cast("bigint").alias("block_start"),
-        F.lit(None).cast("bigint").alias("block_end"),
+        none.alias("block_start"),
+        none.alias("block_end"),
         F.lit(file_number).cast("bigint").alias("file_number"),
     )
-    ingest_pages(full, store, run, make_encoder)
+    passed_over = names.where("reason is not null").select(F.lit(None).cast("string").alias("dump_path"), none.alias("block_start"), "article_id", "title", "reason")
+    ingest_pages(full, store, run, make_encoder, passed_over)
+
+
+def ingest_scan(
+    spark: SparkSession, pages: DataFrame, store: str, run: str, make_encoder: Callable[[], Encoder] = HashingEncoder
+) -> None:
+    """The same for pages that come without an index (``article_id, title, markup``)."""
+    # Staged, as the title checks read names and texts apart.
+    staged = stage(pages.select("article_id", "title", "markup", scan_reason().alias("reason")), "pages")
+    names = staged.where("reason is null").groupBy("title", "article_id").agg(F.count("*").alias("copies"))
+    stored = topics_load(spark, store).where(F.col("run") != run).select(F.col("name").alias("title"), F.lit(True).alias("_present")).distinct()
+    known = names.groupBy("title").agg(F.min("article_id").alias("_lowest")).join(stored, "title", "left")
+    stopped = F.when(F.col("_present"), "present").when(F.col("article_id") != F.col("_lowest"), "title repeated")
+    nowhere = F.lit(None).cast("string")
+    judged = names.join(known, "title").select("title", "article_id", nowhere.alias("path"), stopped.alias("reason"), "copies")
+    others = staged.where("reason is not null").select("title", "article_id", nowhere.alias("path"), "reason", F.lit(1).cast("bigint").alias("copies"))
+    ingest_chosen(staged.drop("reason"), stage(judged.unionByName(others), "names"), store, run, make_encoder)
 
 
 def ingest_progress(outputs: DataFrame, total_blocks: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bz2
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -130,13 +130,17 @@ def dump_read(spark: SparkSession, path: str) -> DataFrame:
     return pages_from_text(raw)
 
 
-def pages_from_text(raw: DataFrame) -> DataFrame:
-    """Pages from text rows that were cut at the end tag of each page."""
+PAGES_SCHEMA = "article_id bigint, title string, markup string"
+
+
+def pages_from_text(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Pages from text rows that were cut at the end tag of each page, with the columns
+    ``keep`` of the rows."""
     start = F.instr("value", "<page>")
     xml = F.concat(F.substr("value", start), F.lit(PAGE_END))
-    pages = _parse_pages(raw.where(start > 0).select(xml.alias("xml")), "xml")
+    pages = _parse_pages(raw.where(start > 0).select(*keep, xml.alias("xml")), "xml")
     return pages.select(
-        F.col("page.id").alias("article_id"), F.col("page.title").alias("title"), F.col("page.revision.text").alias("markup")
+        *keep, F.col("page.id").alias("article_id"), F.col("page.title").alias("title"), F.col("page.revision.text").alias("markup")
     )
 
 

@@ -24,17 +24,22 @@ def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _write(df: DataFrame, path: str, run: str, schema: str) -> None:
+def write_run(df: DataFrame, path: str, run: str, schema: str) -> None:
     df.select(*_columns(schema)).write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     schema = f"{schema}, run string"
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -42,7 +47,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def topics_write(topics: DataFrame, store: str, run: str) -> None:
-    _write(topics, f"{store}/topics", run, TOPICS_SCHEMA)
+    write_run(topics, f"{store}/topics", run, TOPICS_SCHEMA)
 
 
 def topics_withdraw(spark: SparkSession, store: str, run: str) -> None:
@@ -55,18 +60,18 @@ def topics_withdraw(spark: SparkSession, store: str, run: str) -> None:
 def citations_write(citations: DataFrame, store: str, run: str) -> None:
     """Rows stay in order of topic id as they are made, so that the statistics of
     the row groups let readers skip other topics."""
-    _write(citations, f"{store}/citations", run, CITATIONS_SCHEMA)
+    write_run(citations, f"{store}/citations", run, CITATIONS_SCHEMA)
 
 
 def topics_load(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, f"{store}/topics", TOPICS_SCHEMA)
+    return read_runs(spark, f"{store}/topics", TOPICS_SCHEMA)
 
 
 def citations_load(spark: SparkSession, store: str) -> DataFrame:
     """Citations of finished runs. Runs are partition folders, so the list of finished
     ones is made from folder names and joined, whatever their number."""
     finished = topics_load(spark, store).select("run").distinct()
-    return _read(spark, f"{store}/citations", CITATIONS_SCHEMA).join(broadcast_small(finished), "run", "left_semi")
+    return read_runs(spark, f"{store}/citations", CITATIONS_SCHEMA).join(broadcast_small(finished), "run", "left_semi")
 
 
 def append_topics(spark: SparkSession, store: str, new_topics: DataFrame, run: str) -> DataFrame:
@@ -82,10 +87,6 @@ def store_counts(topics: DataFrame, citations: DataFrame) -> DataFrame:
     return n_topics.select(F.col("n").alias("n_topics"), n_citations.scalar().alias("n_citations"))
 
 
-def last_ids(topics: DataFrame, citations: DataFrame) -> tuple[int, int, int]:
-    """Highest topic id, citation id and file number so far; zero for none."""
-    topic = topics.agg(F.coalesce(F.max("topic_id"), F.lit(0))).first()[0]
-    citation, number = citations.agg(
-        F.coalesce(F.max("citation_id"), F.lit(0)), F.coalesce(F.max("file_number"), F.lit(0))
-    ).first()
-    return topic, citation, number
+def highest_id(table: DataFrame, column: str) -> int:
+    """Zero for none. For stores from before ``sources.register``, which is asked otherwise."""
+    return table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]

@@ -1,7 +1,7 @@
 """The two endless loops as streams of files.
 
-Neither keeps state in the stream: the stored tables are the state, the stream's
-checkpoint is the position. Each batch writes a folder of its own, named by the stream's
+Claims keep no state in the stream. Ingest keeps the titles it has seen there; the
+checkpoint is the position and holds that state. Each batch writes a folder of its own, named by the stream's
 id and its batch id, and replaces it when the batch is repeated after a failure. The id
 lives in the checkpoint, so a restarted stream keeps it, and a second stream into the same
 place has another one and cannot touch what the first has written.
@@ -10,19 +10,23 @@ place has another one and cannot touch what the first has written.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.operators.models import Encoder, HashingEncoder, OverlapScorer, Scorer
 from citeloom.operators.similarity import TOPIC_MATCHES, topk_topics
 from citeloom.plans.classify import classify_claims, match_claims
-from citeloom.plans.ingest import ingest_scan
+from citeloom.plans.ingest import NAMES_SCHEMA, ingest_chosen, scan_reason
 from citeloom.session import stage
-from citeloom.sources.dump import pages_from_text
+from citeloom.sources.dump import PAGE_END, PAGES_SCHEMA, pages_from_text
+from citeloom.sources.stores import TOPICS_SCHEMA, ensure_folder
 
 
 #: Reads what is there and stops; pass ``{"processingTime": "1 minute"}`` for an endless stream.
@@ -81,17 +85,70 @@ def stream_classify(
     make_encoder: Callable[[], Encoder] = HashingEncoder,
     make_scorer: Callable[[], Scorer] = OverlapScorer,
     trigger: dict[str, Any] | None = None,
+    keep_failures: bool = False,
+    store: str | None = None,
 ) -> StreamingQuery:
     """Answers a stream of claims (``claim_id, text``) as ``classify_claims`` does: with the
-    cited sentences of its nearest topics and their scores, below ``out``."""
+    cited sentences of its nearest topics and their scores, below ``out``. With
+    ``keep_failures`` one text that no score can be had for does not end the stream; with a
+    ``store`` scores are kept there and shared by batches and runs."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        scored = classify_claims(stage(batch, "claims"), topics, citations, k, make_encoder, make_scorer)
+        run = f"stream-{stream_id(batch.sparkSession, checkpoint)}-{batch_id:09d}"
+        scored = classify_claims(stage(batch, "claims"), topics, citations, k, make_encoder, make_scorer, keep_failures, store, run)
         scored.write.mode("overwrite").parquet(_answer_folder(batch.sparkSession, out, checkpoint, batch_id))
 
     return _start(claims, answer, checkpoint, trigger)
 
 
+#: A title's place in the stream's state. Some hundred titles share one at ten millions.
+TITLE_BUCKETS = 1 << 16
+
+
+def first_of_title(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Names of one bucket against all titles seen in it, which are the state: the lowest
+    article id of a title that is new goes on, all others get their reason. Stored names come
+    with the id -1; they only enter the state."""
+    seen = set(state.get[0]) if state.exists else set()
+    names = pd.concat(list(batches), ignore_index=True)
+    stopped = names[names["reason"].notna()]
+    names = names[names["reason"].isna()].groupby(["title", "article_id", "stored"], as_index=False, dropna=False).agg(path=("path", "min"), copies=("title", "size"))
+    stored = names["stored"].to_numpy(bool)
+    seen.update(names["title"][stored])
+    asked = names[~stored].sort_values(["title", "article_id"], ignore_index=True)
+    lowest = ~asked["title"].duplicated()
+    reason = np.where(asked["title"].isin(seen), "present", np.where(lowest, None, "title repeated"))
+    seen.update(asked["title"])
+    state.update((sorted(seen),))
+    asked = asked.assign(reason=reason.astype(object))
+    yield pd.concat([part[["title", "article_id", "path", "reason", "copies"]] for part in (asked, stopped)], ignore_index=True)
+
+
+def new_names(raw_pages: DataFrame, store: str, buckets: int = TITLE_BUCKETS) -> DataFrame:
+    """A stream of ``NAMES_SCHEMA`` rows for a stream of page files. Only names go through the
+    shuffle and into the state. The names that the store has come as a second source of the
+    stream: all of them in its first batch, later those of files that runs, also others',
+    have added since."""
+    spark = raw_pages.sparkSession
+    pages = pages_from_text(raw_pages.select("value", F.col("_metadata.file_path").alias("path")), ["path"])
+    judged = pages.select("title", "article_id", "path", scan_reason().alias("reason"))
+    ensure_folder(spark, f"{store}/topics")
+    topics = spark.readStream.schema(TOPICS_SCHEMA).option("ignoreMissingFiles", "true").parquet(f"{store}/topics")
+    known = topics.select(
+        F.col("name").alias("title"),
+        F.lit(-1).cast("bigint").alias("article_id"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(True).alias("stored"),
+    )
+    # Numbers stay whole in pandas only without nulls.
+    asked = judged.select("title", F.coalesce("article_id", F.lit(-1)).alias("article_id"), "path", "reason", F.lit(False).alias("stored"))
+    place = F.pmod(F.xxhash64(F.coalesce("title", F.col("article_id").cast("string"))), F.lit(buckets))
+    keyed = asked.unionByName(known).select("*", F.lit(1).cast("bigint").alias("copies"), place.alias("bucket"))
+    chosen = keyed.groupBy("bucket").applyInPandasWithState(first_of_title, NAMES_SCHEMA, "titles array<string>", "append", GroupStateTimeout.NoTimeout)
+    return chosen.withColumn("article_id", F.nullif("article_id", F.lit(-1).cast("bigint")))
+
+
 def stream_ingest(
     raw_pages: DataFrame,
     store: str,
@@ -99,11 +156,23 @@ def stream_ingest(
     make_encoder: Callable[[], Encoder] = HashingEncoder,
     trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
-    """Ingests dump files as they arrive. ``raw_pages`` is a text stream cut at the end
-    tag of each page (option ``lineSep``). Pages that are stored are skipped."""
+    """Ingests dump files as they arrive. ``raw_pages`` is a text stream of files cut at the
+    end tag of each page (option ``lineSep``). Pages that are stored are skipped.
 
-    def ingest(batch: DataFrame, batch_id: int) -> None:
-        run = f"stream-{stream_id(batch.sparkSession, checkpoint)}-{batch_id:09d}"
-        ingest_scan(batch.sparkSession, pages_from_text(batch), store, run, make_encoder)
+    Which titles are known is the stream's state, kept in its checkpoint: the stored tables are
+    read as a source that only gives what is new, and never scanned by a batch. Ids are
+    reserved (``sources.register``), so streams may run side by side. A batch's texts are read
+    from its files again, for the names that the state lets through.
+    """
 
-    return _start(raw_pages, ingest, checkpoint, trigger)
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        names = stage(batch, "names")
+        paths = [r.path for r in names.where("reason is null").select("path").distinct().collect()]
+        if not paths and names.isEmpty():
+            return
+        pages = pages_from_text(spark.read.option("lineSep", PAGE_END).text(paths)) if paths else spark.createDataFrame([], PAGES_SCHEMA)
+        run = f"stream-{stream_id(spark, checkpoint)}-{batch_id:09d}"
+        ingest_chosen(pages, names, store, run, make_encoder)
+
+    return _start(new_names(raw_pages, store), ingest, checkpoint, trigger)

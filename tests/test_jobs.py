@@ -1,13 +1,15 @@
 """The jobs end to end on a small dump."""
 
 import bz2
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import In
 
 from citeloom.checks.inputs import page_xml
-from citeloom.operators.models import HashingEncoder
+from citeloom.operators.models import HashingEncoder, OverlapScorer
+from citeloom.operators.support import prune_to_topics
 from citeloom.plans.classify import classify_claims
 from citeloom.plans.ingest import ingest_dump, pages_to_read
 from citeloom.plans.pack import files_by_number, load_ranges, pack_files
@@ -25,6 +27,9 @@ from citeloom.sources.dump import (
     locate,
     read_index,
 )
+from citeloom.sources.outcomes import outcomes_load, run_report
+from citeloom.sources.register import claims, reserve
+from citeloom.sources.scores import scores_load
 from citeloom.sources.stores import append_topics, citations_load, citations_write, topics_load, topics_write
 from citeloom.streaming.jobs import stream_claims, stream_ingest
 
@@ -180,6 +185,59 @@ def test_ingest_is_incremental(spark, index, lengths):
     }
 
 
+def test_outcomes_are_kept_and_used(spark, index, lengths):
+    class Fussy(HashingEncoder):
+        def encode(self, texts):
+            if any("maple" in text for text in texts):
+                raise ValueError("no maple")
+            return super().encode(texts)
+
+    store = scratch_path(spark, "store")
+    extra = index.where("article_id = 5").select(index.columns[0], "block_start", F.lit(999).cast("bigint").alias("article_id"), F.lit("Gone").alias("title"))
+    bad = index.where("article_id < 2").withColumn("title", F.lit(None).cast("string"))
+    whole = index.select(index.columns[0], "block_start", "article_id", "title").unionByName(extra).unionByName(bad.select(extra.columns))
+    ingest_dump(whole, lengths, store, "one", Fussy)
+
+    def report(run):
+        return {r.reason: r.n for r in run_report(spark, store, run).collect()}
+
+    failed = sum(1 for i in range(60) if i % 10 < 8 and i not in (3, 4, 15) and "maple" in article(i))
+    first = report("one")
+    # Where page 5 failed, page 15 of the same title is still the repeated one.
+    expected = {"redirect": 6, "no cites": 6, "namespace": 2, "title repeated": 1, "missing page": 1, "index line": 2, "embedding failed": failed}
+    assert first == {**expected, "stored": len(expected_names()) - failed}
+    details = outcomes_load(spark, store).where("reason = 'embedding failed'").select("detail").distinct().collect()
+    assert [r.detail for r in details] == ["no maple"]
+
+    again = pages_to_read(whole, lengths, store, "two").select(F.explode("articles.article_id").alias("i")).collect()
+    assert len(again) == failed + 1 and 999 in {r.i for r in again}
+    ingest_dump(whole, lengths, store, "two")
+    present = first["stored"] + (1 if "maple" not in article(5) else 0)
+    assert report("two") == {k: v for k, v in {
+        "present": present, "seen before": 12, "namespace": 2, "title repeated": 1 - (present - first["stored"]),
+        "missing page": 1, "index line": 2, "stored": failed}.items() if v}
+    assert {r["name"] for r in topics_load(spark, store).collect()} == expected_names()
+    ids = sorted(r["topic_id"] for r in topics_load(spark, store).collect())
+    assert ids == list(range(1, len(ids) + 1))
+
+
+def test_register_gives_ranges_apart(spark):
+    store = scratch_path(spark, "store")
+
+    def writer(name):
+        return [(f"{name}-{i}", reserve(spark, store, "topic_id", f"{name}-{i}", i + 1, lambda: 7)) for i in range(8)]
+
+    with ThreadPoolExecutor(4) as pool:
+        got = dict(pair for pairs in pool.map(writer, "abcd") for pair in pairs)
+    taken = sorted((after, after + int(run.split("-")[1]) + 1) for run, after in got.items())
+    assert taken[0][0] == 7 and all(a[1] == b[0] for a, b in zip(taken, taken[1:]))
+    assert [c.after for c in claims(spark, store, "topic_id")] == [a for a, _ in taken]
+    # A repeated run has its ids again, unless it needs more of them.
+    assert reserve(spark, store, "topic_id", "b-3", 4) == reserve(spark, store, "topic_id", "b-3", 2) == got["b-3"]
+    assert reserve(spark, store, "topic_id", "b-3", 9) == taken[-1][1]
+    assert reserve(spark, store, "topic_id", "none", 0) == 0
+
+
 def test_duplicate_title_keeps_the_lowest_id(spark, index, lengths):
     store = scratch_path(spark, "store")
     ingest_dump(index, lengths, store, "one")
@@ -283,6 +341,115 @@ def test_two_streams_into_one_store_keep_both(spark):
         assert len({i for i, _ in after}) == len(after)
 
 
+def test_two_streams_at_once(spark, store):
+    target, running = scratch_path(spark, "store"), []
+    for part in range(2):
+        folder = scratch_path(spark, "dumps")
+        df = articles(spark, range(part * 30, part * 30 + 30))
+        df.repartition(2).select(page_xml(df).alias("value")).write.option("compression", "bzip2").text(folder)
+        stream = spark.readStream.option("lineSep", "</page>").option("maxFilesPerTrigger", 1).text(folder)
+        running.append(stream_ingest(stream, target, scratch_path(spark, "position"), HashingEncoder))
+    for one in running:
+        one.awaitTermination()
+    assert stored(spark, target) == stored(spark, store)
+    for table, key in ((topics_load(spark, target), "topic_id"), (citations_load(spark, target), "citation_id")):
+        ids = sorted(r[key] for r in table.collect())
+        assert ids == list(range(1, len(ids) + 1))
+    assert outcomes_load(spark, target).where("reason = 'redirect'").count() == 6
+
+
+def test_one_bad_score_is_a_row(spark, store):
+    class Fails:
+        def logits(self, prompts):
+            if any("copper" in p for p in prompts):
+                raise ValueError("no copper")
+            return OverlapScorer().logits(prompts)
+
+    claims = spark.createDataFrame(CLAIMS, "claim_id bigint, text string")
+    topics, citations = topics_load(spark, store), citations_load(spark, store)
+    rows = classify_claims(claims, topics, citations, make_scorer=Fails, keep_failures=True).collect()
+    assert len(rows) == classify_claims(claims, topics, citations).count()
+    bad = [r for r in rows if r.error is not None]
+    assert 0 < len(bad) < len(rows) and {r.error for r in bad} == {"no copper"}
+    assert all((r.contra is None) == (r.error is not None) for r in rows)
+    with pytest.raises(Exception, match="no score after 3 tries"):
+        classify_claims(claims, topics, citations, make_scorer=Fails).collect()
+
+
+def test_scores_are_kept_by_content(spark, store):
+    class Counting:
+        def __init__(self, calls):
+            self.calls, self.scorer = calls, OverlapScorer()
+
+        def logits(self, prompts):
+            self.calls.add(len(prompts))
+            return self.scorer.logits(prompts)
+
+    topics, citations = topics_load(spark, store), citations_load(spark, store)
+    scores = scratch_path(spark, "scores")
+
+    def classified(rows, run):
+        calls = spark.sparkContext.accumulator(0)
+        claims = spark.createDataFrame(rows, "claim_id bigint, text string")
+        got = classify_claims(claims, topics, citations, make_scorer=lambda: Counting(calls), store=scores, run=run)
+        return sorted(map(tuple, got.collect())), calls.value
+
+    first, called = classified(CLAIMS[:1], "one")
+    pairs = {(r[1], r[8]) for r in first}
+    assert called == len(pairs) > 0
+    again, called = classified(CLAIMS[:1], "two")
+    assert again == first and called == 0
+    # A repeated run is scored as if it had not been; a known text costs nothing in a new run.
+    assert classified(CLAIMS[:1], "one")[0] == first
+    more, called = classified([(7, CLAIMS[0][1]), CLAIMS[1]], "three")
+    assert [r[1:] for r in more if r[0] == 7] == [r[1:] for r in first] and 0 < called < len(more)
+    assert scores_load(spark, scores).count() == scores_load(spark, scores).select("pair").distinct().count()
+
+
+@pytest.mark.parametrize("pushed_ids", [1000, 0])
+def test_pruning_keeps_matched_topics(spark, store, pushed_ids):
+    citations = citations_load(spark, store)
+    matches = spark.createDataFrame([(1, 3), (2, 5), (2, 3), (2, 999)], "claim_id bigint, topic_id bigint")
+    got = prune_to_topics(citations, matches, pushed_ids)
+    assert sorted(r.topic_id for r in got.collect()) == [3, 3, 5, 5] and set(got.columns) == set(citations.columns)
+
+
+def test_stream_state_in_place_of_scans(spark, monkeypatch):
+    """Titles of other runs, also those stored while the stream runs, and of earlier batches
+    are known; no batch loads the stored tables; a restart goes on."""
+    target, folder, position = (scratch_path(spark, name) for name in ("store", "dumps", "position"))
+
+    def drop(numbers):
+        df = articles(spark, numbers)
+        df.coalesce(1).select(page_xml(df).alias("value")).write.mode("append").option("compression", "bzip2").text(folder)
+
+    def run():
+        stream = spark.readStream.option("lineSep", "</page>").option("maxFilesPerTrigger", 1).text(folder)
+        stream_ingest(stream, target, position, HashingEncoder).awaitTermination()
+
+    def known(name, topic_id):
+        return spark.createDataFrame([(topic_id, name, 0, 1, 1, [1.0] + [0.0] * 7)], "topic_id bigint, name string, block_start bigint, block_end bigint, article_id bigint, topic_vector array<float>")
+
+    append_topics(spark, target, known("Article 2", 1), "by hand")
+    drop([0, 1, 2, 5])
+    run()
+    scans = []
+    monkeypatch.setattr("citeloom.plans.ingest.topics_load", lambda *a: scans.append(a))
+    monkeypatch.setattr("citeloom.plans.ingest.citations_load", lambda *a: scans.append(a))
+    topics_write(known("Article 6", 900), target, "meanwhile")
+    drop([1, 6, 7, 15, 16])
+    run()
+    drop([16, 17])
+    run()
+    assert not scans
+    names = sorted(r.name for r in topics_load(spark, target).collect())
+    assert names == sorted(f"Article {i}" for i in (0, 1, 2, 5, 6, 7, 16, 17))
+    ids = [r.topic_id for r in topics_load(spark, target).where("run like 'stream%'").collect()]
+    assert sorted(ids) == list(range(2, 8))
+    reasons = sorted((r.article_id, r.reason) for r in outcomes_load(spark, target).collect())
+    assert reasons == [(1, "present"), (2, "present"), (6, "present"), (15, "present"), (16, "present")]
+
+
 def test_two_streams_of_claims_keep_both(spark, store):
     topics, out = topics_load(spark, store), scratch_path(spark, "answers")
     for claim_id in (1, 2):

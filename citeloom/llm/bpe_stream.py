@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from bisect import bisect_left
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from citeloom.llm.common import append_columns, batches_of, rows_of
+from citeloom.llm.common import append_columns, batches_of
 
 SLICE_CHARS = 1 << 16
 
@@ -38,6 +39,17 @@ CACHED_CHARS, CACHED_WORDS = 48, 1 << 19
 #: ("'r" is a contraction only before "e").
 LOOK_AHEAD = 3
 
+#: The steps before the merges for which words of letters below this code point can be cut in
+#: bulk. Of its characters none decomposes into others that a neighbour could join.
+PLAIN = 0x250
+PLAIN_STEPS = [
+    "NFC",
+    {"Regex": r"\s+"},
+    "Lowercase",
+    {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "ByteLevel",
+]
+
 
 @cache
 def byte_symbols() -> tuple[str, ...]:
@@ -157,6 +169,9 @@ class Tables:
         bare = Tokenizer.from_str(json.dumps(file | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalise = bare.normalizer.normalize_str if bare.normalizer else str
         self.pretokens = bare.pre_tokenizer.pre_tokenize_str
+        parts = [step.get("pattern", step["type"]) for step in file["normalizer"].get("normalizers", [])]
+        parts += [step.get("pattern", step["type"]) for step in file["pre_tokenizer"].get("pretokenizers", [])]
+        self.plain_pattern = parts == PLAIN_STEPS
 
     def merge(self, symbols: Iterable[str]) -> list[str]:
         """Tokens of a run of symbols: the lowest rule first, everywhere from left to right."""
@@ -189,22 +204,40 @@ class Tables:
 
     @cached_property
     def _symbol_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """By code point, the id of a symbol inside a word and of one at its end."""
-        inside, ending = np.zeros(0x200, np.int64), np.zeros(0x200, np.int64)
-        for symbol in byte_symbols():
-            inside[ord(symbol)], ending[ord(symbol)] = self.ids[symbol], self.ids[symbol + self.suffix]
-        return inside, ending
+        """By byte, the id of its symbol inside a word and at its end."""
+        return tuple(np.array([self.ids[c + suffix] for c in byte_symbols()], np.int64) for suffix in ("", self.suffix))
+
+    @cached_property
+    def plain_classes(self) -> np.ndarray:
+        """By code point below PLAIN: letter, number or sign, which the file's pattern takes in
+        runs, one by one and in runs; 0 for what it may treat otherwise (white space, control
+        characters, what opens a contraction). Only for the pattern this was made for, and
+        where normalisation is lower case alone."""
+        classes = np.zeros(PLAIN + 1, np.uint8)
+        if not self.plain_pattern:
+            return classes
+        for code in range(0x21, PLAIN):
+            char = chr(code)
+            kind = unicodedata.category(char)[0]
+            if char != "'" and kind not in "CZ" and char.lower() == char:
+                classes[code] = {"L": 1, "N": 2}.get(kind, 3)
+        return classes
 
     def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole pre-tokens, one after another, and how many each has: ``merge`` on
-        all of them at once, a round for each one's lowest rule."""
+        """Ids of whole pre-tokens (in symbols), one after another, and how many each has."""
+        values = {c: b for b, c in enumerate(byte_symbols())}
+        given = np.fromiter((values[c] for w in words for c in w), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return self.merge_bytes(given, sizes)
+
+    def merge_bytes(self, given: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` on many whole pre-tokens at once, a round for each one's lowest rule: their
+        bytes one after another and the length of each, to ids and their number."""
         keys, ranks, made = self._pairs
         inside, ending = self._symbol_ids
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        ids, word = inside[points], np.repeat(np.arange(len(words)), sizes)
+        ids, word = inside[given], np.repeat(np.arange(len(sizes)), sizes)
         last = np.cumsum(sizes) - 1
-        ids[last] = ending[points[last]]
+        ids[last] = ending[given[last]]
         none = len(made)
 
         def rank_at(at: np.ndarray) -> np.ndarray:
@@ -217,8 +250,8 @@ class Tables:
         rank = rank_at(np.arange(len(ids)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            lengths = np.diff(np.r_[starts, len(ids)])
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lengths = np.diff(np.append(starts, len(ids)))
             best = np.repeat(np.minimum.reduceat(rank, starts), lengths)
             over = best == none
             if over.any():
@@ -228,8 +261,8 @@ class Tables:
                     break
             at = np.flatnonzero(rank == best)
             # Places in a row are a run of one symbol: every other one, from the left.
-            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
             ids[at] = made[rank[at]]
             stay = np.ones(len(ids), bool)
             stay[at + 1] = False
@@ -240,10 +273,10 @@ class Tables:
             touched = np.flatnonzero(changed)
             rank[touched] = rank_at(touched)
         if not done:
-            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+            return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
         owner, found = (np.concatenate(parts) for parts in zip(*done, strict=True))
         order = np.argsort(owner, kind="stable")
-        return found[order], np.bincount(owner, minlength=len(words))
+        return found[order], np.bincount(owner, minlength=len(sizes))
 
     def ids_of(self, tokens: Iterable[str]) -> list[int]:
         return [self.ids[t] for t in tokens]
@@ -372,43 +405,45 @@ class Words(dict):
         stream = TextStream(self.tables)
         return _packed(stream.feed(word) + stream.finish())
 
-    def learn(self, texts: Iterable[str]) -> None:
-        """The words of ``texts`` that are not known yet, or as many as the table takes."""
-        new: set[str] = set()
-        for text in texts:
-            new.update(_words(text))
-        new = {w for w in new if len(w) <= CACHED_CHARS and w not in self}
+    def learn(self, texts: Iterable[list[str]]) -> None:
+        """The words of texts that are not known yet and not too long."""
+        new = {w for w in set().union(*texts) if w not in self and len(w) <= CACHED_CHARS}
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        odd = {w for w in new if _ODD_SPACE.search(w) or (self.tables.find_added and self.tables.find_added.search(w))}
-        for word in odd:
-            self[word] = self.__missing__(word)
+        opening = os.path.commonprefix(list(self.tables.added))
+        odd = {w for w in new if opening in w} if self.tables.added else set()
         usual = list(new - odd)
-        for at in range(0, len(usual), 1 << 13):
-            self._learn(usual[at : at + (1 << 13)])
-
-    def _learn(self, words: list[str]) -> None:
-        normal = self.tables.normalise(" ".join(words))
-        sizes = np.fromiter(map(len, normal.split(" ")), np.int64)
-        if len(sizes) != len(words):
-            self.update((w, self.__missing__(w)) for w in words)
-            return
-        pieces = self.tables.pretokens(normal)
-        # The word of a pre-token is the one it starts in.
-        begins = np.fromiter((begin for _, (begin, _) in pieces), np.int64, len(pieces))
-        owners = np.searchsorted(np.cumsum(sizes + 1), begins, side="right")
-        counts = np.zeros(len(words), np.int64)
-        ids, sizes = self.tables.merge_many([piece for piece, _ in pieces])
-        np.add.at(counts, owners, sizes)
-        ends = np.cumsum(counts) * 4
-        data = ids.astype("<u4").tobytes()
-        self.update(zip(words, (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), strict=True))
-
-
-_ODD_SPACE = re.compile(r"\s")
-
-
-def _words(text: str) -> list[str]:
+        for at in range(0, len(usual), 1 << 14):
+            odd.update(self._learn_plain(usual[at : at + (1 << 14)]))
+        self.update([(w, self.__missing__(w)) for w in odd])
+
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Learns the words whose characters are all plain; returns the others."""
+        text = " ".join(words).lower()
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        blank = points == 0x20
+        classes = self.tables.plain_classes[np.minimum(points, PLAIN)]
+        # Each word has a stretch that ends with its blank; the empty word is no pre-token.
+        word = np.cumsum(blank) - blank
+        bad = np.zeros(len(words), bool)
+        bad[word[(classes == 0) & ~blank]] = True
+        bad[np.diff(np.flatnonzero(np.concatenate([[True], blank, [True]]))) == 1] = True
+        good = ~blank & ~bad[word]
+        classes, word, points = classes[good], word[good], points[good]
+        if len(points):
+            new = np.concatenate([[True], (classes[1:] != classes[:-1]) | (classes[1:] == 2) | (word[1:] != word[:-1])])
+            widths = 1 + (points >= 0x80)
+            starts = np.flatnonzero(new)
+            given = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            ids, sizes = self.tables.merge_bytes(given, np.add.reduceat(widths, starts))
+            counts = np.bincount(word[starts], weights=sizes, minlength=len(words)).astype(np.int64)
+            ends = (np.cumsum(counts) * 4).tolist()
+            data = ids.astype("<u4").tobytes()
+            self.update((w, data[a:b]) for w, a, b, skip in zip(words, [0, *ends[:-1]], ends, bad.tolist(), strict=True) if not skip)
+        return [w for w, skip in zip(words, bad.tolist(), strict=True) if skip]
+
+
+def split_words(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
@@ -420,10 +455,9 @@ def encode_stream(text: str, words: Words, slice_chars: int = SLICE_CHARS) -> It
         if stop < end:
             stop = text.rfind(" ", at, stop)
         if stop >= at:
-            part = text[at:stop]
-            if end > slice_chars:
-                words.learn([part])
-            yield b"".join(map(words.__getitem__, _words(part)))
+            part = split_words(text[at:stop])
+            words.learn([part])
+            yield b"".join(map(words.__getitem__, part))
         else:
             # A word longer than a slice goes through one stream, slice by slice.
             stop = text.find(" ", at)
@@ -435,6 +469,14 @@ def encode_stream(text: str, words: Words, slice_chars: int = SLICE_CHARS) -> It
         at = stop + 1
 
 
+def encode_batch(texts: list[str], words: Words) -> Iterator[Iterator[bytes]]:
+    """``encode_stream`` of each text; the words of the short ones are learnt together."""
+    lists = [split_words(t) if len(t) <= SLICE_CHARS else None for t in texts]
+    words.learn(part for part in lists if part is not None)
+    for text, part in zip(texts, lists, strict=True):
+        yield encode_stream(text, words) if part is None else iter([b"".join(map(words.__getitem__, part))])
+
+
 class IdsToText:
     """Ids in, text out: a machine over bytes that keeps an unfinished character.
 
@@ -481,9 +523,7 @@ def encode_texts(df: DataFrame, vocabulary: WordVocabulary, text: str = "text",
     """
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
-        words = _words_of(vocabulary)
-        words.learn(t for t in texts if t and len(t) <= SLICE_CHARS)
-        found = [np.frombuffer(b"".join(encode_stream(t or "", words)), "<u4").astype(np.int32) for t in texts]
+        found = [np.frombuffer(b"".join(parts), "<u4").astype(np.int32) for parts in encode_batch([t or "" for t in texts], _words_of(vocabulary))]
         ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))]
 
@@ -524,21 +564,16 @@ def encoding_digests(df: DataFrame, vocabulary: WordVocabulary, key: str = "doc_
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, machine = _words_of(vocabulary), IdsToText(vocabulary.tables)
 
-        def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
-                rows = list(rows_of([batch], "doc_id", "text"))
-                words.learn(said for _, said in rows if len(said) <= SLICE_CHARS)
-                yield from rows
-
         def found() -> Iterator[tuple]:
-            for doc_id, said in learned(batches):
-                count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in encode_stream(said, words):
-                    count += len(ids) // 4
-                    of_ids.update(ids)
-                    of_text.update(machine.feed(np.frombuffer(ids, "<u4").tolist()).encode())
-                of_text.update(machine.finish().encode())
-                yield doc_id, count, of_ids.hexdigest(), of_text.hexdigest()
+            for batch in batches:
+                for doc_id, parts in zip(batch.column(0).to_pylist(), encode_batch(batch.column(1).to_pylist(), words), strict=True):
+                    count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in parts:
+                        count += len(ids) // 4
+                        of_ids.update(ids)
+                        of_text.update(machine.feed(np.frombuffer(ids, "<u4").tolist()).encode())
+                    of_text.update(machine.finish().encode())
+                    yield doc_id, count, of_ids.hexdigest(), of_text.hexdigest()
 
         yield from batches_of(found(), DIGESTS)
 

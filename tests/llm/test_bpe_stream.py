@@ -13,6 +13,7 @@ from citeloom.llm.bpe_stream import IdsToText, TextStream, Words, WordStream, Wo
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["a", "b", "e", "th", "in", "É", "é", "é", "́", "'", "'s", "'re", "'RE", " ", "  ", "\n", "\t", " ", "\x1c", "1", "9", "!", "..."]
+PIECES += ["Hello", "WORLD", "Ünï", "ªº²¼", "Ⱥ", "ǅ", "\xad", "\x85", "½x", "ŉ", "#*$%&|<>", "ĸŸ", "--"]
 PIECES += ["<|endoftext|>", "<|startoftext|>", "<|end", "<|ENDOFTEXT|>", "ß", "İ", "Σ", "中", "한", "ᄒ", "ᅡ", "ᆫ", "🎉", "x" * 300, "!" * 300, "lo" * 400, "\x00", "ﬁ"]
 
 
@@ -36,7 +37,7 @@ def test_same_ids_and_text_as_library(vocabulary, library):
     for text in texts(1, 300):
         expected = library.encode(text, add_special_tokens=False).ids
         words = Words(vocabulary.tables)
-        words.learn([text[: rng.choice([0, 10, 1000])]])
+        words.learn([bpe_stream.split_words(text[: rng.choice([0, 10, 1000])])])
         got = b"".join(encode_stream(text, words, rng.choice([5, 17, 64, 1 << 16])))
         assert np.frombuffer(got, "<u4").tolist() == expected
         stream, ids, at = TextStream(vocabulary.tables), [], 0

@@ -31,8 +31,8 @@ from citeloom.llm.common import append_columns, batches_of
 
 SLICE_CHARS = 1 << 16
 
-#: Words up to this many characters are looked up in a table of words met before, which
-#: is emptied when it would get more entries than this.
+#: Words up to this many characters are looked up in a table of words met before. When it
+#: would get more entries than this, it becomes the older half, in place of the one before.
 CACHED_CHARS, CACHED_WORDS = 48, 1 << 19
 
 #: Characters that a pre-token's match may look at behind its start before it is sure
@@ -400,6 +400,7 @@ class Words(dict):
     def __init__(self, tables: Tables):
         super().__init__()
         self.tables = tables
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         stream = TextStream(self.tables)
@@ -407,9 +408,17 @@ class Words(dict):
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """The words of texts that are not known yet and not too long."""
-        new = {w for w in set().union(*texts) if w not in self and len(w) <= CACHED_CHARS}
+        asked = {w for w in set().union(*texts) if len(w) <= CACHED_CHARS}
+        new = {w for w in asked if w not in self}
         if len(self) + len(new) > CACHED_WORDS:
+            # Words that are met again come back from the older half; the others go.
+            self.older = dict(self)
             self.clear()
+            new = asked
+        if self.older:
+            back = new & self.older.keys()
+            self.update([(w, self.older.pop(w)) for w in back])
+            new -= back
         opening = os.path.commonprefix(list(self.tables.added))
         odd = {w for w in new if opening in w} if self.tables.added else set()
         usual = list(new - odd)

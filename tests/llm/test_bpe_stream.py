@@ -50,6 +50,21 @@ def test_same_ids_and_text_as_library(vocabulary, library):
         assert machine.feed(expected[:cut]) + machine.feed(expected[cut:]) + machine.finish() == library.decode(expected, skip_special_tokens=False)
 
 
+def test_full_table_of_words_stays_right(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "CACHED_WORDS", 12)
+    words, slow = Words(vocabulary.tables), []
+    monkeypatch.setattr(Words, "__missing__", lambda self, w: slow.append(w) or library_ids(w))
+
+    def library_ids(word):
+        return np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    for batch in (["a b c d e f", "c g h i"], ["a b x y z u v", "c"], ["a b x", "q r s t"], ["a b"]):
+        got = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in bpe_stream.encode_batch(batch, words)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    # All of them are plain: none went one by one, before or after the table was full.
+    assert not slow and len(words) <= 12
+
+
 def test_long_run_needs_one_window(vocabulary, library):
     run = "".join(random.Random(4).choices("abcdefghilmnorstu", k=30_000))
     stream, ids = TextStream(vocabulary.tables), []

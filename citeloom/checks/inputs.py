@@ -257,7 +257,7 @@ def write_block_dump(articles: DataFrame, pages_per_block: int = 100) -> tuple[D
         path = f"{re.sub('^file:/+', '/', folder)}/{name}"
         lines: list[str] = []
         pending: list[str] = []
-        with filesystem.open_output_stream(f"{inner}/{name}") as file:
+        with filesystem.open_output_stream(f"{inner}/{name}", compression=None) as file:
 
             def flush() -> None:
                 if pending:

@@ -32,6 +32,7 @@ from citeloom.operators.support import (
     citations_per_topic,
     claim_premise_pairs,
     premise_dedup,
+    prune_to_topics,
     score_pairs,
     split_claims,
     support_nested,
@@ -42,9 +43,12 @@ from citeloom.plans.ingest import ingest_dump, ingest_progress
 from citeloom.plans.pack import data_length, files_by_number, load_ranges, pack_files
 from citeloom.session import scratch_path, stage
 from citeloom.sources.citation_files import list_files
+from citeloom.sources.colocated import colocated_citations, read_colocated, write_colocated
 from citeloom.sources.dump import index_parse
 from citeloom.sources.outcomes import run_report
+from citeloom.sources.packed import packed_lookup
 from citeloom.sources.stores import append_topics, citations_load, topics_load
+from citeloom.sources.upkeep import merge_runs, vacuum
 from citeloom.streaming.jobs import stream_claims, stream_classify, stream_ingest
 
 # --- matches and citations: a document belongs to one of 500 topics ----------
@@ -63,16 +67,37 @@ def matches_of(t):
     return stage(topk_topics(claims_of(t), topics_of(t)), "matches")
 
 
-@query(
-    "topic_citations",
-    f"""WITH {TOPK_SQL} SELECT claim_id, topic_id, rank::INTEGER AS rank, 'topic ' || topic_id AS name, doc_id AS citation_id,
-  'https://ex.org/' || doc_id AS uri, length(text) AS n FROM matches JOIN documents ON doc_id % 500 = topic_id""",
-)
-def _(t):
-    cited = topic_citations(matches_of(t), document_topics(t), topic_cites(t))
+TOPIC_CITATIONS_SQL = f"""WITH {TOPK_SQL} SELECT claim_id, topic_id, rank::INTEGER AS rank, 'topic ' || topic_id AS name, doc_id AS citation_id,
+  'https://ex.org/' || doc_id AS uri, length(text) AS n FROM matches JOIN documents ON doc_id % 500 = topic_id"""
+
+
+def cited_rows(cited):
     return cited.select("claim_id", "topic_id", "rank", "name", "citation_id", "uri", F.length("sentence").cast("bigint").alias("n"))
 
 
+@query("topic_citations", TOPIC_CITATIONS_SQL)
+def _(t):
+    return cited_rows(topic_citations(matches_of(t), document_topics(t), topic_cites(t)))
+
+
+@query("topic_citations_many", TOPIC_CITATIONS_SQL)
+def _(t):
+    """The way of large tables, whatever their size: semi-join first, then joins by output."""
+    matches = matches_of(t)
+    cites = prune_to_topics(topic_cites(t), matches, pushed_ids=0)
+    return cited_rows(topic_citations(matches, document_topics(t), stage(cites, "cites"), plain_bytes=0))
+
+
+@query("topic_citations_colocated", TOPIC_CITATIONS_SQL)
+def _(t):
+    """From tables in buckets of the topic id; a few topics are too large for theirs."""
+    path = scratch_path(t.spark, "colocated")
+    cites = topic_cites(t)
+    mean = max(1, t.documents.count() // 500)
+    write_colocated(document_topics(t), cites, path, buckets=16, large_rows=mean)
+    return cited_rows(colocated_citations(matches_of(t), read_colocated(t.spark, path)))
+
+
 @query(
     "citations_per_topic",
     f"""WITH {TOPK_SQL} SELECT topic_id, (SELECT count(*) FROM documents WHERE doc_id % 500 = topic_id) AS n
@@ -146,6 +171,20 @@ def _(t):
     return scored.select("claim_id", "line_no", "citation_id", "uri", F.round("contra", 6).alias("contra"), F.round("entail", 6).alias("entail"))
 
 
+@query("score_store", SUPPORT_SQL)
+def _(t):
+    """Scored by a first run, then asked again of a scorer that must not be called."""
+
+    class Never:
+        def logits(self, prompts):
+            raise RuntimeError("this pair has a score")
+
+    pairs, store = stage(talk_pairs(t), "pairs"), scratch_path(t.spark, "scores")
+    score_pairs(pairs, store=store, run="first")
+    scored = score_pairs(pairs, Never, store=store, run="second")
+    return scored.select("claim_id", "line_no", "citation_id", "uri", F.round("contra", 6).alias("contra"), F.round("entail", 6).alias("entail"))
+
+
 @query("support_nested", SUPPORT_SQL)
 def _(t):
     nested = support_nested(stage(score_pairs(stage(talk_pairs(t), "pairs")), "scored"), chunk_rows=2)
@@ -311,16 +350,26 @@ def _(t):
     )
 
 
-@query("pack_citations", "SELECT doc_id // 50 AS file_number, true AS tiles FROM documents GROUP BY 1")
+@query(
+    "pack_citations",
+    """SELECT doc_id // 50 AS file_number, true AS tiles, count(*) AS n, md5(string_agg(doc_id || 'https://ex.org/?a=1&b=' || doc_id || md5(text), '' ORDER BY doc_id)) AS content_md5
+FROM documents GROUP BY 1""",
+)
 def _(t):
-    # Sizes of compressed files are not a matter of SQL: check that the ranges read
-    # back from the manifest lie end to end and cover the data.
+    # Sizes of compressed files are not a matter of SQL: check that the ranges read back from
+    # the manifest lie end to end and cover the data. Content is looked up by number, in
+    # packed files of a few numbers each.
     files_path, packed, index = written_files(t), scratch_path(t.spark, "packed"), scratch_path(t.spark, "manifest")
-    pack_files(t.spark, files_path, packed, index)
+    places = scratch_path(t.spark, "places")
+    pack_files(t.spark, files_path, packed, index, places, packed_bytes=1 << 17)
     sizes = files_by_number(list_files(t.spark, files_path))
     ranges = load_ranges(t.spark, index, data_length(sizes))
     true_sizes = sizes.select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("file_number"), F.col("length").alias("size"))
-    return ranges.join(true_sizes, "file_number").select("file_number", (F.col("length") == F.col("size")).alias("tiles"))
+    tiled = ranges.join(true_sizes, "file_number").select("file_number", (F.col("length") == F.col("size")).alias("tiles"))
+    said = F.struct("citation_id", F.concat("citation_id", "uri", F.md5("sentence")).alias("text"))
+    looked_up = packed_lookup(t.spark, places, ranges.select("file_number")).groupBy("file_number").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(said)).alias("rows"))
+    content = looked_up.select("file_number", "n", F.md5(F.array_join(F.col("rows.text"), "")).alias("content_md5"))
+    return tiled.join(content, "file_number")
 
 
 def classify_inputs(t):
@@ -390,6 +439,18 @@ def _(t):
     return stored_rows(t.spark, store)
 
 
+@query("stream_ingest_merged", INGESTED_SQL)
+def _(t):
+    """A run per file, then merged into one, then swept."""
+    source = write_plain_dump(noisy_markup(t.documents).repartition(6))
+    store = scratch_path(t.spark, "store")
+    stream = t.spark.readStream.option("lineSep", "</page>").option("maxFilesPerTrigger", 1).text(source)
+    stream_ingest(stream, store, scratch_path(t.spark, "position")).awaitTermination()
+    if merge_runs(t.spark, store, least=2) < 2 or vacuum(t.spark, store) < 2:
+        raise AssertionError("no run was merged")
+    return stored_rows(t.spark, store)
+
+
 @query("stream_ingest_twice", INGESTED_SQL)
 def _(t):
     """Two streams with positions of their own into one store: each adds what it alone has."""

@@ -27,7 +27,7 @@ from citeloom.operators.filters import (
     redirect_filter,
     skip_present,
 )
-from citeloom.operators.ordered import assign_ids
+from citeloom.operators.ordered import assign_ids, with_next, with_running_total
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.support import citation_text_join, distinct_files, id_semi_filter
 from citeloom.session import scratch_path
@@ -92,6 +92,14 @@ def _(t):
     return block_table(page_index(t), page_lengths(t.pages)).select("block_start", "block_end")
 
 
+@query("block_end_many", f"WITH {BLOCKS_SQL} SELECT block_start, block_end FROM blocks")
+def _(t):
+    """Ends, offsets and ids the way of large tables, whatever their size: by ranges."""
+    starts = page_index(t).select("block_start").distinct()
+    ended = with_next(starts, ["block_start"], "block_start", "block_end", small_bytes=0)
+    return ended.select("block_start", F.coalesce("block_end", F.lit(DATA_LEN)).alias("block_end"))
+
+
 @query("articles_per_block", f"WITH {BLOCKS_SQL} SELECT block_start, block_end, article_id, title FROM blocks JOIN page_index USING (block_start)")
 def _(t):
     index = page_index(t)
@@ -261,6 +269,12 @@ def _(t):
     return pack_offsets(files_of(t)).select("file_number", "length", "start_offset")
 
 
+@query("pack_offset_many", f"WITH {FILES_SQL} SELECT file_number, length, start_offset FROM offsets")
+def _(t):
+    numbered = with_running_total(numeric_name_filter(files_of(t)), ["path"], "length", "start_offset", small_bytes=0)
+    return numbered.select("file_number", "length", "start_offset")
+
+
 @query("pack_manifest", f"WITH {FILES_SQL} SELECT file_number || ':' || start_offset AS line FROM offsets")
 def _(t):
     return pack_manifest(files_of(t))
@@ -374,6 +388,11 @@ def _(t):
     return assign_ids(t.documents.select("source", "doc_id"), "topic_id", 1000, ["source", "doc_id"]).select("doc_id", "topic_id")
 
 
+@query("assign_ids_many", "SELECT doc_id, 1000 + row_number() OVER (ORDER BY source, doc_id) AS topic_id FROM documents")
+def _(t):
+    return assign_ids(t.documents.select("source", "doc_id"), "topic_id", 1000, ["source", "doc_id"], small_bytes=0).select("doc_id", "topic_id")
+
+
 @query("order_by_id", "SELECT vec_id AS topic_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings")
 def _(t):
     return assign_ids(document_topics(t).select("topic_id"), "place", order_by=["topic_id"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import claim_clean, claim_lines
 from citeloom.operators.models import OverlapScorer, Scorer, support_score
-from citeloom.operators.skew import salted_join
+from citeloom.operators.skew import PLAIN_JOIN_BYTES, salted_join
 from citeloom.session import broadcast_small, stage
 from citeloom.sources.scores import pair_key, scores_load, scores_write
 
@@ -49,12 +49,13 @@ def prune_to_topics(citations: DataFrame, matches: DataFrame, pushed_ids: int =
     return citations.join(broadcast_small(stage(matched, "matched")), "topic_id", "left_semi")
 
 
-def topic_citations(matches: DataFrame, topics: DataFrame, citations: DataFrame) -> DataFrame:
+def topic_citations(matches: DataFrame, topics: DataFrame, citations: DataFrame, plain_bytes: int = PLAIN_JOIN_BYTES) -> DataFrame:
     """Each match with every citation of its topic and the article name:
-    ``claim_id, topic_id, sim, rank, name, citation_id, uri, sentence``."""
-    named = salted_join(matches, topics.select("topic_id", "name"), ["topic_id"], ["claim_id"])
+    ``claim_id, topic_id, sim, rank, name, citation_id, uri, sentence``. Tables whose estimated
+    size is above ``plain_bytes`` are joined evenly, whatever share a topic has."""
+    named = salted_join(matches, topics.select("topic_id", "name"), ["topic_id"], ["claim_id"], plain_bytes=plain_bytes)
     cites = citations.select("topic_id", "citation_id", "uri", "sentence")
-    joined = salted_join(cites, named, ["topic_id"], ["citation_id"], ["claim_id"])
+    joined = salted_join(cites, named, ["topic_id"], ["citation_id"], ["claim_id"], plain_bytes=plain_bytes)
     return joined.select("claim_id", "topic_id", "sim", "rank", "name", "citation_id", "uri", "sentence")
 
 
@@ -135,17 +136,16 @@ def support_nested(scored: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
     """Support list per claim line: ``claim_id, line_no, n_support, chunk_no,
     support``. A line with few citations is one row; a long list is spread over
     chunks by citation id, all of them kept."""
-    sizes = scored.groupBy("claim_id", "line_no").agg(F.count("*").alias("n_support"))
-    keyed = salted_join(
-        scored.select("claim_id", "line_no", "citation_id", "sentence", "uri", "contra", "entail"),
-        sizes,
-        ["claim_id", "line_no"],
-        ["citation_id"],
-    )
-    chunks = F.ceil(F.col("n_support") / F.lit(chunk_rows))
+    # Texts are shuffled once, into their lists: only the long lines are looked up, a slim table.
+    line = ["claim_id", "line_no"]
+    sizes = scored.groupBy(*line).agg(F.count("*").alias("_size")).where(F.col("_size") > chunk_rows)
+    long = broadcast_small(stage(sizes, "long-lines").select(*[F.col(c).alias(f"_{c}") for c in line], "_size"))
+    keyed = scored.join(long, F.col("claim_id").eqNullSafe(F.col("_claim_id")) & F.col("line_no").eqNullSafe(F.col("_line_no")), "left")
+    chunks = F.ceil(F.coalesce("_size", F.lit(1)) / F.lit(chunk_rows))
     item = F.struct("citation_id", "sentence", "uri", "contra", "entail")
     return (
         keyed.withColumn("chunk_no", F.pmod(F.xxhash64("citation_id"), chunks).cast("int"))
-        .groupBy("claim_id", "line_no", "n_support", "chunk_no")
+        .groupBy(*line, "_size", "chunk_no")
         .agg(F.sort_array(F.collect_list(item)).alias("support"))
+        .select(*line, F.coalesce("_size", F.size("support").cast("bigint")).alias("n_support"), "chunk_no", "support")
     )

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.sources.citation_files import list_files
-from citeloom.sources.packed import numeric_name_filter, pack_compact, pack_manifest, packed_ranges
+from citeloom.sources.packed import PACKED_BYTES, numeric_name_filter, pack_compact, pack_manifest, packed_ranges, write_packed_index
 
 
-def pack_files(spark: SparkSession, files_path: str, packed_path: str, index_path: str) -> None:
-    pack_compact(spark, files_path, packed_path)
+def pack_files(
+    spark: SparkSession, files_path: str, packed_path: str, index_path: str, places_path: str | None = None, packed_bytes: int = PACKED_BYTES
+) -> None:
+    """Citation files to a compact table at ``packed_path`` and a manifest at ``index_path``;
+    with ``places_path`` also the index that ``packed_lookup`` searches."""
+    pack_compact(spark, files_path, packed_path, packed_bytes)
+    if places_path is not None:
+        write_packed_index(spark, packed_path, places_path)
     pack_manifest(files_by_number(list_files(spark, files_path))).write.option("compression", "bzip2").text(index_path)
 
 

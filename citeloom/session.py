@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,25 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Settings the jobs rely on, where the caller has not chosen their own, and what is
+    needed on the executors."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if key not in given and spark.conf.get(key) == _default(spark, key):
+            spark.conf.set(key, value)
     checkpoint_root(spark)
     ship_package(spark)
     return spark
 
 
+def _default(spark: SparkSession, key: str) -> str:
+    """The value of a setting in a session that has not touched it."""
+    known = spark.sparkContext._tune_defaults = getattr(spark.sparkContext, "_tune_defaults", {})
+    if key not in known:
+        known[key] = spark.newSession().conf.get(key)
+    return known[key]
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder of the cluster for staged tables and checkpoints.
 
@@ -51,9 +66,34 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: for jobs that have written all they
+    return by then. A job inside a job leaves its tables to the outer one."""
+    if _SCRATCH.get() is not None:
+        yield
+        return
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in held:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

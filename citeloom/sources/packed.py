@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.ordered import with_next, with_running_total
-from citeloom.session import broadcast_small
+from citeloom.session import broadcast_small, stage
 from citeloom.sources.citation_files import citation_xml_read, file_stem, list_files
 
 # Compressed citation files that make one packed file.
 PACKED_BYTES = 64 << 20
 
+PACKED_SCHEMA = "file_number bigint, citation_id bigint, uri string, sentence string"
+
 
 def numeric_name_filter(files: DataFrame) -> DataFrame:
     """Files whose name is a number; adds ``file_number``."""
@@ -43,16 +45,50 @@ def packed_ranges(lines: DataFrame, data_len: int) -> DataFrame:
     return ended.select("file_number", "start_offset", length.alias("length"))
 
 
-def pack_compact(spark: SparkSession, files_path: str, packed_path: str) -> None:
+def pack_compact(spark: SparkSession, files_path: str, packed_path: str, packed_bytes: int = PACKED_BYTES) -> None:
     """Citations of many small files as few large ones, in order of file number.
 
     Which large file a small one goes to follows from the sizes of the files before it,
-    so the citations are read once and each output has about ``PACKED_BYTES``. Files of
+    so the citations are read once and each output has about ``packed_bytes``. Files of
     one number may go to different outputs.
     """
     files = with_running_total(list_files(spark, files_path), ["path"], "length", "_start")
-    target = files.select(F.col("path").alias("_path"), F.floor(F.col("_start") / F.lit(PACKED_BYTES)).alias("_target"))
+    target = files.select(F.col("path").alias("_path"), F.floor(F.col("_start") / F.lit(packed_bytes)).cast("int").alias("_target"))
     outputs = target.agg(F.coalesce(F.max("_target"), F.lit(0)) + 1).first()[0]
     rows = citation_xml_read(spark, files_path, keep_path="_path").join(broadcast_small(target), "_path")
-    spread = rows.repartition(outputs, "_target").sortWithinPartitions("_target", "file_number", "citation_id")
+    # By number, not by hash: each target is one task's.
+    spread = rows.repartitionById(outputs, "_target").sortWithinPartitions("_target", "file_number", "citation_id")
     spread.drop("_path", "_target").write.parquet(packed_path)
+
+
+def packed_index(spark: SparkSession, packed_path: str) -> DataFrame:
+    """``file_number, data_file, first_row, n_rows``: where the citations of a number lie. One
+    row per number and packed file it is in; only the numbers are read."""
+    rows = spark.read.schema("file_number bigint").parquet(packed_path)
+    placed = rows.select("file_number", F.col("_metadata.file_path").alias("data_file"), F.col("_metadata.row_index").alias("row"))
+    return placed.groupBy("file_number", "data_file").agg(F.min("row").alias("first_row"), F.count("*").alias("n_rows"))
+
+
+def write_packed_index(spark: SparkSession, packed_path: str, index_path: str) -> None:
+    """In order of number, so that a search reads few row groups."""
+    packed_index(spark, packed_path).repartitionByRange("file_number").sortWithinPartitions("file_number").write.parquet(index_path)
+
+
+def packed_lookup(spark: SparkSession, index_path: str, numbers: list[int] | DataFrame) -> DataFrame:
+    """Citations of the file numbers (a list, or a table with ``file_number``), from the packed
+    files that hold one of them; no other file is opened. ``index_path`` is what
+    ``write_packed_index`` wrote."""
+    index = spark.read.parquet(index_path)
+    if isinstance(numbers, list):
+        found = index.where(F.col("file_number").isin(numbers))
+    else:
+        numbers = stage(numbers.select("file_number").distinct(), "numbers")
+        found = index.join(numbers, "file_number", "left_semi")
+    # As many as packed files at most, which are few by design.
+    files = [r.data_file for r in found.select("data_file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], PACKED_SCHEMA)
+    rows = spark.read.schema(PACKED_SCHEMA).parquet(*files)
+    if isinstance(numbers, list):
+        return rows.where(F.col("file_number").isin(numbers))
+    return rows.join(broadcast_small(numbers), "file_number", "left_semi")

@@ -12,13 +12,13 @@ A run that is repeated finds its claim by its name and writes the same ids again
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from citeloom.sources.numbered import create_text, delete, last_number, numbered, read_text
+
 
 class Claim(NamedTuple):
     run: str
@@ -26,66 +26,13 @@ class Claim(NamedTuple):
     n: int
 
 
-def _target(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def _read(spark: SparkSession, path: str) -> Claim | None:
-    system, target = _target(spark, path)
-    if not system.exists(target):
-        return None
-    stream = system.open(target)
-    try:
-        return Claim(**json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-    finally:
-        stream.close()
+    text = read_text(spark, path)
+    return None if text is None else Claim(**json.loads(text))
 
 
 def _create(spark: SparkSession, path: str, claim: Claim) -> bool:
-    """Whether this writer made the file. It appears whole or not at all: written under a name
-    of its own first, then given its name by a step that fails if the name is taken (a link
-    on a local disk, a rename without overwriting elsewhere)."""
-    jvm = spark.sparkContext._jvm
-    system, target = _target(spark, path)
-    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
-    out = system.create(draft, False)
-    out.write(bytearray(json.dumps(claim._asdict()).encode()))
-    out.close()
-    try:
-        if system.getUri().getScheme() == "file":
-            paths = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
-            jvm.java.nio.file.Files.createLink(*paths)
-        else:
-            nothing = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-            options[0] = nothing
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri()).rename(draft, target, options)
-        return True
-    except Py4JJavaError as failure:
-        if "AlreadyExists" in failure.java_exception.getClass().getName():
-            return False
-        raise
-    finally:
-        system.delete(draft, False)
-
-
-def _last(spark: SparkSession, folder: str) -> int:
-    """Number of claims: they have no gaps, so their end is found by doubling and halving."""
-
-    def there(number: int) -> bool:
-        system, target = _target(spark, f"{folder}/{number:012d}")
-        return system.exists(target)
-
-    high = 1
-    while there(high):
-        high *= 2
-    low = high // 2
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if there(middle) else (low, middle)
-    return low
+    return create_text(spark, path, json.dumps(claim._asdict()))
 
 
 def reserve(spark: SparkSession, store: str, kind: str, run: str, n: int, base: Callable[[], int] = lambda: 0) -> int:
@@ -103,13 +50,12 @@ def reserve(spark: SparkSession, store: str, kind: str, run: str, n: int, base:
     if known is not None and known.n >= n:
         return known.after
     while True:
-        number = _last(spark, folder)
-        before = _read(spark, f"{folder}/{number:012d}") if number else Claim("", base(), 0)
+        number = last_number(spark, folder)
+        before = _read(spark, numbered(folder, number)) if number else Claim("", base(), 0)
         claim = Claim(run, before.after + before.n, n)
-        if _create(spark, f"{folder}/{number + 1:012d}", claim):
+        if _create(spark, numbered(folder, number + 1), claim):
             if known is not None:
-                system, target = _target(spark, own)
-                system.delete(target, False)
+                delete(spark, own)
             _create(spark, own, claim)
             return claim.after
 
@@ -117,4 +63,4 @@ def reserve(spark: SparkSession, store: str, kind: str, run: str, n: int, base:
 def claims(spark: SparkSession, store: str, kind: str) -> list[Claim]:
     """All claims in order: a report for one's eyes, as long as the list of runs."""
     folder = f"{store}/register/{kind}"
-    return [_read(spark, f"{folder}/{number:012d}") for number in range(1, _last(spark, folder) + 1)]
+    return [_read(spark, numbered(folder, number)) for number in range(1, last_number(spark, folder) + 1)]

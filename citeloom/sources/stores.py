@@ -3,14 +3,21 @@
 Each run writes ``run=<id>`` folders, citations first and topics last, and overwrites
 its own folders when it is repeated. Readers only take the citations of runs that have
 topics, so a run that died in between leaves nothing visible.
+
+Small runs are merged now and then (``sources.upkeep``) into runs that keep each row's own
+run beside it. Which merged runs stand for which others is told by the newest file of a
+numbered list: creating it is the swap, and readers see either all of a merge or nothing.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.session import broadcast_small
+from citeloom.sources.numbered import exists, last_number, numbered, read_text, target_of
 
 TOPICS_SCHEMA = (
     "topic_id bigint, name string, block_start bigint, block_end bigint, article_id bigint, topic_vector array<float>"
@@ -29,21 +36,34 @@ def write_run(df: DataFrame, path: str, run: str, schema: str) -> None:
 
 
 def ensure_folder(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    system, target = target_of(spark, path)
+    system.mkdirs(target)
+
+
+#: Merged runs are named so; they count once the newest merge lists them.
+MERGED = "merged-"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def current_merge(spark: SparkSession, store: str) -> dict[str, list[str]]:
+    """``{merged run: runs it stands for}`` as of now."""
+    folder = f"{store}/merges"
+    number = last_number(spark, folder)
+    return json.loads(read_text(spark, numbered(folder, number))) if number else {}
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    schema = f"{schema}, run string"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    """The rows of a table ``<store>/<name>`` that count, each with its ``run``."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, run string")
+    store = path.rpartition("/")[0]
+    merges = current_merge(spark, store)
+    rows = spark.read.schema(f"{schema}, own_run string, run string").parquet(path)
+    # The folder's name decides, so folders that do not count are never opened.
+    counts = ~F.startswith("run", F.lit(MERGED)) | F.col("run").isin(list(merges))
+    replaced = [run for runs in merges.values() for run in runs]
+    if replaced:
+        counts = counts & ~F.col("run").isin(replaced)
+    return rows.where(counts).select(*_columns(schema), F.coalesce("own_run", "run").alias("run"))
 
 
 def topics_write(topics: DataFrame, store: str, run: str) -> None:
@@ -53,7 +73,7 @@ def topics_write(topics: DataFrame, store: str, run: str) -> None:
 def topics_withdraw(spark: SparkSession, store: str, run: str) -> None:
     """Empties a run that is about to be written again, so that readers never see its
     new citations with its old topics."""
-    if _exists(spark, f"{store}/topics/run={run}"):
+    if exists(spark, f"{store}/topics/run={run}"):
         topics_write(spark.createDataFrame([], TOPICS_SCHEMA), store, run)
 
 
@@ -68,8 +88,8 @@ def topics_load(spark: SparkSession, store: str) -> DataFrame:
 
 
 def citations_load(spark: SparkSession, store: str) -> DataFrame:
-    """Citations of finished runs. Runs are partition folders, so the list of finished
-    ones is made from folder names and joined, whatever their number."""
+    """Citations of finished runs. The list of finished ones is made from the runs' names
+    and joined, whatever their number."""
     finished = topics_load(spark, store).select("run").distinct()
     return read_runs(spark, f"{store}/citations", CITATIONS_SCHEMA).join(broadcast_small(finished), "run", "left_semi")
 

@@ -24,7 +24,7 @@ from citeloom.operators.models import Encoder, HashingEncoder, OverlapScorer, Sc
 from citeloom.operators.similarity import TOPIC_MATCHES, topk_topics
 from citeloom.plans.classify import classify_claims, match_claims
 from citeloom.plans.ingest import NAMES_SCHEMA, ingest_chosen, scan_reason
-from citeloom.session import stage
+from citeloom.session import scratch, stage
 from citeloom.sources.dump import PAGE_END, PAGES_SCHEMA, pages_from_text
 from citeloom.sources.stores import TOPICS_SCHEMA, ensure_folder
 
@@ -36,8 +36,13 @@ ONCE = {"availableNow": True}
 def _start(
     stream: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None
 ) -> StreamingQuery:
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            write_batch(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(write_batch)
+        stream.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or ONCE))
         .start()

@@ -15,6 +15,7 @@ from citeloom.operators.similarity import claim_topic_sim, topk_topics
 from citeloom.operators.skew import salted_join
 from citeloom.operators.support import claim_premise_pairs, score_pairs, split_claims, support_nested
 from citeloom.session import scratch_path, stage
+from citeloom.sources.colocated import colocated_citations, read_colocated, write_colocated
 
 
 def vectors(spark, ids, matrix, name):
@@ -83,6 +84,34 @@ def test_bad_vectors_stop_the_job(spark):
             topk_topics(claims, vectors(spark, [1], bad, "topic_id")).collect()
 
 
+@pytest.mark.parametrize("large_rows", [10_000, 30])
+def test_colocated_join_moves_no_text(spark, large_rows):
+    """A third of the citations are of one topic, a third of the matches of another."""
+    rng = random.Random(4)
+    cites = [(rng.choice([7, *range(40)]) if i % 3 else 7, i, f"u{i}", f"said {i}") for i in range(600)]
+    matches = [(i, rng.randrange(45) if i % 3 else 9, 0.5, 1) for i in range(200)]
+    topics = spark.createDataFrame([(i, f"t{i}") for i in range(42)], "topic_id bigint, name string")
+    path = scratch_path(spark, "colocated")
+    write_colocated(topics, spark.createDataFrame(cites, "topic_id bigint, citation_id bigint, uri string, sentence string"), path, 6, large_rows)
+    tables = read_colocated(spark, path)
+    assert (tables.large.count() > 0) == (large_rows == 30)
+    asked = stage(spark.createDataFrame(matches, "claim_id bigint, topic_id bigint, sim double, rank int"), "matches")
+    expected = sorted((c, t, f"t{t}", i, u, said) for c, t, *_ in matches for t2, i, u, said in cites if t == t2 and t < 42)
+    for hot_rows in (10_000, 20):
+        got = colocated_citations(asked, tables, hot_rows)
+        assert sorted(tuple(r) for r in got.select("claim_id", "topic_id", "name", "citation_id", "uri", "sentence").collect()) == expected
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.citations.join(asked.join(tables.topics, "topic_id"), "topic_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The matches are the only side that is moved.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    with pytest.raises(ValueError, match="no finished layout"):
+        read_colocated(spark, path + "-other")
+
+
 @pytest.mark.parametrize("small_bytes", [1 << 20, 0])
 def test_ordered(spark, small_bytes):
     random.seed(3)

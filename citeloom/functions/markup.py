@@ -79,6 +79,18 @@ def _cite_of(template: Column) -> Column:
     return cite
 
 
+# A template without braces inside; the opening of one that has some, or is never closed.
+FLAT_TEMPLATE = r"\{\{([^{}]*+)\}\}"
+NESTED = r"\{\{[^{}]*+(?!\}\})"
+
+
+def _flat_templates(markup: Column) -> Column:
+    """For texts in which no template holds a brace: each is one match, all else is text."""
+    between = F.split(markup, FLAT_TEMPLATE, -1)
+    insides = F.regexp_extract_all(markup, F.lit(FLAT_TEMPLATE), F.lit(1))
+    return F.array_join(F.zip_with(between, insides, lambda text, inside: F.concat(text, F.when(inside.isNotNull(), _cite_of(inside)).otherwise(""))), "")
+
+
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once. A lambda that names an expression itself
     would work it out again for each element."""
@@ -166,8 +178,9 @@ def template_to_cite(markup: Column) -> Column:
     def levelled(cut: Column) -> Column:
         return _bound(_brace_levels(cut.marks), lambda levels: _bound(_strays(levels), lambda strays: _without_templates(cut.pieces, cut.marks, levels, strays)))
 
-    # Many texts hold no template; skip the list work for them.
-    return F.when(F.contains(markup, F.lit("{{")), _bound(found, levelled)).otherwise(markup)
+    # Many texts hold no template, most others none inside another: less work for both.
+    nested = F.rlike(markup, F.lit(NESTED))
+    return F.when(~F.contains(markup, F.lit("{{")), markup).when(~nested, _flat_templates(markup)).otherwise(_bound(found, levelled))
 
 
 def drop_comments(markup: Column) -> Column:

@@ -78,8 +78,8 @@ def _all(conditions: Sequence[pc.Expression]) -> pc.Expression | None:
 
 
 class BlockReader(DataSourceReader):
-    def __init__(self, index_path: str, task_bytes: int):
-        self.index_path, self.task_bytes = index_path, task_bytes
+    def __init__(self, index_path: str, task_bytes: int, tasks: int = 1):
+        self.index_path, self.task_bytes, self.tasks = index_path, task_bytes, tasks
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -123,9 +123,11 @@ class BlockReader(DataSourceReader):
     def partitions(self) -> list[Blocks]:
         parts: list[Blocks] = []
         held = 0
-        for span in self.spans():
+        spans = self.spans()
+        most = min(self.task_bytes, -(-sum(end - start for _, start, end in spans) // self.tasks))
+        for span in spans:
             size = span[2] - span[1]
-            if not parts or held + size > self.task_bytes:
+            if not parts or held + size > most:
                 parts.append(Blocks([]))
                 held = 0
             parts[-1].spans.append(span)
@@ -170,7 +172,8 @@ def _page(xml: str) -> tuple[str | None, str | None]:
 
 
 class DumpBlocks(DataSource):
-    """Options: ``path`` of the block index; ``taskBytes``, compressed bytes per task."""
+    """Options: ``path`` of the block index; ``taskBytes``, most compressed bytes per task;
+    ``tasks``, how many tasks a small dump is dealt to at least."""
 
     @classmethod
     def name(cls) -> str:
@@ -180,7 +183,7 @@ class DumpBlocks(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BlockReader:
-        return BlockReader(self.options["path"], int(self.options.get("taskBytes", TASK_BYTES)))
+        return BlockReader(self.options["path"], int(self.options.get("taskBytes", TASK_BYTES)), int(self.options.get("tasks", 1)))
 
 
 def register_blocks(spark: SparkSession) -> None:
@@ -192,4 +195,4 @@ def register_blocks(spark: SparkSession) -> None:
 def read_blocks(spark: SparkSession, index_path: str) -> DataFrame:
     """Pages of an indexed dump; filter on ``article_id`` and ``title`` to read few blocks."""
     register_blocks(spark)
-    return spark.read.format(FORMAT).load(index_path)
+    return spark.read.format(FORMAT).option("tasks", spark.sparkContext.defaultParallelism).load(index_path)

@@ -13,7 +13,6 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +105,9 @@ def stream_classify(
     return _start(claims, answer, checkpoint, trigger)
 
 
-#: A title's place in the stream's state. Some hundred titles share one at ten millions.
-TITLE_BUCKETS = 1 << 16
+#: A title's place in the stream's state. Each batch writes the places it touches: at ten
+#: million titles some thousand share one.
+TITLE_BUCKETS = 1 << 12
 
 
 def first_of_title(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -115,18 +115,26 @@ def first_of_title(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     article id of a title that is new goes on, all others get their reason. Stored names come
     with the id -1; they only enter the state."""
     seen = set(state.get[0]) if state.exists else set()
-    names = pd.concat(list(batches), ignore_index=True)
-    stopped = names[names["reason"].notna()]
-    names = names[names["reason"].isna()].groupby(["title", "article_id", "stored"], as_index=False, dropna=False).agg(path=("path", "min"), copies=("title", "size"))
-    stored = names["stored"].to_numpy(bool)
-    seen.update(names["title"][stored])
-    asked = names[~stored].sort_values(["title", "article_id"], ignore_index=True)
-    lowest = ~asked["title"].duplicated()
-    reason = np.where(asked["title"].isin(seen), "present", np.where(lowest, None, "title repeated"))
-    seen.update(asked["title"])
+    stopped: list[tuple] = []
+    copies: dict[tuple[str, int], int] = {}
+    paths: dict[tuple[str, int], str] = {}
+    for batch in batches:
+        for title, article, path, reason, stored in zip(*(batch[c].tolist() for c in ("title", "article_id", "path", "reason", "stored")), strict=True):
+            if reason is not None:
+                stopped.append((title, article, path, reason, 1))
+            elif stored:
+                seen.add(title)
+            else:
+                copies[title, article] = copies.get((title, article), 0) + 1
+                paths[title, article] = min(path, paths.get((title, article), path))
+    asked, before = [], None
+    for title, article in sorted(copies):
+        reason = "present" if title in seen else "title repeated" if title == before else None
+        asked.append((title, article, paths[title, article], reason, copies[title, article]))
+        before = title
+    seen.update(title for title, _ in copies)
     state.update((sorted(seen),))
-    asked = asked.assign(reason=reason.astype(object))
-    yield pd.concat([part[["title", "article_id", "path", "reason", "copies"]] for part in (asked, stopped)], ignore_index=True)
+    yield pd.DataFrame(asked + stopped, columns=["title", "article_id", "path", "reason", "copies"]).astype({"article_id": "int64", "copies": "int64"})
 
 
 def new_names(raw_pages: DataFrame, store: str, buckets: int = TITLE_BUCKETS) -> DataFrame:

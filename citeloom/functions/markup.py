@@ -173,14 +173,16 @@ def template_to_cite(markup: Column) -> Column:
     slices that stay are joined once: work grows with the text, but for a sort of braces.
     """
     brace = r"\{\{|\}\}"
-    found = F.struct(F.split(markup, brace, -1).alias("pieces"), F.regexp_extract_all(markup, F.lit(brace), F.lit(0)).alias("marks"))
 
     def levelled(cut: Column) -> Column:
         return _bound(_brace_levels(cut.marks), lambda levels: _bound(_strays(levels), lambda strays: _without_templates(cut.pieces, cut.marks, levels, strays)))
 
-    # Many texts hold no template, most others none inside another: less work for both.
-    nested = F.rlike(markup, F.lit(NESTED))
-    return F.when(~F.contains(markup, F.lit("{{")), markup).when(~nested, _flat_templates(markup)).otherwise(_bound(found, levelled))
+    def by_kind(text: Column) -> Column:
+        found = F.struct(F.split(text, brace, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(brace), F.lit(0)).alias("marks"))
+        # Many texts hold no template, most others none inside another: less work for both.
+        return F.when(F.rlike(text, F.lit(NESTED)), _bound(found, levelled)).when(F.contains(text, F.lit("{{")), _flat_templates(text)).otherwise(text)
+
+    return _bound(markup, by_kind)
 
 
 def drop_comments(markup: Column) -> Column:

@@ -17,6 +17,11 @@ of each, in any order of all tokens; the rarer the first ones, the fewer candida
 5. A second pass takes what is left: pairs of groups that share a token, fit in size and
    are not yet in one component. Pairs are filtered by the number of shared prefix
    tokens, expanded to the members and verified. So no link between components is missed.
+6. A token whose list would give more pairs than a few for each set in it is crowded, and
+   gives none. Members of its groups are marked by whole cells of their tokens, of which
+   two similar sets share one (``marks_of``); these are far rarer than a single token.
+   Neighbours in a mark's list are tied first, then all pairs are verified that still
+   share a mark. Nothing is left out: the marks find all links between crowded groups.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import free_name, parts_for, stage
 from citeloom.llm.components import components
-from citeloom.llm.shingles import shingle_set, shingle_sets
+from citeloom.llm.shingles import mix, shingle_set, shingle_sets
 from citeloom.session import broadcast_small
 
 #: Tokens below this are ordered by frequency: two fifths of all 64-bit hashes.
@@ -54,6 +59,9 @@ TASK_TOKENS = 1_000_000
 #: Partners of one text that one task verifies.
 PARTNERS = 1_000
 
+#: Pairs of classes for each class of a token's list, beyond which its sets are marked.
+CROWD = 4
+
 
 def needed(percent: int, sizes: int) -> int:
     """Least intersection of two sets with ``sizes`` elements together:
@@ -304,7 +312,7 @@ def join_components(
     roots = stage(components(links), "roots")
 
     for _ in range(BRIDGES):
-        placed, rooted = place(members, lists, roots)
+        rooted = place(members, lists, roots)
         pairs = stage(bridges(rooted, percent), "bridges")
         new = stage(verify(pairs, texts_of(docs, classes, pairs), width, percent), "new-links")
         if new.isEmpty():
@@ -313,9 +321,23 @@ def join_components(
         roots = stage(components(links), "roots")
 
     # Second pass: what is not in one component yet.
-    placed, rooted = place(members, lists, roots)
-    far = stage(second_pass(rooted, placed, percent), "far")
-    more = stage(verify(far, texts_of(docs, classes, far), width, percent), "more-links")
+    rooted = place(members, lists, roots)
+    crowded = stage(crowds(rooted), "crowds")
+    far = stage(short_lists(rooted, crowded, members, roots, percent), "far")
+    links = links.unionByName(stage(verify(far, texts_of(docs, classes, far), width, percent), "more-links"))
+    roots = stage(components(links), "roots")
+    named = members.join(in_crowds(rooted, crowded), "gid", "left_semi").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    texts = texts_of(docs, classes, named)
+    marks = stage(shared_marks(texts, width, percent, parts_for(tokens * 0.4, TASK_TOKENS, spark)), "marks")
+    for _ in range(BRIDGES):
+        pairs = stage(mark_neighbours(marks, roots), "mark-bridges")
+        new = stage(verify(pairs, texts, width, percent), "mark-links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = stage(components(links), "roots")
+    left = stage(mark_pairs(marks, roots), "left")
+    more = stage(verify(left, texts, width, percent), "last-links")
     roots = stage(components(links.unionByName(more)), "roots")
 
     final = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "low", "first", F.coalesce("root", "cid").alias("root"))
@@ -331,15 +353,20 @@ def join_components(
     )
 
 
-def place(members: DataFrame, lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members with their component (``root``), and the lists with the component of
-    each group: ``one``, or if its members are in several, 0 and ``mixed``, the group."""
-    tied = members.join(roots, members["cid"] == roots["node"], "left")
-    placed = stage(tied.select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), "placed")
-    spans = placed.groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+def place(members: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with the component of each group: ``one``, or if its members are in
+    several, 0 and ``mixed``, the group; and ``weight``, the number of its members."""
+    spans = (
+        with_roots(members, roots).groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("weight"))
+    )
     same = F.col("_low") == F.col("_high")
-    who = spans.select("gid", F.when(same, F.col("_low")).otherwise(0).alias("one"), F.when(~same, F.col("gid")).otherwise(0).alias("mixed"))
-    return placed, stage(lists.join(who, "gid"), "rooted")
+    who = spans.select("gid", F.when(same, F.col("_low")).otherwise(0).alias("one"), F.when(~same, F.col("gid")).otherwise(0).alias("mixed"), "weight")
+    return stage(lists.join(who, "gid"), "rooted")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``cid``, ``root``; a class without links is its own."""
+    return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
 def bridges(rooted: DataFrame, percent: int) -> DataFrame:
@@ -353,46 +380,139 @@ def bridges(rooted: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
 
 
-def second_pass(rooted: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that the prefixes allow.
+def crowds(rooted: DataFrame) -> DataFrame:
+    """(token, crowded) of the tokens whose sets are in more than one component.
+
+    A token is crowded if its list has more than CROWD pairs of classes of different
+    components for each class in it. The pairs are counted, not made: the square of all
+    less the squares of each component.
+    """
+    parts = rooted.groupBy("token", "one", "mixed").agg(F.sum("weight").cast("double").alias("_w"))
+    tokens = parts.groupBy("token").agg(F.count("*").alias("_parts"), F.sum("_w").alias("_all"), F.sum(F.col("_w") * F.col("_w")).alias("_same"))
+    return tokens.where("_parts > 1").select("token", (F.col("_all") * F.col("_all") - F.col("_same") > 2 * CROWD * F.col("_all")).alias("crowded"))
+
+
+def in_crowds(rooted: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(gid) of groups with a crowded token, and of those whose members are in several
+    components."""
+    met = rooted.join(crowded.where("crowded").select("token"), "token", "left_semi").select("gid")
+    return met.unionByName(rooted.where("mixed != 0").select("gid")).distinct()
+
+
+def short_lists(rooted: DataFrame, crowded: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that the prefixes allow, from the
+    tokens that are not crowded: at most CROWD for each row of the lists.
 
-    Tokens are first looked at by component: one whose sets are all in one component is
-    done, however many they are.
+    Two groups that also share a crowded token may be left out here, as their count of
+    shared tokens is too low; they are found by their marks.
     """
-    who = ["one", "mixed"]
-    parts = rooted.groupBy("token", *who).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    open_tokens = parts.groupBy("token").agg(F.count("*").alias("_parts")).where("_parts > 1").select("token")
-    left = parts.join(open_tokens, "token", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    fits = (F.col("a.least") * percent <= F.col("b.most") * 100) & (F.col("b.least") * percent <= F.col("a.most") * 100)
-    before = F.struct("a.one", "a.mixed") < F.struct("b.one", "b.mixed")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & before & fits).select(
-        F.col("a.token").alias("token"), *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in who]
+    few = rooted.join(crowded.where("not crowded").select("token"), "token", "left_semi").select(
+        "token", F.struct("one", "mixed").alias("part"), "gid", F.struct("n", "tokens", "last").alias("s")
     )
-    x = rooted.select("token", F.col("one").alias("one_a"), F.col("mixed").alias("mixed_a"), F.col("gid").alias("x"), F.struct("n", "tokens", "last").alias("sx"))
-    y = rooted.select("token", F.col("one").alias("one_b"), F.col("mixed").alias("mixed_b"), F.col("gid").alias("y"), F.struct("n", "tokens", "last").alias("sy"))
-    met = met.join(x, ["token", "one_a", "mixed_a"]).join(y, ["token", "one_b", "mixed_b"])
-    met = met.where((F.col("sx.n") * percent <= F.col("sy.n") * 100) & (F.col("sy.n") * percent <= F.col("sx.n") * 100))
-    swap = F.col("x") > F.col("y")
+    a, b = few.alias("a"), few.alias("b")
+    fits = (F.col("a.s.n") * percent <= F.col("b.s.n") * 100) & (F.col("b.s.n") * percent <= F.col("a.s.n") * 100)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.gid") < F.col("b.gid")) & fits)
     groups = (
-        met.select(
-            F.least("x", "y").alias("x"),
-            F.greatest("x", "y").alias("y"),
-            F.when(swap, F.col("sy")).otherwise(F.col("sx")).alias("sx"),
-            F.when(swap, F.col("sx")).otherwise(F.col("sy")).alias("sy"),
-        )
+        met.select(F.col("a.gid").alias("x"), F.col("b.gid").alias("y"), F.col("a.s").alias("sx"), F.col("b.s").alias("sy"))
         .groupBy("x", "y")
         .agg(F.count("*").alias("shared"), F.max("sx").alias("sx"), F.max("sy").alias("sy"))
         .where(may_be_similar(percent))
         .select("x", "y")
     )
-    inside = placed.groupBy("gid").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
-    groups = groups.unionByName(inside.select(F.col("gid").alias("x"), F.col("gid").alias("y")))
+    placed = with_roots(members.select("cid", "gid"), roots)
     p = placed.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("root").alias("_ra"))
     q = placed.select(F.col("gid").alias("y"), F.col("cid").alias("b"), F.col("root").alias("_rb"))
     return groups.join(p, "x").join(q, "y").where("_ra != _rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def cells_of(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets of these sizes: their size class, the number of cells that tokens of such a
+    class are dealt to, and how many of them may be empty (see ``marks_of``)."""
+    ratio = 100 / percent
+    kind = np.floor(np.log(sizes) / math.log(ratio) + 1e-9).astype(np.int64)
+    return kind, *cells_at(kind, percent)
+
+
+def cells_at(kind: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    # One more on each side covers the rounding of the logarithms.
+    most = np.floor((100 / percent) ** (kind + 1.0)) + 1
+    differ = np.floor((100 - percent) * (most + np.floor(most * 100 / percent)) / (100 + percent)).astype(np.int64)
+    spare = np.minimum(3, differ // 4)
+    return differ + 1 + spare, spare
+
+
+def marks_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, mark): similar sets share a mark.
+
+    Sets of one size class, or of a class and the next one, that are similar differ in at
+    most so many tokens. Their tokens are dealt by hash to one cell more than that, so one
+    cell at least holds the same tokens in both; its hash is the mark. With ``spare`` more
+    cells this is one that is not empty, if one of the sets has no more than ``spare``
+    empty ones. Sets with more of them are marked by their first tokens as well, of which
+    two similar sets share one. A set is marked for its own class and for the one below.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    whole = np.flatnonzero(sizes)
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sizes, tokens = sizes[whole], np.concatenate([sets[i] for i in whole])
+    kinds, _, _ = cells_of(sizes, percent)
+    stirred = mix(tokens + np.uint64(0x632BE59BD9B4E019))
+    owners, marks = [], []
+    for kind in (kinds, kinds - 1):
+        cells, spare = cells_at(kind, percent)
+        offset = np.cumsum(cells) - cells
+        at = np.repeat(offset, sizes) + (stirred % np.repeat(cells, sizes).astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(cells.sum()), np.uint64)
+        np.add.at(total, at, mix(tokens))
+        filled = np.bincount(at, minlength=len(total)) > 0
+        owner = np.repeat(np.arange(len(whole)), cells)
+        place = np.arange(len(total)) - offset[owner]
+        level = mix(kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        named = mix(total + level[owner] + mix(place.astype(np.uint64) + np.uint64(7)))
+        owners.append(owner[filled])
+        marks.append(named[filled])
+        empty = np.bincount(owner[~filled], minlength=len(whole))
+        for i in np.flatnonzero(empty > spare):
+            first = sets[whole[i]][: prefix_length(int(sizes[i]), percent)]
+            owners.append(np.full(len(first), i))
+            marks.append(mix(first ^ level[i]))
+    return whole[np.concatenate(owners)], np.concatenate(marks)
+
+
+def shared_marks(texts: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
+    """(mark, cid) of the marks that more than one class has."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            which, marks = marks_of(shingle_sets(batch.column(1).to_pylist(), width), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), pa.array(ids[which])], names=["mark", "cid"])
+
+    found = texts.select("cid", "text").mapInArrow(read, "mark bigint, cid bigint").repartition(partitions, "mark")
+    own = Window.partitionBy("mark")
+    return found.withColumn("_low", F.min("cid").over(own)).withColumn("_high", F.max("cid").over(own)).where("_low != _high").select("mark", "cid")
+
+
+def mark_neighbours(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, one of each component that has a mark, next to each other
+    in the mark's own order."""
+    one = with_roots(marks, roots).groupBy("mark", "root").agg(F.min(F.struct(F.xxhash64("mark", "cid"), "cid")).alias("_some"))
+    beside = Window.partitionBy("mark").orderBy(F.xxhash64("mark", "root"), "root")
+    found = one.select(F.lag("_some.cid").over(beside).alias("x"), F.col("_some.cid").alias("y")).where("x is not null")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def mark_pairs(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes of different components that share a mark."""
+    rooted = with_roots(marks, roots)
+    spans = rooted.groupBy("mark").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("mark")
+    rooted = stage(rooted.join(spans, "mark", "left_semi"), "open-marks")
+    p, q = rooted.alias("p"), rooted.alias("q")
+    met = p.join(q, (F.col("p.mark") == F.col("q.mark")) & (F.col("p.root") < F.col("q.root")))
+    return met.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct()
+
+
 def may_be_similar(percent: int):
     """Whether two sets with ``shared`` tokens in both prefixes can reach the threshold.
 
@@ -419,11 +539,11 @@ def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **o
     columns = df.columns
     found = stage(join_components(df, key, text, **options), "components")
     keys = found.groupBy("doc_id", "said").agg(F.count("*").alias("copies"), F.first("first_of_component").alias("first"), F.first("n_shingles").alias("n"))
-    special = keys.where("not first or (copies > 1 and n > 0)").select(F.col("doc_id").alias("_k"), F.col("said").alias("_s"), F.col("first").alias("_first"))
+    own, k, s, first = (free_name(df, name) for name in ("_own", "_k", "_s", "_first"))
+    special = keys.where("not first or (copies > 1 and n > 0)").select(F.col("doc_id").alias(k), F.col("said").alias(s), F.col("first").alias(first))
     special = broadcast_small(stage(special, "special"))
-    own = free_name(df, "_own")
     said = df.withColumn(own, F.xxhash64(F.col(text)))
-    joined = said.join(special, F.col(key).cast("bigint").eqNullSafe(F.col("_k")) & (F.col(own) == F.col("_s")), "left")
-    plain = joined.where("_first is null").select(*columns)
-    once = joined.where("_first").dropDuplicates([key, own]).select(*columns)
+    joined = said.join(special, F.col(key).cast("bigint").eqNullSafe(F.col(k)) & (F.col(own) == F.col(s)), "left")
+    plain = joined.where(F.col(first).isNull()).select(*columns)
+    once = joined.where(F.col(first)).dropDuplicates([key, own]).select(*columns)
     return plain.unionByName(once)

@@ -81,6 +81,38 @@ def test_join_with_frequent_tokens(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize(("seed", "width", "percent"), [(6, 4, 85), (7, 2, 70)])
+def test_join_with_all_tokens_crowded(spark, monkeypatch, seed, width, percent):
+    """No pair comes from a token's list: all that the ties leave is found by marks."""
+    monkeypatch.setattr(ngram_join, "CROWD", 0)
+    monkeypatch.setattr(ngram_join, "BRIDGES", seed % 2)
+    rows = corpus(seed)
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string"), width=width, percent=percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, width, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_similar_sets_share_a_mark(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(1500):
+        n = int(rng.integers(1, rng.choice([4, 12, 40, 300])))
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        cut = int(rng.integers(0, n + 1)) if rng.random() < 0.3 else int(n * (100 - percent) / 100 * rng.random())
+        grown = int(n * (100 / percent - 1) * rng.random()) + int(rng.integers(0, 2))
+        b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, grown, np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        which, marks = ngram_join.marks_of([a, np.zeros(0, np.uint64), b], percent)
+        assert 1 not in which
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            assert set(marks[which == 0].tolist()) & set(marks[which == 2].tolist()), (a, b)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, 6, 7, 8), (2, "a b c d e", 5, 6, 7, 8)], "doc_id bigint, text string, _first int, _k int, _s int, _own int")
+    assert [tuple(r) for r in ngram_join.keep_one_of_each(df).collect()] == [(1, "a b c d e", 5, 6, 7, 8)]
+
+
 def test_one_of_each_component_stays(spark):
     rows = corpus(5) + [(203, "same text in all of these rows"), (203, "same text in all of these rows"), (204, "same text in all of these rows"), (209, None)]
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOCS)

@@ -19,8 +19,8 @@ of each, in any order of all tokens; the rarer the first ones, the fewer candida
    tokens, expanded to the members and verified. So no link between components is missed.
 6. A token whose list would give more pairs than a few for each set in it is crowded, and
    gives none. Members of its groups are marked by whole cells of their tokens, of which
-   two similar sets share one (``marks_of``); these are far rarer than a single token.
-   Neighbours in a mark's list are tied first, then all pairs are verified that still
+   similar sets share many (``marks_of``); again only a prefix of them, rarest first, is
+   listed. Neighbours in a mark's list are tied first, then all pairs are verified that still
    share a mark. Nothing is left out: the marks find all links between crowded groups.
 """
 
@@ -425,42 +425,42 @@ def short_lists(rooted: DataFrame, crowded: DataFrame, members: DataFrame, roots
     return groups.join(p, "x").join(q, "y").where("_ra != _rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cells_of(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sets of these sizes: their size class, the number of cells that tokens of such a
-    class are dealt to, and how many of them may be empty (see ``marks_of``)."""
-    ratio = 100 / percent
-    kind = np.floor(np.log(sizes) / math.log(ratio) + 1e-9).astype(np.int64)
-    return kind, *cells_at(kind, percent)
-
-
 def cells_at(kind: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    # One more on each side covers the rounding of the logarithms.
+    """For pairs of sets of a size class, or of it and the next one: the number of cells
+    that tokens are dealt to, and how many tokens similar sets may differ in."""
+    # One more than the largest size covers the rounding of the logarithms.
     most = np.floor((100 / percent) ** (kind + 1.0)) + 1
     differ = np.floor((100 - percent) * (most + np.floor(most * 100 / percent)) / (100 + percent)).astype(np.int64)
-    spare = np.minimum(3, differ // 4)
-    return differ + 1 + spare, spare
+    return np.maximum(differ + 1, 2 * differ), differ
 
 
-def marks_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which set, mark): similar sets share a mark.
+def marks_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which set, mark, level, room): similar sets share a mark of the same level.
 
-    Sets of one size class, or of a class and the next one, that are similar differ in at
-    most so many tokens. Their tokens are dealt by hash to one cell more than that, so one
-    cell at least holds the same tokens in both; its hash is the mark. With ``spare`` more
-    cells this is one that is not empty, if one of the sets has no more than ``spare``
-    empty ones. Sets with more of them are marked by their first tokens as well, of which
-    two similar sets share one. A set is marked for its own class and for the one below.
+    Sets of one size class, or of a class and the next one, that are similar differ in
+    ``d`` tokens at most. Their tokens are dealt by hash to about 2 d cells; all cells but
+    d hold the same tokens in both. The mark of a cell that is not empty is its hash. Two
+    sets, one of them with more than d marks, then share one among the first d + 1 of
+    each, in any order of all marks. ``room`` is d + 1 less the number of the set's marks.
+    A set with d marks or fewer is marked by its first tokens as well, in a level of their
+    own and all of them wanted: two such sets share one. A set is marked for its own size
+    class and for the one below.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     whole = np.flatnonzero(sizes)
     if not len(whole):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes, tokens = sizes[whole], np.concatenate([sets[i] for i in whole])
-    kinds, _, _ = cells_of(sizes, percent)
+    kinds = np.floor(np.log(sizes) / math.log(100 / percent) + 1e-9).astype(np.int64)
     stirred = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-    owners, marks = [], []
+    out: list[list[np.ndarray]] = [[], [], [], []]
+
+    def add(*columns: np.ndarray) -> None:
+        for part, values in zip(out, columns, strict=True):
+            part.append(values)
+
     for kind in (kinds, kinds - 1):
-        cells, spare = cells_at(kind, percent)
+        cells, differ = cells_at(kind, percent)
         offset = np.cumsum(cells) - cells
         at = np.repeat(offset, sizes) + (stirred % np.repeat(cells, sizes).astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(cells.sum()), np.uint64)
@@ -468,30 +468,33 @@ def marks_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
         filled = np.bincount(at, minlength=len(total)) > 0
         owner = np.repeat(np.arange(len(whole)), cells)
         place = np.arange(len(total)) - offset[owner]
-        level = mix(kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        named = mix(total + level[owner] + mix(place.astype(np.uint64) + np.uint64(7)))
-        owners.append(owner[filled])
-        marks.append(named[filled])
-        empty = np.bincount(owner[~filled], minlength=len(whole))
-        for i in np.flatnonzero(empty > spare):
+        salt = mix(kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        marks = mix(total + salt[owner] + mix(place.astype(np.uint64) + np.uint64(7)))
+        held = np.bincount(owner[filled], minlength=len(whole))
+        room = differ + 1 - held
+        add(owner[filled], marks[filled], 2 * kind[owner[filled]], room[owner[filled]])
+        for i in np.flatnonzero(held <= differ):
             first = sets[whole[i]][: prefix_length(int(sizes[i]), percent)]
-            owners.append(np.full(len(first), i))
-            marks.append(mix(first ^ level[i]))
-    return whole[np.concatenate(owners)], np.concatenate(marks)
+            add(np.full(len(first), i), mix(first ^ salt[i]), np.full(len(first), 2 * kind[i] + 1), np.full(len(first), 1 << 40))
+    which, marks, level, room = (np.concatenate(part) for part in out)
+    return whole[which], marks, level, room
 
 
 def shared_marks(texts: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
-    """(mark, cid) of the marks that more than one class has."""
+    """(mark, cid) of the marks that other classes have as well, of each class and level
+    only the rarest that ``room`` leaves: marks that no other class has come first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            which, marks = marks_of(shingle_sets(batch.column(1).to_pylist(), width), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), pa.array(ids[which])], names=["mark", "cid"])
-
-    found = texts.select("cid", "text").mapInArrow(read, "mark bigint, cid bigint").repartition(partitions, "mark")
-    own = Window.partitionBy("mark")
-    return found.withColumn("_low", F.min("cid").over(own)).withColumn("_high", F.max("cid").over(own)).where("_low != _high").select("mark", "cid")
+            which, marks, level, room = marks_of(shingle_sets(batch.column(1).to_pylist(), width), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), pa.array(ids[which]), pa.array(level), pa.array(room)], names=["mark", "cid", "level", "room"])
+
+    found = texts.select("cid", "text").mapInArrow(read, "mark bigint, cid bigint, level bigint, room bigint").repartition(partitions, "mark")
+    common = found.withColumn("_hits", F.count("*").over(Window.partitionBy("mark"))).where("_hits > 1")
+    own = Window.partitionBy("cid", "level")
+    placed = common.withColumn("_shared", F.count("*").over(own)).withColumn("_place", F.row_number().over(own.orderBy("_hits", "mark")))
+    return placed.where("_place <= room + _shared").select("mark", "cid")
 
 
 def mark_neighbours(marks: DataFrame, roots: DataFrame) -> DataFrame:

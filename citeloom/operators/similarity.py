@@ -7,10 +7,15 @@ most ``k`` rows per claim and task leave it. Beyond that the nearest topics are
 groups around pivots, most of which a claim can leave out (``operators.pivots``), and
 figures over all topics by a grid of cells of bounded size. No (claim, topic) pair is
 written out that is not among a task's best.
+
+The best are looked for in single precision: a product that is below the claim's k-th best so
+far by more than the rounding of such a sum cannot be among them. What is left, a few pairs
+for each claim, is worked out in double precision, and that alone decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -25,14 +30,17 @@ from citeloom.functions.vectors import LANES, NORM_TOLERANCE, has_unit_norm, has
 TOPIC_MATCHES = 5
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-CELL_ROWS = 100_000
+
+# A side of a grid's cell: at most so many rows and, as doubles, bytes; a side is cut into
+# fewer rows, while they are more than the least, to keep all cores at work.
+CELL_ROWS, CELL_BYTES, LEAST_CELL_ROWS = 100_000, 64 << 20, 1024
 
 # Similarities are compared at this resolution, finer than single precision, so that
 # equal vectors tie wherever they lie in a block. Ties go to the lower topic id.
 SIM_DECIMALS = 9
 
 # Sizes of one matrix product inside a task.
-CLAIM_ROWS, TOPIC_ROWS = 1024, 4096
+CLAIM_ROWS, FIRST_ROWS, TOPIC_ROWS, PAIR_ROWS = 1024, 512, 4096, 1 << 16
 
 MATCH_SCHEMA = "claim_id bigint, topic_id bigint, sim double"
 STATS_SCHEMA = "claim_id bigint, n_topics bigint, n_positive bigint, sim_sum double, sim_max double"
@@ -68,41 +76,81 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix
 
 
-def _blocks(claims: np.ndarray, topic_ids: np.ndarray, topics: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for t in range(0, len(topics), TOPIC_ROWS):
-        part, ids = topics[t : t + TOPIC_ROWS], topic_ids[t : t + TOPIC_ROWS]
-        for c in range(0, len(claims), CLAIM_ROWS):
-            yield c, ids, np.round(claims[c : c + CLAIM_ROWS] @ part.T, SIM_DECIMALS)
+def best_per_claim(claim: np.ndarray, topic: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of each claim, in order; lastly which of them are a ``k``-th."""
+    order = np.lexsort((topic, -sim, claim))
+    claim, topic, sim = claim[order], topic[order], sim[order]
+    starts = np.flatnonzero(np.r_[True, claim[1:] != claim[:-1]]) if len(claim) else np.empty(0, np.int64)
+    rank = np.arange(len(claim)) - np.repeat(starts, np.diff(np.r_[starts, len(claim)]))
+    keep = rank < k
+    return claim[keep], topic[keep], sim[keep], rank[keep] == k - 1
+
+
+def first_copies(topics: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Topics without those that ``k`` equal ones of lower id come before, whatever the claim."""
+    _, group = np.unique(topics, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group))
+    group = group[order]
+    spare = group[k:] == group[:-k]
+    if not spare.any():
+        return topics, ids
+    keep = order[np.r_[np.ones(min(k, len(order)), bool), ~spare]]
+    return topics[keep], ids[keep]
 
 
 class TopicsPerClaim:
-    """Running best ``k`` positive similarities per claim."""
+    """Running best ``k`` positive similarities per claim. ``floor``: what is known to be
+    reached by ``k`` topics of each claim; lower ones are left out."""
 
     schema = pa.schema([("claim_id", pa.int64()), ("topic_id", pa.int64()), ("sim", pa.float64())])
 
-    def __init__(self, claim_ids: np.ndarray, k: int):
+    def __init__(self, claim_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.claim_ids, self.k = claim_ids, k
-        self.floor = np.zeros(len(claim_ids))
+        self.floor = np.zeros(len(claim_ids)) if floor is None else floor.copy()
         # Per claim block: claim number, topic id, similarity.
         self.best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def add(self, first: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        floor = self.floor[first : first + len(sims)]
-        if sims.shape[1] >= self.k:
-            floor = np.maximum(floor, np.partition(sims, -self.k, axis=1)[:, -self.k])
-        row, col = np.nonzero((sims >= floor[:, None]) & (sims > 0))
-        claim, topic, sim = row + first, ids[col], sims[row, col]
+    def scan(self, claims: np.ndarray, ids: np.ndarray, topics: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Topics against all claims, or against those in ``rows`` (their numbers, ascending)."""
+        # A sum of n products of unit vectors in single precision is off by n units at most.
+        slack = np.float32((claims.shape[1] + 8) * 2.0**-23) if len(claims) else np.float32(0)
+        # Few topics first, where there is nothing to beat yet.
+        starts = [*range(0, len(topics), TOPIC_ROWS)] if self.floor.all() else [0, *range(FIRST_ROWS, len(topics), TOPIC_ROWS)]
+        for t, end in zip(starts, [*starts[1:], len(topics)]):
+            part, part_ids = first_copies(topics[t:end], ids[t:end], self.k)
+            if rows is None:
+                for c in range(0, len(claims), CLAIM_ROWS):
+                    self._add(c, slice(c, c + CLAIM_ROWS), claims, part, part_ids, slack)
+            else:
+                for block in np.split(rows, np.flatnonzero(np.diff(rows // CLAIM_ROWS)) + 1):
+                    if len(block):
+                        self._add(int(block[0]) // CLAIM_ROWS * CLAIM_ROWS, block, claims, part, part_ids, slack)
+
+    def _add(self, first: int, rows: slice | np.ndarray, claims: np.ndarray, topics: np.ndarray, ids: np.ndarray, slack: np.float32) -> None:
+        own = claims[rows]
+        rough = own @ topics.T
+        floor = self.floor[rows].copy()
+        new = np.flatnonzero(floor == 0)
+        if len(new) and rough.shape[1] >= self.k:
+            # Nothing to beat yet: these topics alone say what is worth a closer look.
+            known = np.nan_to_num(rough[new], copy=False, nan=-np.inf)
+            floor[new] = np.maximum(0, np.partition(known, -self.k, axis=1)[:, -self.k] - slack)
+        row, col = np.divmod(np.flatnonzero(rough >= (floor.astype(np.float32) - slack)[:, None]), rough.shape[1])
+        sim = np.empty(len(row))
+        for at in range(0, len(row), PAIR_ROWS):
+            left, right = own[row[at : at + PAIR_ROWS]], topics[col[at : at + PAIR_ROWS]]
+            sim[at : at + PAIR_ROWS] = np.einsum("ij,ij->i", left.astype(np.float64), right.astype(np.float64))
+        np.round(sim, SIM_DECIMALS, out=sim)
+        claim = row + first if isinstance(rows, slice) else rows[row]
+        found = (sim >= self.floor[claim]) & (sim > 0)
+        if not found.any():
+            return
+        claim, topic, sim = claim[found], ids[col[found]], sim[found]
         if first in self.best:
-            old = self.best[first]
-            claim, topic, sim = (np.concatenate(pair) for pair in zip(old, (claim, topic, sim)))
-        order = np.lexsort((topic, -sim, claim))
-        claim, topic, sim = claim[order], topic[order], sim[order]
-        starts = np.flatnonzero(np.r_[True, claim[1:] != claim[:-1]]) if len(claim) else np.empty(0, np.int64)
-        rank = np.arange(len(claim)) - np.repeat(starts, np.diff(np.r_[starts, len(claim)]))
-        keep = rank < self.k
-        self.best[first] = (claim[keep], topic[keep], sim[keep])
-        full = rank == self.k - 1
-        self.floor[claim[full]] = sim[full]
+            claim, topic, sim = (np.concatenate(pair) for pair in zip(self.best[first], (claim, topic, sim)))
+        claim, topic, sim, last = best_per_claim(claim, topic, sim, self.k)
+        self.best[first] = (claim, topic, sim)
+        self.floor[claim[last]] = np.maximum(self.floor[claim[last]], sim[last])
 
     def result(self) -> list[np.ndarray]:
         if not self.best:
@@ -130,38 +178,57 @@ class StatsPerClaim:
         self.count, self.positive = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.total, self.top = np.zeros(n), np.full(n, -np.inf)
 
-    def add(self, first: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        rows = slice(first, first + len(sims))
-        self.count[rows] += sims.shape[1]
-        self.positive[rows] += (sims > 0).sum(axis=1)
-        self.total[rows] += sims.sum(axis=1)
-        self.top[rows] = np.maximum(self.top[rows], sims.max(axis=1))
+    def scan(self, claims: np.ndarray, ids: np.ndarray, topics: np.ndarray) -> None:
+        for t in range(0, len(topics), TOPIC_ROWS):
+            part = topics[t : t + TOPIC_ROWS].astype(np.float64).T
+            for c in range(0, len(claims), CLAIM_ROWS):
+                rows = slice(c, c + CLAIM_ROWS)
+                sims = claims[rows].astype(np.float64) @ part
+                np.round(sims, SIM_DECIMALS, out=sims)
+                self.count[rows] += sims.shape[1]
+                self.positive[rows] += (sims > 0).sum(axis=1)
+                self.total[rows] += sims.sum(axis=1)
+                self.top[rows] = np.maximum(self.top[rows], sims.max(axis=1))
 
     def result(self) -> list[np.ndarray]:
         seen = self.count > 0
         return [a[seen] for a in (self.claim_ids, self.count, self.positive, self.total, self.top)]
 
 
+def to_singles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A checked matrix of a column of single-precision vectors, without loss."""
+    return to_matrix(column).astype(np.float32)
+
+
 def _scan_topics(batches: Iterator[pa.RecordBatch], claims, reducer: Callable) -> Iterator[pa.RecordBatch]:
     claim_ids, matrix = claims.value
     state = reducer(claim_ids)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scan() -> None:
+        state.scan(matrix, np.concatenate([ids for ids, _ in held]), np.concatenate([topics for _, topics in held]))
+        held.clear()
+
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        topics = to_matrix(batch.column("vector"))
+        topics = to_singles(batch.column("vector"))
         if len(matrix) and topics.shape[1] != matrix.shape[1]:
             raise ValueError("claims and topics differ in vector size")
-        for block in _blocks(matrix, np.asarray(batch.column("topic_id")), topics):
-            state.add(*block)
+        if held and topics.shape[1] != held[0][1].shape[1]:
+            scan()
+        held.append((np.asarray(batch.column("topic_id")), topics))
+        if sum(len(ids) for ids, _ in held) >= TOPIC_ROWS:
+            scan()
+    if held:
+        scan()
     yield pa.RecordBatch.from_arrays([pa.array(a) for a in state.result()], schema=state.schema)
 
 
 def scan_cell(claims: pa.Table, topics: pa.Table, reducer: Callable) -> pa.Table:
     state = reducer(np.asarray(claims.column("claim_id")))
     if claims.num_rows and topics.num_rows:
-        pair = to_matrix(claims.column("vector")), to_matrix(topics.column("vector"))
-        for block in _blocks(pair[0], np.asarray(topics.column("topic_id")), pair[1]):
-            state.add(*block)
+        state.scan(to_singles(claims.column("vector")), np.asarray(topics.column("topic_id")), to_singles(topics.column("vector")))
     return pa.Table.from_arrays([pa.array(a) for a in state.result()], schema=state.schema)
 
 
@@ -181,7 +248,7 @@ def _topics(topics: DataFrame) -> DataFrame:
 def _scan_all(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str) -> DataFrame:
     """Per-task results of ``reducer``; the claims are a broadcast matrix, checked before."""
     local = claims.toArrow()
-    matrix = to_matrix(local.column("vector")) if local.num_rows else np.empty((0, 0))
+    matrix = to_singles(local.column("vector")) if local.num_rows else np.empty((0, 0), np.float32)
     shared = topics.sparkSession.sparkContext.broadcast((np.asarray(local.column("claim_id")), matrix))
 
     def scan(batches):
@@ -190,10 +257,20 @@ def _scan_all(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: s
     return topics.mapInArrow(scan, schema)
 
 
-def _scan_grid(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str, rows: int, n_claims: int) -> DataFrame:
-    """Results of ``reducer`` per cell of at most about ``rows`` claims and ``CELL_ROWS`` topics."""
-    claim_cells = -(-n_claims // rows)
-    topic_cells = max(1, -(-topics.count() // CELL_ROWS))
+def rows_of_cell(n: int, size: int, cores: int, most: int = CELL_ROWS) -> int:
+    """Rows of a cell's side, of ``n`` with ``size`` numbers each. It goes by the memory of a
+    task, so that a row is sent to few cells, and by the cores while the rows are few."""
+    fits = max(1, min(most, CELL_BYTES // (8 * max(1, size))))
+    return min(fits, max(LEAST_CELL_ROWS, -(-n // math.isqrt(4 * cores))))
+
+
+def _scan_grid(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str, n_claims: int, size: int) -> DataFrame:
+    """Results of ``reducer`` per cell of claims and topics. What is shuffled is both sides
+    once per row or column of cells; how many claims can be broadcast does not matter here."""
+    cores = claims.sparkSession.sparkContext.defaultParallelism
+    n_topics = topics.count()
+    claim_cells = -(-n_claims // rows_of_cell(n_claims, size, cores))
+    topic_cells = max(1, -(-n_topics // rows_of_cell(n_topics, size, cores)))
     left = claims.withColumn("_c", F.pmod(F.xxhash64("claim_id"), F.lit(claim_cells))).withColumn(
         "_t", F.explode(F.sequence(F.lit(0), F.lit(topic_cells - 1)))
     )
@@ -234,8 +311,7 @@ def claim_topic_sim(claims: DataFrame, topics: DataFrame, broadcast_bytes: int =
     if numbers * 8 <= broadcast_bytes:
         parts = _scan_all(_claims(claims), _topics(topics), StatsPerClaim, STATS_SCHEMA)
     else:
-        rows = max(1, min(CELL_ROWS, broadcast_bytes // max(1, 8 * numbers // n_claims)))
-        parts = _scan_grid(_claims(claims), _topics(topics), StatsPerClaim, STATS_SCHEMA, rows, n_claims)
+        parts = _scan_grid(_claims(claims), _topics(topics), StatsPerClaim, STATS_SCHEMA, n_claims, numbers // n_claims)
     return parts.groupBy("claim_id").agg(
         F.sum("n_topics").alias("n_topics"),
         F.sum("n_positive").alias("n_positive"),

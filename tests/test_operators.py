@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, with hot keys and ties."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_colum
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
 from citeloom.operators.pivots import group_topics, grouped_topk
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
-from citeloom.operators.similarity import claim_topic_sim, topk_topics
+from citeloom.operators.similarity import TopicsPerClaim, claim_topic_sim, topk_topics
 from citeloom.operators.skew import salted_join
 from citeloom.operators.support import claim_premise_pairs, score_pairs, split_claims, support_nested
 from citeloom.session import scratch_path, stage
@@ -68,6 +69,44 @@ def test_groups_skip_and_agree_with_the_scan(spark):
     assert visits[0] < 0.5 * visits[1]
 
 
+def test_grid_cells_do_not_go_by_the_broadcast_limit(spark):
+    """A low limit for broadcasts chooses the grid; it must not copy the topics to a cell for
+    every few claims."""
+    rng = np.random.default_rng(3)
+    claims, topics = unit(rng, 300), unit(rng, 200)
+    stats = claim_topic_sim(vectors(spark, range(300), claims, "claim_id"), vectors(spark, range(200), topics, "topic_id"), broadcast_bytes=1000)
+    copies = [int(n) for n in re.findall(r"sequence\(0, (\d+)", stats._jdf.queryExecution().analyzed().toString())]
+    assert len(copies) == 2 and max(copies) == 0
+    sims = np.round(claims.astype(float) @ topics.astype(float).T, 9)
+    got = {r.claim_id: (r.n_topics, r.n_positive, round(r.sim_sum, 6), r.sim_max) for r in stats.collect()}
+    assert got == {c: (200, (sims[c] > 0).sum(), round(sims[c].sum(), 6), sims[c].max()) for c in range(300)}
+
+
+@pytest.mark.parametrize("rows", [None, np.arange(0, 1300, 3)])
+def test_double_precision_decides_and_only_near_the_best(monkeypatch, rows):
+    """Similarities that single precision cannot tell apart, copies, opposite vectors."""
+    rng = np.random.default_rng(4)
+    claims, topics = unit(rng, 1300), unit(rng, 9000)
+    topics[100:140] = claims[9]
+    topics[200:240] = claims[9] + np.float32(1e-7) * rng.normal(size=(40, 16)).astype(np.float32)
+    topics[3000:3040] = topics[7000]
+    claims[12] = -topics[7000]
+    looked = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: looked.append(len(a)) or einsum(how, a, b))
+    ids = rng.permutation(9000)
+    state = TopicsPerClaim(np.arange(1300), 5)
+    state.scan(claims, ids, topics, rows)
+    claim, topic, sim = state.result()
+    assert sum(looked) < 0.05 * 1300 * 9000
+    exact = np.round(claims.astype(float) @ topics.astype(float).T, 9)
+    for c in range(1300) if rows is None else rows:
+        order = np.lexsort((ids, -exact[c]))[:5]
+        assert sorted(topic[claim == c]) == sorted(ids[order])
+        assert np.allclose(np.sort(sim[claim == c]), np.sort(exact[c][order]), atol=2e-9)
+    assert len(claim) == 5 * (1300 if rows is None else len(rows))
+
+
 def test_topk_ties_and_signs(spark):
     topics = vectors(spark, [9, 4, 2], [[0.5, 0.75**0.5] + [0] * 6, [0.5, -(0.75**0.5)] + [0] * 6, [-1] + [0] * 7], "topic_id")
     claims = vectors(spark, [1], [[1] + [0] * 7], "claim_id")

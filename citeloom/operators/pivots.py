@@ -8,8 +8,9 @@ looked at. Bounds are rounded up by more than similarities are rounded, and a gr
 out on strict inequality alone, so that ties come out as in a full scan.
 
 Two passes: the first looks at the claim's nearest groups until they hold k topics, which
-gives the similarity to beat; the second at all other groups whose bound reaches it. A pass
-joins claims and topics on the group; large groups are cut into cells of bounded size.
+gives the similarity to beat; the second at all other groups whose bound reaches it. Groups lie
+in cells of bounded size, large ones in several. A pass joins claims and topics on the cell: a
+claim goes to a cell once, with the list of the cell's groups that it looks at, however many.
 """
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.similarity import MATCH_SCHEMA, TopicsPerClaim, scan_cell, to_matrix
+from citeloom.operators.similarity import MATCH_SCHEMA, TopicsPerClaim, rows_of_cell, to_matrix, to_singles
 from citeloom.session import stage
 
 #: Pivots are a bounded sample: about the root of the number of topics, at most this many.
 #: They only guide the search; every topic is in a group.
 MOST_PIVOTS = 8192
 
-CELL_ROWS = 20_000
+#: Topics of a cell, and claims that look at it, at most.
+CELL_ROWS = 50_000
 
 #: Above the rounding of similarities (9 decimals) and of sums of products of doubles.
 MARGIN = 1e-8
@@ -108,13 +109,45 @@ def _first_groups(near: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return first & (sizes > 0)
 
 
-def _choose(groups: TopicGroups, claims: DataFrame, k: int, again: bool) -> DataFrame:
-    """``claim_id, vector, group`` to look at: the first groups of each claim, or, ``again``,
-    those others that may hold a topic as near as the claim's ``floor``."""
-    shared = claims.sparkSession.sparkContext.broadcast((groups.pivots, groups.radius, groups.sizes))
+@dataclass
+class Cells:
+    """By group: its first cell and its number of cells."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+
+def _lay(sizes: np.ndarray, rows: int) -> Cells:
+    """Cells of whole groups, in their order, with ``rows`` topics at most; a larger group has
+    cells of its own."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows))
+    cell, held = -1, rows
+    for group, size in enumerate(sizes.tolist()):
+        if cell < 0 or held + size > rows:
+            cell, held = cell + 1, 0
+        first[group] = cell
+        cell, held = cell + int(parts[group]) - 1, held + size
+    return Cells(first, parts)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before in one of the keys; the first does."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([key[1:] != key[:-1] for key in keys], axis=0)])
+
+
+CHOSEN_SCHEMA = "claim_id bigint, vector array<float>, floor double, cells array<int>, groups array<array<int>>"
+
+
+def _choose(groups: TopicGroups, cells: Cells, claims: DataFrame, k: int, again: bool) -> DataFrame:
+    """``claims`` (``claim_id, vector, floor``) with the cells to look at and, for each, the groups
+    in it: the first groups of each claim, or, ``again``, those others that may hold a topic as
+    near as the claim's ``floor``. A claim without any has no row."""
+    shared = claims.sparkSession.sparkContext.broadcast((groups.pivots, groups.radius, groups.sizes, cells.first, cells.parts))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, sizes = shared.value
+        pivots, radius, sizes, first_cell, parts = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -128,34 +161,74 @@ def _choose(groups: TopicGroups, claims: DataFrame, k: int, again: bool) -> Data
                     floor = np.asarray(batch.column("floor").to_pylist())
                     picked = ~picked & (sizes > 0) & (bound >= floor[:, None]) & (bound > 0)
                 claim, group = np.nonzero(picked)
-                rows = batch.select(["claim_id", "vector"]).take(pa.array(claim))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(group.astype(np.int32))], names=["claim_id", "vector", "group"])
-
-    return claims.mapInArrow(choose, "claim_id bigint, vector array<float>, group int")
-
-
-def _look(groups: TopicGroups, chosen: DataFrame, k: int, cell_rows: int) -> DataFrame:
+                # A group in several cells is looked at in each.
+                often = parts[group]
+                part = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+                claim, group = np.repeat(claim, often), np.repeat(group, often)
+                cell = first_cell[group] + part
+                order = np.lexsort((group, cell, claim))
+                claim, cell, group = claim[order], cell[order], group[order]
+                visits = _runs(claim, cell)
+                starts = _runs(claim[visits])
+                lists = pa.ListArray.from_arrays(np.r_[visits, len(group)].astype(np.int32), pa.array(group.astype(np.int32)))
+                offsets = np.r_[starts, len(visits)].astype(np.int32)
+                rows = batch.select(["claim_id", "vector", "floor"]).take(pa.array(claim[visits][starts]))
+                named = pa.ListArray.from_arrays(offsets, pa.array(cell[visits].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, named, pa.ListArray.from_arrays(offsets, lists)], names=["claim_id", "vector", "floor", "cells", "groups"])
+
+    return claims.select("claim_id", "vector", "floor").mapInArrow(choose, CHOSEN_SCHEMA)
+
+
+def look_in_cell(claims: pa.Table, topics: pa.Table, k: int) -> pa.Table:
+    """Best ``k`` per claim of the cell's groups that the claim names, not below its floor."""
+    state = TopicsPerClaim(np.asarray(claims.column("claim_id")), k, np.asarray(claims.column("floor")))
+    if claims.num_rows and topics.num_rows:
+        own, vectors = to_singles(claims.column("vector")), to_singles(topics.column("vector"))
+        ids, member = np.asarray(topics.column("topic_id")), np.asarray(topics.column("group"))
+        lists = claims.column("groups").combine_chunks()
+        wanted = np.asarray(lists.flatten())
+        claim = np.repeat(np.arange(len(own), dtype=np.int32), np.asarray(lists.value_lengths()))
+        asked, placed = np.argsort(wanted, kind="stable"), np.argsort(member, kind="stable")
+        wanted, claim, member = wanted[asked], claim[asked], member[placed]
+        for group in np.unique(member):
+            rows = claim[slice(*np.searchsorted(wanted, [group, group + 1]))]
+            at = placed[slice(*np.searchsorted(member, [group, group + 1]))]
+            if len(rows):
+                state.scan(own, ids[at], vectors[at], rows)
+    return pa.Table.from_arrays([pa.array(a) for a in state.result()], schema=state.schema)
+
+
+def _look(groups: TopicGroups, cells: Cells, chosen: DataFrame, k: int, most: int) -> DataFrame:
     """Best ``k`` of the chosen groups per claim and cell: ``claim_id, topic_id, sim``.
 
-    A cell has at most about ``cell_rows`` claims and as many topics of one group. How many
-    cells a group has is one row per group: bounded, so it is broadcast.
+    The claims of a cell are dealt to tasks by the thousand, at most ``most`` to one. Where a
+    group lies is one row per group, and how its claims are dealt one per cell: bounded, so
+    both are broadcast.
     """
     spark = chosen.sparkSession
-    asked = {row.group: row.n for row in chosen.groupBy("group").agg(F.count("*").alias("n")).collect()}
-    cells = [(g, -(-n // cell_rows), -(-int(groups.sizes[g]) // cell_rows)) for g, n in sorted(asked.items())]
-    cut = F.broadcast(spark.createDataFrame(cells, "group int, claim_cells int, topic_cells int"))
-
-    def dealt(df: DataFrame, ident: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(ident), F.col(f"{own}_cells")).cast("int").alias(f"{own}_cell")
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_cells") - 1)).alias(f"{other}_cell")
-        return df.join(cut, "group").select(ident, "vector", "group", mine, every)
-
-    def scan(claims: pa.Table, topics: pa.Table) -> pa.Table:
-        return scan_cell(claims, topics, partial(TopicsPerClaim, k=k))
-
-    cell = ["group", "claim_cell", "topic_cell"]
-    left, right = dealt(chosen, "claim_id", "claim", "topic"), dealt(groups.topics, "topic_id", "topic", "claim")
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(scan, MATCH_SCHEMA)
+    asked = {row.cell: row.n for row in chosen.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    rows = rows_of_cell(max(asked.values(), default=0), groups.pivots.shape[1], spark.sparkContext.defaultParallelism, most)
+    dealt = F.broadcast(spark.createDataFrame([(cell, -(-n // rows)) for cell, n in sorted(asked.items())], "cell int, deals int"))
+    places = [(group, int(first), int(parts)) for group, (first, parts) in enumerate(zip(cells.first, cells.parts, strict=True))]
+    placed = F.broadcast(spark.createDataFrame(places, "group int, first int, parts int"))
+    left = (
+        chosen.select("claim_id", "vector", "floor", F.explode(F.arrays_zip("cells", "groups")).alias("_v"))
+        .select("claim_id", "vector", "floor", F.col("_v.cells").alias("cell"), F.col("_v.groups").alias("groups"))
+        .join(dealt, "cell")
+        .withColumn("deal", F.pmod(F.xxhash64("claim_id"), F.col("deals")).cast("int"))
+    )
+    right = (
+        groups.topics.join(placed, "group")
+        .withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("topic_id"), F.col("parts"))).cast("int"))
+        .join(dealt, "cell")
+        .select("topic_id", "vector", "group", "cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    )
+
+    def look(claims: pa.Table, topics: pa.Table) -> pa.Table:
+        return look_in_cell(claims, topics, k)
+
+    cell = ["cell", "deal"]
+    return left.drop("deals").groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(look, MATCH_SCHEMA)
 
 
 def grouped_topk(claims: DataFrame, groups: TopicGroups, k: int, cell_rows: int = CELL_ROWS) -> GroupedMatches:
@@ -174,12 +247,14 @@ def grouped_topk(claims: DataFrame, groups: TopicGroups, k: int, cell_rows: int
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = stage(_choose(groups, claims, k, again=False), "first-groups")
-    seen = stage(best(_look(groups, first, k, cell_rows)).drop("rank"), "first-matches")
+    cells = _lay(groups.sizes, rows_of_cell(int(groups.sizes.sum()), groups.pivots.shape[1], spark.sparkContext.defaultParallelism, cell_rows))
+    first = stage(_choose(groups, cells, claims.withColumn("floor", F.lit(0.0)), k, again=False), "first-groups")
+    seen = stage(best(_look(groups, cells, first, k, cell_rows)).drop("rank"), "first-matches")
     # Fewer than k positive ones: nothing to beat but zero.
     full = seen.groupBy("claim_id").agg(F.min("sim").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
     floors = claims.join(full.select("claim_id", "floor"), "claim_id", "left").select("claim_id", "vector", F.coalesce("floor", F.lit(0.0)).alias("floor"))
-    second = stage(_choose(groups, floors, k, again=True), "second-groups")
-    matches = best(seen.unionByName(_look(groups, second, k, cell_rows)))
-    looked = first.select("claim_id").unionByName(second.select("claim_id")).groupBy("claim_id").agg(F.count("*").alias("n_visited"))
+    second = stage(_choose(groups, cells, floors, k, again=True), "second-groups")
+    matches = best(seen.unionByName(_look(groups, cells, second, k, cell_rows)))
+    n_visited = F.size(F.array_distinct(F.flatten("groups"))).cast("bigint").alias("n_visited")
+    looked = first.select("claim_id", n_visited).unionByName(second.select("claim_id", n_visited)).groupBy("claim_id").agg(F.sum("n_visited").alias("n_visited"))
     return GroupedMatches(matches, looked.withColumn("n_groups", F.lit(n_groups)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_column, run_with_retries, support_score, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
-from citeloom.operators.pivots import group_topics, grouped_topk
+from citeloom.operators.pivots import _choose, _lay, group_topics, grouped_topk
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.similarity import TopicsPerClaim, claim_topic_sim, topk_topics
 from citeloom.operators.skew import salted_join
@@ -107,6 +107,23 @@ def test_double_precision_decides_and_only_near_the_best(monkeypatch, rows):
     assert len(claim) == 5 * (1300 if rows is None else len(rows))
 
 
+def test_a_claim_goes_to_a_cell_once(spark):
+    """However many of a cell's groups it looks at; a group in several cells is looked at in each."""
+    rng = np.random.default_rng(5)
+    c, topics = vectors(spark, range(30), unit(rng, 30), "claim_id"), unit(rng, 200)
+    topics[:80] = topics[0]
+    groups = group_topics(vectors(spark, range(200), topics, "topic_id"))
+    cells = _lay(groups.sizes, 60)
+    chosen = _choose(groups, cells, c.withColumn("floor", F.lit(0.0)), 150, again=False).collect()
+    large = int(groups.sizes.argmax())
+    assert cells.parts[large] == 2 and len(chosen) == 30
+    for row in chosen:
+        assert len(set(row.cells)) == len(row.cells) == len(row.groups)
+        assert sum(large in names for names in row.groups) in (0, 2)
+        assert all(cells.first[g] <= cell < cells.first[g] + cells.parts[g] for cell, names in zip(row.cells, row.groups) for g in names)
+    assert max(len(names) for row in chosen for names in row.groups) > 1
+
+
 def test_topk_ties_and_signs(spark):
     topics = vectors(spark, [9, 4, 2], [[0.5, 0.75**0.5] + [0] * 6, [0.5, -(0.75**0.5)] + [0] * 6, [-1] + [0] * 7], "topic_id")
     claims = vectors(spark, [1], [[1] + [0] * 7], "claim_id")

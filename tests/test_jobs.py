@@ -1,6 +1,7 @@
 """The jobs end to end on a small dump."""
 
 import bz2
+import glob
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import In
 
-from citeloom.checks.inputs import page_xml
+from citeloom.checks.inputs import document_markup, page_xml, write_dump_files
 from citeloom.operators.models import HashingEncoder, OverlapScorer
 from citeloom.operators.support import prune_to_topics
 from citeloom.plans.classify import classify_claims
@@ -558,3 +559,14 @@ def test_path_spelling_cannot_drop_a_dump(spark, dump):
 def test_unknown_schemes_are_named():
     with pytest.raises(ValueError, match="copy the dump"):
         locate("nowhere://x/y")
+
+
+def test_dump_files_grow_in_number(spark):
+    """A stream's files are of bounded size, so no task writes a share of the whole; few
+    documents still make one file a batch. No page is lost."""
+    documents = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"), F.lit("Some words. And more.").alias("text"))
+    for file_chars, files in ((10**6, 1), (100, 5)):
+        path, per_batch = write_dump_files(documents, document_markup(documents), 3, file_chars)
+        assert per_batch == files
+        assert len(glob.glob(f"{path.removeprefix('file:')}/*.bz2")) == 3 * files
+        assert dump_read(spark, path).select("article_id").distinct().count() == 60

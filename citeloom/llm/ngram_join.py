@@ -20,8 +20,11 @@ of each, in any order of all tokens; the rarer the first ones, the fewer candida
 6. A token whose list would give more pairs than a few for each set in it is crowded, and
    gives none. Members of its groups are marked by whole cells of their tokens, of which
    similar sets share many (``marks_of``); again only a prefix of them, rarest first, is
-   listed. Neighbours in a mark's list are tied first, then all pairs are verified that still
-   share a mark. Nothing is left out: the marks find all links between crowded groups.
+   listed. Neighbours in a mark's list are tied first. For what is left, each mark names one
+   of its sets as pivot, and sets are compared by what sets them apart from it
+   (``differences``): similar sets share one of the rarest of these tokens. A large group of
+   texts made from one, each changed elsewhere, so gives no pairs. Nothing is left out: the
+   marks find all links between crowded groups.
 """
 
 from __future__ import annotations
@@ -213,12 +216,9 @@ def size_class(n, percent: int):
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar enough, by their whole texts.
-
-    The text of ``b`` goes to ``a``; a text with very many partners is sent to several
-    tasks. Rows are streamed: one set is held at a time.
-    """
+def beside_each_other(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text): for pairs (a, b) of set ids the text of ``a``, with a null ``b``, and after it
+    the texts of its partners. A text with very many partners is sent to several tasks."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("_tasks"))
     placed = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_tasks")).cast("int").alias("_task"))
     second = placed.join(texts.select(F.col("cid").alias("b"), "text"), "b").select("a", "_task", "b", "text")
@@ -227,6 +227,17 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         .join(spread, "a")
         .select("a", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"), F.lit(None).cast("bigint").alias("b"), "text")
     )
+    return (
+        first.unionByName(second)
+        .repartition("a", "_task")
+        .sortWithinPartitions("a", "_task", F.col("b").asc_nulls_first())
+        .select("a", "b", "text")
+    )
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are similar enough, by their whole texts.
+    Rows are streamed: one set is held at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.zeros(0, np.uint64)
@@ -241,13 +252,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return (
-        first.unionByName(second)
-        .repartition("a", "_task")
-        .sortWithinPartitions("a", "_task", F.col("b").asc_nulls_first())
-        .select("a", "b", "text")
-        .mapInArrow(compare, "a bigint, b bigint")
-    )
+    return beside_each_other(pairs, texts).mapInArrow(compare, "a bigint, b bigint")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -336,7 +341,10 @@ def join_components(
             break
         links = links.unionByName(new)
         roots = stage(components(links), "roots")
-    left = stage(mark_pairs(marks, roots), "left")
+    apart = stage(differences(mark_pivots(marks, roots), texts, width, percent), "apart")
+    links = links.unionByName(apart.where("token is null").select("a", "b"))
+    roots = stage(components(links), "roots")
+    left = stage(pairs_by_differences(apart.where("token is not null"), roots, percent), "left")
     more = stage(verify(left, texts, width, percent), "last-links")
     roots = stage(components(links.unionByName(more)), "roots")
 
@@ -506,13 +514,65 @@ def mark_neighbours(marks: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def mark_pairs(marks: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) of classes of different components that share a mark."""
+def mark_pivots(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): for each class ``b`` the pivot of each of its marks that classes of different
+    components have, the class with the most such marks, so that a group has few pivots."""
     rooted = with_roots(marks, roots)
     spans = rooted.groupBy("mark").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("mark")
-    rooted = stage(rooted.join(spans, "mark", "left_semi"), "open-marks")
-    p, q = rooted.alias("p"), rooted.alias("q")
-    met = p.join(q, (F.col("p.mark") == F.col("q.mark")) & (F.col("p.root") < F.col("q.root")))
+    open_marks = stage(rooted.join(spans, "mark", "left_semi").select("mark", "cid"), "open-marks")
+    counted = open_marks.join(open_marks.groupBy("cid").agg(F.count("*").alias("_marks")), "cid")
+    pivots = counted.groupBy("mark").agg(F.max(F.struct("_marks", F.xxhash64("cid"), "cid"))["cid"].alias("a"))
+    return stage(open_marks.join(pivots, "mark").where("a != cid").select("a", F.col("cid").alias("b")).distinct(), "pivots")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, n, apart, token): the tokens that only one of the sets of a pair has, their
+    number and the size of ``b``. A pair that is similar has a row without a token too."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            sets = shingle_sets(batch.column(2).to_pylist(), width)
+            for a, b, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+                if b is None:
+                    base = tokens
+                    continue
+                found = signed(np.setxor1d(base, tokens, assume_unique=True))
+                n, size = len(tokens), len(found)
+                linked = (100 + percent) * size <= (100 - percent) * (len(base) + n)
+                rows = size + linked
+                # The first row stands for the link.
+                for part, values in zip(out, (np.full(rows, a), np.full(rows, b), np.full(rows, n), np.full(rows, size), np.concatenate([found[:0], *([[0]] * linked), found])), strict=True):
+                    part.append(values.astype(np.int64))
+                out[4][-1] = pa.array(out[4][-1], mask=np.arange(rows) < linked)
+            if out[0]:
+                tokens = pa.chunked_array(out[4], pa.int64()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in out[:4]), tokens], names=["a", "b", "n", "apart", "token"])
+
+    return beside_each_other(pairs, texts).mapInArrow(compare, "a bigint, b bigint, n bigint, apart bigint, token bigint")
+
+
+def pairs_by_differences(apart: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be similar, of those with a
+    pivot in common.
+
+    What only one of two sets has is what only one of their differences from the pivot has.
+    So similar sets of n and m tokens, whose differences have x and y, share
+    (x + y - (n + m) * (100 - percent) / (100 + percent)) / 2 tokens of these at least, and
+    one among the first of each, in any order: here the rarest of the pivot's come first. If
+    that is none, both are similar to the pivot, thus in one component.
+    """
+    common = apart.withColumn("_hits", F.count("*").over(Window.partitionBy("a", "token"))).where("_hits > 1")
+    own = Window.partitionBy("a", "b")
+    placed = common.withColumn("before", F.col("apart") - F.count("*").over(own) + F.row_number().over(own.orderBy("_hits", "token")) - 1)
+    few = placed.where(F.col("before") * percent <= F.col("n") * (100 - percent)).select(F.col("a").alias("pivot"), "token", F.col("b").alias("cid"), "n", "apart", "before")
+    few = stage(with_roots(few, roots), "differences")
+    p, q = few.alias("p"), few.alias("q")
+    most = (F.col("p.n") + F.col("q.n")) * (100 - percent)
+    more = (F.col("p.apart") - F.col("q.apart")) * (100 + percent)
+    fits = (F.col("p.before") * 2 * (100 + percent) <= most + more) & (F.col("q.before") * 2 * (100 + percent) <= most - more)
+    met = p.join(q, (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & fits)
     return met.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct()
 
 

@@ -91,6 +91,33 @@ def test_join_with_all_tokens_crowded(spark, monkeypatch, seed, width, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, width, percent)
 
 
+def test_texts_made_from_one_give_no_pairs(spark, monkeypatch):
+    """Copies of a text, each changed at places of its own, are not compared by pairs."""
+    met = []
+
+    def watched(*given, **options):
+        found = pairs_by_differences(*given, **options)
+        met.append(found.count())
+        return found
+
+    pairs_by_differences = ngram_join.pairs_by_differences
+    monkeypatch.setattr(ngram_join, "CROWD", 0)
+    monkeypatch.setattr(ngram_join, "BRIDGES", 0)
+    monkeypatch.setattr(ngram_join, "pairs_by_differences", watched)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([4, 6, 8])):
+            words[at] = f"own{i}-{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, " ".join(rows[3][1].split()[:-2])), (201, " ".join(rows[3][1].split()[2:]))]
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+    assert len(met) == 1 and met[0] <= len(rows)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_similar_sets_share_a_mark(percent):
     rng = np.random.default_rng(percent)

@@ -14,10 +14,11 @@ def pack_files(
 ) -> None:
     """Citation files to a compact table at ``packed_path`` and a manifest at ``index_path``;
     with ``places_path`` also the index that ``packed_lookup`` searches."""
-    pack_compact(spark, files_path, packed_path, packed_bytes)
+    files = list_files(spark, files_path)
+    pack_compact(spark, files_path, packed_path, packed_bytes, files)
     if places_path is not None:
         write_packed_index(spark, packed_path, places_path)
-    pack_manifest(files_by_number(list_files(spark, files_path))).write.option("compression", "bzip2").text(index_path)
+    pack_manifest(files_by_number(files)).write.option("compression", "bzip2").text(index_path)
 
 
 def files_by_number(files: DataFrame) -> DataFrame:

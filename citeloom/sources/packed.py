@@ -45,15 +45,17 @@ def packed_ranges(lines: DataFrame, data_len: int) -> DataFrame:
     return ended.select("file_number", "start_offset", length.alias("length"))
 
 
-def pack_compact(spark: SparkSession, files_path: str, packed_path: str, packed_bytes: int = PACKED_BYTES) -> None:
+def pack_compact(spark: SparkSession, files_path: str, packed_path: str, packed_bytes: int = PACKED_BYTES, files: DataFrame | None = None) -> None:
     """Citations of many small files as few large ones, in order of file number.
 
     Which large file a small one goes to follows from the sizes of the files before it,
     so the citations are read once and each output has about ``packed_bytes``. Files of
-    one number may go to different outputs.
+    one number may go to different outputs. ``files`` is the list of them, where it is known:
+    each listing is sent to the driver.
     """
-    files = with_running_total(list_files(spark, files_path), ["path"], "length", "_start")
-    target = files.select(F.col("path").alias("_path"), F.floor(F.col("_start") / F.lit(packed_bytes)).cast("int").alias("_target"))
+    files = list_files(spark, files_path) if files is None else files
+    placed = with_running_total(files, ["path"], "length", "_start")
+    target = placed.select(F.col("path").alias("_path"), F.floor(F.col("_start") / F.lit(packed_bytes)).cast("int").alias("_target"))
     outputs = target.agg(F.coalesce(F.max("_target"), F.lit(0)) + 1).first()[0]
     rows = citation_xml_read(spark, files_path, keep_path="_path").join(broadcast_small(target), "_path")
     # By number, not by hash: each target is one task's.

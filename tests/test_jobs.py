@@ -570,3 +570,24 @@ def test_dump_files_grow_in_number(spark):
         assert per_batch == files
         assert len(glob.glob(f"{path.removeprefix('file:')}/*.bz2")) == 3 * files
         assert dump_read(spark, path).select("article_id").distinct().count() == 60
+
+
+def test_packing_lists_the_files_once(spark, tmp_path, monkeypatch):
+    """A listing sends a row per file to the driver."""
+    from citeloom.plans import pack
+    from citeloom.sources import citation_files, packed
+
+    calls = []
+
+    def counted(*given):
+        calls.append(given)
+        return citation_files.list_files(*given)
+
+    monkeypatch.setattr(pack, "list_files", counted)
+    monkeypatch.setattr(packed, "list_files", counted)
+    rows = [(i, i // 2, f"https://ex.org/{i}", f"s {i}") for i in range(1, 7)]
+    citations = spark.createDataFrame(rows, "citation_id bigint, file_number bigint, uri string, sentence string")
+    citation_files.citation_xml_write(citations, f"{tmp_path}/files")
+    pack.pack_files(spark, f"{tmp_path}/files", f"{tmp_path}/packed", f"{tmp_path}/index")
+    assert len(calls) == 1 and spark.read.parquet(f"{tmp_path}/packed").count() == 6
+    assert spark.read.text(f"{tmp_path}/index").count() == 4

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import stage
 
 
-
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -17,7 +16,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of the node and its neighbours."""
     near = _both_ways(links)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -28,6 +27,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("low").alias("b"))).where("a != b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each larger end has one link only, and is no smaller end."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of links (a, b) between 64-bit ids: the root is the least node that can
     be reached. Nodes without links do not occur.
@@ -37,13 +44,20 @@ def components(links: DataFrame) -> DataFrame:
     are aggregates and joins against one row per node, which adaptive execution splits.
     """
     now = stage(_small_star(links.where("a != b")), "links")
-    before = None
-    while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(sign) == before:
-            break
-        before = tuple(sign)
+    while not _are_stars(now):
         now = stage(_small_star(_large_star(now)), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def tie(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) of some links, as ``components`` gives them, with more links (a, b):
+    what it would give for all. Only the links between different components go through rounds."""
+    if links.isEmpty():
+        return roots
+    low, high = (roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")) for end in ("a", "b"))
+    ends = links.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moved = stage(components(stage(ends.where("a != b"), "between")), "moved")
+    kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return stage(kept.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")

@@ -4,10 +4,10 @@ Two sets whose Jaccard similarity reaches the threshold share a token among the
 of each, in any order of all tokens; the rarer the first ones, the fewer candidates. So:
 
 1. Texts with equal sets are one class.
-2. Tokens are ordered: two fifths of all tokens (by hash) come first, the rarer ones
+2. Tokens are ordered: a share of all tokens (by hash) comes first, the rarer ones
    earlier; then the others by hash; then a bounded list of very frequent ones. The
-   document frequency is counted for these two fifths only, which is enough, as a prefix
-   takes less than that; any order is right, it only has to be the same for all.
+   document frequency is counted for that share only: twice what a prefix takes, or half of
+   all. Any order is right, it only has to be the same for all.
 3. Classes with equal prefixes and size are one group. Only one member stands for it in
    the lists of tokens.
 4. A first pass ties neighbours: members to their group, and groups that stand next to
@@ -39,15 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import free_name, parts_for, stage
-from citeloom.llm.components import components
+from citeloom.llm.components import components, tie
 from citeloom.llm.shingles import mix, shingle_set, shingle_sets
 from citeloom.session import broadcast_small
 
-#: Tokens below this are ordered by frequency: two fifths of all 64-bit hashes.
-RANKED = (1 << 64) * 2 // 5
-
-#: Rounds that tie components before the second pass; it is complete after any number.
+#: Rounds that tie components before the second pass; it is complete after any number. One
+#: that links no more than one in ``WORTH`` of its pairs is the last.
 BRIDGES = 3
+WORTH = 20
 
 #: Most frequent tokens, at most so many, that are ordered last. Looked for among those
 #: that at least one in FREQUENT_SHARE of the texts of an Arrow batch have.
@@ -76,6 +75,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def ranked_share(percent: int) -> float:
+    """Share of all tokens that are ordered by frequency: twice what a prefix takes, or half."""
+    return min(0.5, 2 * (100 - percent) / 100)
+
+
+def ranked_below(percent: int) -> int:
+    """Tokens, as unsigned hashes, below this are ordered by frequency."""
+    return (1 << 63) // 100 * min(100, 4 * (100 - percent))
+
+
 def set_id(tokens: np.ndarray) -> int:
     """64-bit name of a set. Two of ten million sets get the same one by chance with odds
     of one in 300,000."""
@@ -120,6 +129,8 @@ def prefix_candidates(df: DataFrame, width: int, percent: int, frequent: np.ndar
     ones as a prefix may need beyond them. ``spare`` is the prefix length less the number
     of ranked tokens. Frequent tokens are salted by the set. A task writes a set once."""
 
+    below = ranked_below(percent)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -134,9 +145,9 @@ def prefix_candidates(df: DataFrame, width: int, percent: int, frequent: np.ndar
                 if len(seen) < 1_000_000:
                     seen.add(cid)
                 often = np.isin(tokens, frequent, assume_unique=True)
-                ranked = tokens[~often & (tokens < RANKED)]
+                ranked = tokens[~often & (tokens < below)]
                 spare = prefix_length(n, percent) - len(ranked)
-                others = tokens[~often & (tokens >= RANKED)][: max(0, spare)]
+                others = tokens[~often & (tokens >= below)][: max(0, spare)]
                 last = tokens[often][: max(0, spare - len(others))]
                 taken = signed(np.concatenate([ranked, others, last]))
                 salts = np.zeros(len(taken), np.int32)
@@ -192,11 +203,11 @@ def shared_tokens(found: DataFrame, partitions: int) -> DataFrame:
     return placed.mapInArrow(count, "token bigint, salt int, cid bigint, n bigint, spare bigint, hits bigint")
 
 
-def prefixes(shared: DataFrame) -> DataFrame:
+def prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """(token, salt, cid, n, place): the tokens of each prefix that another set has; (place,
     token) is the order of all tokens."""
     own = Window.partitionBy("cid")
-    ranked = F.col("hits").isNotNull() & (F.col("token") >= 0) & (F.col("token") < RANKED)
+    ranked = F.col("hits").isNotNull() & (F.col("token") >= 0) & (F.col("token") < ranked_below(percent))
     counted = (
         shared.withColumn("_ranked", ranked)
         .withColumn("_shared", F.sum(F.col("_ranked").cast("int")).over(own))
@@ -290,7 +301,7 @@ def join_components(
     tokens = classes.agg(F.sum("n")).first()[0] or 0
 
     found = prefix_candidates(docs, width, percent, np.sort(frequent))
-    own = stage(prefixes(shared_tokens(found, parts_for(tokens * 0.4, TASK_TOKENS, spark))), "prefixes")
+    own = stage(prefixes(shared_tokens(found, parts_for(tokens * ranked_share(percent), TASK_TOKENS, spark)), percent), "prefixes")
 
     # Groups of equal prefix and size. A prefix with tokens that no other set has is alone.
     kinds = own.groupBy("cid").agg(
@@ -320,33 +331,28 @@ def join_components(
         rooted = place(members, lists, roots)
         pairs = stage(bridges(rooted, percent), "bridges")
         new = stage(verify(pairs, texts_of(docs, classes, pairs), width, percent), "new-links")
-        if new.isEmpty():
+        roots = tie(roots, new)
+        if new.count() * WORTH <= pairs.count():
             break
-        links = links.unionByName(new)
-        roots = stage(components(links), "roots")
 
     # Second pass: what is not in one component yet.
     rooted = place(members, lists, roots)
     crowded = stage(crowds(rooted), "crowds")
     far = stage(short_lists(rooted, crowded, members, roots, percent), "far")
-    links = links.unionByName(stage(verify(far, texts_of(docs, classes, far), width, percent), "more-links"))
-    roots = stage(components(links), "roots")
+    roots = tie(roots, stage(verify(far, texts_of(docs, classes, far), width, percent), "more-links"))
     named = members.join(in_crowds(rooted, crowded), "gid", "left_semi").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     texts = texts_of(docs, classes, named)
     marks = stage(shared_marks(texts, width, percent, parts_for(tokens * 0.4, TASK_TOKENS, spark)), "marks")
     for _ in range(BRIDGES):
         pairs = stage(mark_neighbours(marks, roots), "mark-bridges")
         new = stage(verify(pairs, texts, width, percent), "mark-links")
-        if new.isEmpty():
+        roots = tie(roots, new)
+        if new.count() * WORTH <= pairs.count():
             break
-        links = links.unionByName(new)
-        roots = stage(components(links), "roots")
     apart = stage(differences(mark_pivots(marks, roots), texts, width, percent), "apart")
-    links = links.unionByName(apart.where("token is null").select("a", "b"))
-    roots = stage(components(links), "roots")
+    roots = tie(roots, apart.where("token is null").select("a", "b"))
     left = stage(pairs_by_differences(apart.where("token is not null"), roots, percent), "left")
-    more = stage(verify(left, texts, width, percent), "last-links")
-    roots = stage(components(links.unionByName(more)), "roots")
+    roots = tie(roots, stage(verify(left, texts, width, percent), "last-links"))
 
     final = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "low", "first", F.coalesce("root", "cid").alias("root"))
     final = stage(final, "final")

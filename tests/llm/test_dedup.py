@@ -183,6 +183,36 @@ def test_components_of_long_paths(spark):
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys([-5, *range(1000, 1100)], -5)}
 
 
+def test_more_links_go_through_rounds_alone(spark, monkeypatch):
+    """Links that come later give the same components; rounds see those between components
+    only, and stars need no second one."""
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    parts = [spark.createDataFrame(p, "a bigint, b bigint") for p in (links[:150], links[150:250], links[250:], links[:150], [(900, 901), (7, 7)])]
+    seen = []
+
+    def watched(df, name):
+        out = stage(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    stage = components.stage
+    monkeypatch.setattr(components, "stage", watched)
+    roots = components.components(parts[0])
+    for part in parts[1:3]:
+        roots = components.tie(roots, part)
+    seen.clear()
+    roots = components.tie(roots, parts[3])
+    assert all(n == 0 for name, n in seen if name in ("links", "between"))
+    roots = components.tie(roots, parts[4])
+    everything = spark.createDataFrame([*links, (900, 901)], "a bigint, b bigint")
+    assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, components.components(everything).collect()))
+    seen.clear()
+    stars = spark.createDataFrame([(1, i) for i in range(2, 90)], "a bigint, b bigint")
+    assert {r.root for r in components.components(stars).collect()} == {1}
+    assert [name for name, _ in seen] == ["links"]
+
+
 def brute_cut(rows, length=50):
     first = {}
     for doc_id, text in rows:

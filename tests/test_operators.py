@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from citeloom.operators import models
 from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_column, run_with_retries, support_score, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
 from citeloom.operators.pivots import _choose, _lay, group_topics, grouped_topk
@@ -266,6 +268,20 @@ def test_encoder():
     assert np.array_equal(small.encode(texts), HashingEncoder().encode(texts))
 
 
+def test_encoder_memory_is_that_of_a_slice():
+    """A large batch of words that are all different takes a few megabytes; the sums are the same."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(2000)]
+    models._token_slot.cache_clear()
+    tracemalloc.start()
+    got = HashingEncoder(64).encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    whole = HashingEncoder(64)
+    whole.slice_chars = 1 << 40
+    assert (got == whole.encode(texts)).all()
+
+
 def test_embed_drops_and_reports(spark):
     df = spark.createDataFrame([(1, "some words"), (2, "  \n"), (3, "more words")], "id int, text string")
     assert {r["id"] for r in topic_embed(df, "text").collect()} == {1, 3}

@@ -55,6 +55,9 @@ FREQUENT_SHARE = 100
 FREQUENT_LEAST = 20
 SALTS = 64
 
+#: Texts whose tokens or marks a task holds at a time.
+SLICE = 200
+
 #: Tokens of one task when their frequencies are counted.
 TASK_TOKENS = 1_000_000
 
@@ -95,6 +98,12 @@ def signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def read_sets(df: DataFrame, width: int) -> DataFrame:
     """A row for each text (doc_id, said, n, cid), and rows (token, hits) of tokens that
     are frequent in an Arrow batch; staged. ``said`` hashes the text."""
@@ -133,7 +142,7 @@ def prefix_candidates(df: DataFrame, width: int, percent: int, frequent: np.ndar
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for tokens in shingle_sets(batch.column(2).to_pylist(), width):
                 n = len(tokens)
@@ -499,7 +508,7 @@ def shared_marks(texts: DataFrame, width: int, percent: int, partitions: int) ->
     only the rarest that ``room`` leaves: marks that no other class has come first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = batch.column(0).to_numpy()
             which, marks, level, room = marks_of(shingle_sets(batch.column(1).to_pylist(), width), percent)
             yield pa.RecordBatch.from_arrays([pa.array(signed(marks)), pa.array(ids[which]), pa.array(level), pa.array(room)], names=["mark", "cid", "level", "room"])

@@ -15,8 +15,9 @@ _PLACES = _RNG.integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
 # Lower case for A-Z; the six white-space bytes become one.
 _FOLD = bytes(32 if b in b" \t\n\r\x0b\f" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Bytes hashed at a time; a longer stretch without white space is hashed alone.
-BLOCK = 1 << 20
+#: Bytes hashed at a time, in arrays of eight bytes for each; a longer stretch without white
+#: space is hashed alone.
+BLOCK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -176,6 +177,18 @@ def test_shingle_sets_follow_the_words(monkeypatch):
         assert np.array_equal(a, b) and len(a) == len(s)
 
 
+def test_shingles_of_a_batch_take_the_memory_of_a_block():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(1000)]
+    shingles.word_hashes(texts[:1])
+    tracemalloc.start()
+    got = shingles.word_hashes(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [len(h) for h in got] == [400] * 1000
+    assert peak - kept < 10_000_000
+
+
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1100)] + [(-5, 1050), (7, 7), (3, 2)]
     df = spark.createDataFrame(links, "a bigint, b bigint")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -30,6 +30,9 @@ OVERLAP_CHARS = 512
 #: ("'r" is a contraction only before "e").
 LOOK_AHEAD = 3
 
+#: Bytes of ids that one batch of short texts holds.
+IDS_BYTES = 1 << 20
+
 
 class Vocabulary:
     """Ranks of a tiktoken file and the pattern that splits text before the merges.
@@ -153,6 +156,7 @@ def encode_texts(
     text: str = "text",
     chunk: int = CHUNK_CHARS,
     overlap: int = OVERLAP_CHARS,
+    use: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ids of every whole text, as rows (doc_id, key, no, ids).
 
@@ -162,6 +166,10 @@ def encode_texts(
     partitions that hold whole texts. A null text counts as empty and has one row without
     ids; rows with equal id and text each have their own rows; other columns are not
     read; an empty table gives two empty ones.
+
+    With ``use``, a function of batches of these rows and the columns of what it gives, the
+    tables are what it makes of the ids. It takes short texts in the process that encodes
+    them: two processes a task would each hold the vocabulary's tables.
     """
     said = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(said, F.length(said)).alias("key"), said.alias("text"))
@@ -170,7 +178,7 @@ def encode_texts(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((d, k, 0, encode_piece(t, vocabulary).tobytes()) for d, k, t in rows_of(batches, "doc_id", "key", "text"))
-        yield from batches_of(found, IDS, weight=lambda r: len(r[3]))
+        yield from batches_of(found, IDS, weight=lambda r: len(r[3]), most=IDS_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((d, k, *c) for d, k, t in rows_of(batches, "doc_id", "key", "text") for c in split_chunks(t, chunk, overlap))
@@ -209,14 +217,15 @@ def encode_texts(
     chunks = long.mapInArrow(cut, CHUNKS_DDL).repartition("doc_id", "key", "no").mapInArrow(pretokenise, CHUNKS_DDL + ", marks binary")
     pieces = chunks.repartition(*by_text).sortWithinPartitions("doc_id", "key", "no").mapInArrow(join, "doc_id bigint, key bigint, no bigint, text string")
     encoded = pieces.repartition("doc_id", "key", "no").mapInArrow(encode, IDS_DDL)
-    return short.mapInArrow(whole, IDS_DDL), encoded.repartition(*by_text).sortWithinPartitions("doc_id", "key", "no")
-
+    by_piece = encoded.repartition(*by_text).sortWithinPartitions("doc_id", "key", "no")
+    if use is None:
+        return short.mapInArrow(whole, IDS_DDL), by_piece
+    work, columns = use
+    return short.mapInArrow(lambda batches: work(whole(batches)), columns), by_piece.mapInArrow(work, columns)
 
-def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per text: number of ids, digest of the ids, digest of the bytes they decode to.
 
-    ``encoded`` is one of the two tables of ``encode_texts``; its rows are streamed.
-    """
+def digest_batches(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``digests`` does with the batches of a partition."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.encoding()
@@ -233,7 +242,15 @@ def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         yield from batches_of(found(), DIGESTS)
 
-    return encoded.mapInArrow(digest, DIGESTS_DDL)
+    return digest
+
+
+def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Per text: number of ids, digest of the ids, digest of the bytes they decode to.
+
+    ``encoded`` is one of the two tables of ``encode_texts``; its rows are streamed.
+    """
+    return encoded.mapInArrow(digest_batches(vocabulary), DIGESTS_DDL)
 
 
 def decode_ids(ids: bytes, coder: tiktoken.Encoding) -> bytes:
@@ -243,5 +260,5 @@ def decode_ids(ids: bytes, coder: tiktoken.Encoding) -> bytes:
 
 def encoding_digests(df: DataFrame, vocabulary: Vocabulary, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; see ``encode_texts``."""
-    short, long = encode_texts(df, vocabulary, **options)
-    return digests(short, vocabulary).unionByName(digests(long, vocabulary))
+    short, long = encode_texts(df, vocabulary, use=(digest_batches(vocabulary), DIGESTS_DDL), **options)
+    return short.unionByName(long)

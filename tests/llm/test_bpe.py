@@ -54,3 +54,15 @@ def test_empty_table(spark):
 
 def test_very_long_run_of_letters():
     assert bpe.encode_piece("ab" * 200_000, VOCABULARY).size > 0
+
+
+def test_short_texts_take_one_python_process(spark):
+    """The vocabulary's tables are built once a task, not by the encoder and the decoder."""
+    df = spark.createDataFrame([(1, "one text", "x", 1), (2, "word " * 100, "x", 1)], DOCS)
+    plan = bpe.encoding_digests(df, VOCABULARY, chunk=64, overlap=8)._jdf.queryExecution().optimizedPlan().toString()
+    short = plan[: plan.index("RepartitionByExpression")]
+    assert short.count("MapInArrow") == 2, plan  # short texts, and the digests of the long ones
+    encoded = bpe.encode_texts(df, VOCABULARY, chunk=64, overlap=8)
+    assert sorted(map(tuple, bpe.digests(encoded[0], VOCABULARY).unionByName(bpe.digests(encoded[1], VOCABULARY)).collect())) == expected(
+        [(1, "one text"), (2, "word " * 100)]
+    )

@@ -283,3 +283,23 @@ def test_repeats_over_a_host_are_boilerplate(spark):
     assert text[9] == said + "\nalone on its host" and text[10] == said and text[12] == said
     assert text[13] == "one two three four five six seven" and text[14] == ""
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_open_parts_of_an_article_are_compared_over_the_host(spark):
+    """Only what other pages of the host have too goes; the rest of the article stays whole."""
+    notice = "<p>This site uses small files to count its many readers</p>"
+    again = "<p>A paragraph that each of these articles has in its own text</p>"
+
+    def page(i):
+        head = f"<div class='post-header'>{notice}<h1>Title {i} of its own</h1></div>"
+        return f"<article>{head}{again}<p>see <span class=search-term>word{i}</span> there</p><div class=ad-header>buy</div></article><p>x{i}</p>"
+
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(3)] + [(3, "http://b.org/", page(3)), (4, None, page(4))] * 2
+    rows += [(5, "http://a.org/5", "<div class=page-header><article>sure</article></div>"), (6, "http://c.org/", "<div class=search-box>free</div>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html_text.extract_pages(df).collect())
+    body = "A paragraph that each of these articles has in its own text"
+    said = "This site uses small files to count its many readers\n"
+    want = [(i, f"Title {i} of its own\n{body}\nsee word{i} there") for i in range(3)]
+    want += [(i, f"{said}Title {i} of its own\n{body}\nsee word{i} there") for i in (3, 4)] * 2
+    assert got == sorted([*want, (5, "sure"), (6, "free")])

@@ -303,3 +303,34 @@ def test_open_parts_of_an_article_are_compared_over_the_host(spark):
     want = [(i, f"Title {i} of its own\n{body}\nsee word{i} there") for i in range(3)]
     want += [(i, f"{said}Title {i} of its own\n{body}\nsee word{i} there") for i in (3, 4)] * 2
     assert got == sorted([*want, (5, "sure"), (6, "free")])
+
+
+def covered_by_hand(pages, shared):
+    """By page, the places in its stream that lie under tokens which another page has in a row too."""
+    streams = {i: html_text.streamed(list(html_text.page_blocks(page)))[2] for i, page in pages.items()}
+    runs = {i: [tuple(s[at : at + shared]) for at in range(len(s) - shared + 1)] for i, s in streams.items()}
+    return {i: [at for at, run in enumerate(own) if any(run in runs[j] for j in runs if j != i)] for i, own in runs.items()}
+
+
+@pytest.mark.parametrize("asked_rows", [0, 1000])
+def test_article_text_is_in_the_streams(spark, asked_rows):
+    """A free or open block that repeats the article of another page is no text of its own."""
+    told = "The harbour was closed for nine days by ice and wind"
+    article = f"<nav>Home News Contact</nav><article><p>{told}</p><p>more of it</p></article>"
+    askers = {
+        1: (f"<p>{told}</p><p>list one</p>", "list one"),
+        2: (f"<article><div class=search-term>{told}</div><p>another matter</p></article>", "another matter"),
+        3: (f"<article><div class=post-header>{told} after all</div><p>a third</p></article>", f"{told} after all\na third"),
+        4: ("<article><p>more words than six that only this one has</p></article>", "more words than six that only this one has"),
+    }
+    # A host for each, with the article on another page, and one without it.
+    rows = [(10 + i, f"http://{i}.org/", article) for i in askers] + [(i, f"http://{i}.org/{i}", page) for i, (page, _) in askers.items()]
+    rows += [(5, "http://alone.org/", askers[1][0])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_pages(df, asked_rows=asked_rows).collect()}
+    want = {i: text for i, (_, text) in askers.items()} | {10 + i: f"{told}\nmore of it" for i in askers}
+    assert got == want | {5: f"{told}\nlist one"}
+    for i, (page, _) in askers.items():
+        free, starts, _ = html_text.streamed(list(html_text.page_blocks(page)))
+        covered = covered_by_hand({0: article, i: page}, html_text.SHARED_TOKENS)[i]
+        assert got[i] == html_text.unique_runs(free, starts, covered, html_text.SHARED_TOKENS)

@@ -109,6 +109,21 @@ def _first_groups(near: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return first & (sizes > 0)
 
 
+def visited_share(groups: TopicGroups, claims: DataFrame, k: int, sample: int = 512) -> float:
+    """Estimate, from some claims, of the share of topics that claims look at by groups. What a
+    claim has to beat is guessed as if the topics of a group were where its pivot is."""
+    local = claims.select("claim_id", F.col("vector").cast("array<float>").alias("vector")).orderBy(F.xxhash64("claim_id"), "claim_id").limit(sample).toArrow()
+    if not local.num_rows or not groups.sizes.sum():
+        return 0.0
+    vectors = _matrix(local)
+    if vectors.shape[1] != groups.pivots.shape[1]:
+        raise ValueError("claims and topics differ in vector size")
+    near = vectors @ groups.pivots.T
+    floor = np.maximum(0, np.where(_first_groups(near, groups.sizes, k), near, np.inf).min(axis=1))
+    visited = near + groups.radius + MARGIN >= floor[:, None]
+    return float((visited * groups.sizes).sum() / (len(vectors) * groups.sizes.sum()))
+
+
 @dataclass
 class Cells:
     """By group: its first cell and its number of cells."""

@@ -3,10 +3,11 @@
 The topics table is the large side. While the claims are small (``BROADCAST_BYTES``,
 counted first) they go to the tasks as one broadcast matrix, and the topics are read once,
 where they lie: each task keeps the best ``k`` topics per claim of its own partition, so at
-most ``k`` rows per claim and task leave it. Beyond that the nearest topics are found by
-groups around pivots, most of which a claim can leave out (``operators.pivots``), and
-figures over all topics by a grid of cells of bounded size. No (claim, topic) pair is
-written out that is not among a task's best.
+most ``k`` rows per claim and task leave it. Beyond that topics are grouped around pivots; where
+claims can leave most groups out, the nearest are found by them (``operators.pivots``), and where
+they cannot, the claims are broadcast in rounds, up to ``MOST_ROUNDS``. Figures over all topics
+go by a grid of cells of bounded size. No (claim, topic) pair is written out that is not among a
+task's best.
 
 The best are looked for in single precision: a product that is below the claim's k-th best so
 far by more than the rounding of such a sum cannot be among them. What is left, a few pairs
@@ -39,8 +40,19 @@ CELL_ROWS, CELL_BYTES, LEAST_CELL_ROWS = 100_000, 64 << 20, 1024
 # equal vectors tie wherever they lie in a block. Ties go to the lower topic id.
 SIM_DECIMALS = 9
 
-# Sizes of one matrix product inside a task.
-CLAIM_ROWS, FIRST_ROWS, TOPIC_ROWS, PAIR_ROWS = 1024, 512, 4096, 1 << 16
+# Broadcasts of claims for one search, at most: each passes the driver once and stays there.
+MOST_ROUNDS = 8
+
+# Many claims are broadcast in parts of this many at least, until there are so many tasks for a
+# core. A task that sees more topics knows sooner what is to beat, and fewer rows leave it, so
+# topics are then scanned in fewer partitions.
+PART_CLAIMS, TASKS_PER_CORE = 1 << 15, 4
+
+# Share of the (claim, topic) pairs up to which groups are worth the copies they make.
+GROUPS_PAY = 0.25
+
+# Sizes of one matrix product inside a task: a product of 4 MB, which its core's cache almost holds.
+CLAIM_ROWS, FIRST_ROWS, TOPIC_ROWS, PAIR_ROWS = 512, 512, 2048, 1 << 16
 
 MATCH_SCHEMA = "claim_id bigint, topic_id bigint, sim double"
 STATS_SCHEMA = "claim_id bigint, n_topics bigint, n_positive bigint, sim_sum double, sim_max double"
@@ -77,17 +89,26 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def best_per_claim(claim: np.ndarray, topic: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best rows of each claim, in order; lastly which of them are a ``k``-th."""
+    """The ``k`` best rows of each claim, in order; lastly their ranks, from 0."""
     order = np.lexsort((topic, -sim, claim))
     claim, topic, sim = claim[order], topic[order], sim[order]
     starts = np.flatnonzero(np.r_[True, claim[1:] != claim[:-1]]) if len(claim) else np.empty(0, np.int64)
     rank = np.arange(len(claim)) - np.repeat(starts, np.diff(np.r_[starts, len(claim)]))
     keep = rank < k
-    return claim[keep], topic[keep], sim[keep], rank[keep] == k - 1
+    return claim[keep], topic[keep], sim[keep], rank[keep]
+
+
+# Factors of the sum that tells vectors apart.
+_ODD = np.random.default_rng(0).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def first_copies(topics: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Topics without those that ``k`` equal ones of lower id come before, whatever the claim."""
+    # Equal vectors have equal sums of their bits, so most parts are known to have no copies.
+    bits = np.ascontiguousarray(topics).view(np.uint32).astype(np.uint64)
+    sums = np.sort(bits @ _ODD[: bits.shape[1]]) if bits.shape[1] <= len(_ODD) else np.zeros(len(bits))
+    if len(sums) <= k or not (sums[k:] == sums[:-k]).any():
+        return topics, ids
     _, group = np.unique(topics, axis=0, return_inverse=True)
     order = np.lexsort((ids, group))
     group = group[order]
@@ -107,8 +128,9 @@ class TopicsPerClaim:
     def __init__(self, claim_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.claim_ids, self.k = claim_ids, k
         self.floor = np.zeros(len(claim_ids)) if floor is None else floor.copy()
-        # Per claim block: claim number, topic id, similarity.
-        self.best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        # Per claim, best first; a similarity of zero is a place not taken.
+        self.topics, self.sims = np.zeros((len(claim_ids), k), np.int64), np.zeros((len(claim_ids), k))
+        self.product = np.empty(CLAIM_ROWS * TOPIC_ROWS, np.float32)
 
     def scan(self, claims: np.ndarray, ids: np.ndarray, topics: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Topics against all claims, or against those in ``rows`` (their numbers, ascending)."""
@@ -118,45 +140,47 @@ class TopicsPerClaim:
         starts = [*range(0, len(topics), TOPIC_ROWS)] if self.floor.all() else [0, *range(FIRST_ROWS, len(topics), TOPIC_ROWS)]
         for t, end in zip(starts, [*starts[1:], len(topics)]):
             part, part_ids = first_copies(topics[t:end], ids[t:end], self.k)
-            if rows is None:
-                for c in range(0, len(claims), CLAIM_ROWS):
-                    self._add(c, slice(c, c + CLAIM_ROWS), claims, part, part_ids, slack)
-            else:
-                for block in np.split(rows, np.flatnonzero(np.diff(rows // CLAIM_ROWS)) + 1):
-                    if len(block):
-                        self._add(int(block[0]) // CLAIM_ROWS * CLAIM_ROWS, block, claims, part, part_ids, slack)
-
-    def _add(self, first: int, rows: slice | np.ndarray, claims: np.ndarray, topics: np.ndarray, ids: np.ndarray, slack: np.float32) -> None:
+            for c in range(0, len(claims) if rows is None else len(rows), CLAIM_ROWS):
+                block = slice(c, c + CLAIM_ROWS)
+                self._add(block if rows is None else rows[block], claims, part, part_ids, slack)
+
+    def _add(self, rows: slice | np.ndarray, claims: np.ndarray, topics: np.ndarray, ids: np.ndarray, slack: np.float32) -> None:
         own = claims[rows]
-        rough = own @ topics.T
+        rough = np.matmul(own, topics.T, out=self.product[: len(own) * len(topics)].reshape(len(own), len(topics)))
         floor = self.floor[rows].copy()
         new = np.flatnonzero(floor == 0)
         if len(new) and rough.shape[1] >= self.k:
             # Nothing to beat yet: these topics alone say what is worth a closer look.
             known = np.nan_to_num(rough[new], copy=False, nan=-np.inf)
             floor[new] = np.maximum(0, np.partition(known, -self.k, axis=1)[:, -self.k] - slack)
-        row, col = np.divmod(np.flatnonzero(rough >= (floor.astype(np.float32) - slack)[:, None]), rough.shape[1])
+        floor = floor.astype(np.float32) - slack
+        # Most claims have nothing here, which their maximum tells; that of a row with a NaN does not.
+        near = np.flatnonzero(~(rough.max(axis=1, initial=-np.inf) < floor))
+        row, col = np.divmod(np.flatnonzero(rough[near] >= floor[near, None]), max(1, rough.shape[1]))
+        row = near[row]
         sim = np.empty(len(row))
         for at in range(0, len(row), PAIR_ROWS):
             left, right = own[row[at : at + PAIR_ROWS]], topics[col[at : at + PAIR_ROWS]]
             sim[at : at + PAIR_ROWS] = np.einsum("ij,ij->i", left.astype(np.float64), right.astype(np.float64))
         np.round(sim, SIM_DECIMALS, out=sim)
-        claim = row + first if isinstance(rows, slice) else rows[row]
+        claim = row + rows.start if isinstance(rows, slice) else rows[row]
         found = (sim >= self.floor[claim]) & (sim > 0)
         if not found.any():
             return
         claim, topic, sim = claim[found], ids[col[found]], sim[found]
-        if first in self.best:
-            claim, topic, sim = (np.concatenate(pair) for pair in zip(self.best[first], (claim, topic, sim)))
-        claim, topic, sim, last = best_per_claim(claim, topic, sim, self.k)
-        self.best[first] = (claim, topic, sim)
+        # Only claims with something new are ranked again.
+        changed = np.unique(claim)
+        held, place = np.nonzero(self.sims[changed])
+        held = changed[held]
+        known = (held, self.topics[held, place], self.sims[held, place])
+        claim, topic, sim, rank = best_per_claim(*(np.concatenate(pair) for pair in zip(known, (claim, topic, sim))), self.k)
+        self.topics[claim, rank], self.sims[claim, rank] = topic, sim
+        last = rank == self.k - 1
         self.floor[claim[last]] = np.maximum(self.floor[claim[last]], sim[last])
 
     def result(self) -> list[np.ndarray]:
-        if not self.best:
-            return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        claim, topic, sim = (np.concatenate(parts) for parts in zip(*self.best.values()))
-        return [self.claim_ids[claim], topic, sim]
+        claim, place = np.nonzero(self.sims)
+        return [self.claim_ids[claim], self.topics[claim, place], self.sims[claim, place]]
 
 
 class StatsPerClaim:
@@ -245,16 +269,20 @@ def _topics(topics: DataFrame) -> DataFrame:
     return topics.where("vector is not null").select("topic_id", F.col("vector").cast("array<float>").alias("vector"))
 
 
-def _scan_all(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str) -> DataFrame:
-    """Per-task results of ``reducer``; the claims are a broadcast matrix, checked before."""
-    local = claims.toArrow()
-    matrix = to_singles(local.column("vector")) if local.num_rows else np.empty((0, 0), np.float32)
-    shared = topics.sparkSession.sparkContext.broadcast((np.asarray(local.column("claim_id")), matrix))
-
-    def scan(batches):
-        return _scan_topics(batches, shared, reducer)
-
-    return topics.mapInArrow(scan, schema)
+def _scan_all(claims: DataFrame, topics: DataFrame, reducer: Callable, schema: str, rounds: int = 1, parts: int = 1) -> DataFrame:
+    """Per-task results of ``reducer``; the claims are a broadcast matrix, checked before. They are
+    collected in ``rounds``, and each round is broadcast in ``parts``."""
+    found = None
+    for number in range(rounds):
+        mine = claims if rounds == 1 else claims.where(F.pmod(F.xxhash64("claim_id", "vector"), F.lit(rounds)) == number)
+        local = mine.toArrow()
+        ids, matrix = np.asarray(local.column("claim_id")), to_singles(local.column("vector")) if local.num_rows else np.empty((0, 0), np.float32)
+        cuts = np.linspace(0, len(ids), parts + 1).astype(int)
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            shared = topics.sparkSession.sparkContext.broadcast((ids[start:end], matrix[start:end]))
+            part = topics.mapInArrow(partial(_scan_topics, claims=shared, reducer=reducer), schema)
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def rows_of_cell(n: int, size: int, cores: int, most: int = CELL_ROWS) -> int:
@@ -290,16 +318,27 @@ def topk_topics(
     """The ``k`` nearest topics per claim with positive similarity.
 
     ``claims``: ``claim_id bigint, vector``; ``topics``: ``topic_id bigint, vector``.
-    Returns ``claim_id, topic_id, sim, rank`` (from 1). More claims than can be broadcast are
-    looked up in groups of topics; give staged tables then, as they are read several times.
+    Returns ``claim_id, topic_id, sim, rank`` (from 1). For more claims than can be broadcast at
+    once topics are grouped, and a sample of the claims tells whether groups are looked up or
+    the claims broadcast in rounds, with the same result; give staged tables then, as they are
+    read several times.
     """
     # Groups reduce what this module computes, so they import it.
-    from citeloom.operators.pivots import group_topics, grouped_topk
+    from citeloom.operators.pivots import group_topics, grouped_topk, visited_share
 
-    _, numbers = _claim_numbers(claims)
-    if numbers * 8 > broadcast_bytes:
-        return grouped_topk(claims, group_topics(topics), k).matches
-    partial_best = _scan_all(_claims(claims), _topics(topics), partial(TopicsPerClaim, k=k), MATCH_SCHEMA)
+    n_claims, numbers = _claim_numbers(claims)
+    rounds = max(1, -(-numbers * 8 // broadcast_bytes))
+    if rounds > 1:
+        groups = group_topics(topics)
+        if rounds > MOST_ROUNDS or visited_share(groups, claims, k) <= GROUPS_PAY:
+            return grouped_topk(claims, groups, k).matches
+        topics = groups.topics
+    parts, vectors = 1, _topics(topics)
+    if n_claims >= 2 * rounds * PART_CLAIMS:
+        tasks = TASKS_PER_CORE * claims.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, min(tasks, n_claims // PART_CLAIMS) // rounds)
+        vectors = vectors.coalesce(-(-tasks // (rounds * parts)))
+    partial_best = _scan_all(_claims(claims), vectors, partial(TopicsPerClaim, k=k), MATCH_SCHEMA, rounds, parts)
     order = Window.partitionBy("claim_id").orderBy(F.desc("sim"), "topic_id")
     return partial_best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

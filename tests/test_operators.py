@@ -9,10 +9,10 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from citeloom.operators import models
+from citeloom.operators import models, similarity
 from citeloom.operators.models import HashingEncoder, OverlapScorer, embed_column, run_with_retries, support_score, topic_embed
 from citeloom.operators.ordered import assign_ids, read_with_ids, with_next, with_running_total
-from citeloom.operators.pivots import _choose, _lay, group_topics, grouped_topk
+from citeloom.operators.pivots import _choose, _lay, group_topics, grouped_topk, visited_share
 from citeloom.operators.quality import check_citation_fk, check_types, check_unique_name
 from citeloom.operators.similarity import TopicsPerClaim, claim_topic_sim, topk_topics
 from citeloom.operators.skew import salted_join
@@ -71,6 +71,51 @@ def test_groups_skip_and_agree_with_the_scan(spark):
     assert visits[0] < 0.5 * visits[1]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_claims_are_grouped_only_where_groups_are_left_out(spark, monkeypatch):
+    """More claims than one broadcast takes: in rounds where every group would be looked at, and
+    never in more than ``MOST_ROUNDS``; the rows of brute force either way, with many parts."""
+    monkeypatch.setattr(similarity, "PART_CLAIMS", 10)
+    rng = np.random.default_rng(11)
+    claims, topics = unit(rng, 100, 32), unit(rng, 400, 32)
+    centres = unit(rng, 6, 32)
+    near = centres[rng.integers(0, 6, 400)] + rng.normal(scale=0.02, size=(400, 32))
+    clustered = (near / np.linalg.norm(near, axis=1, keepdims=True)).astype(np.float32)
+    claims[:5], clustered[10:20] = topics[:5], clustered[9]
+    for which, own, limit, grouped in ((topics, claims, 12_000, False), (clustered, clustered[:100], 12_000, True), (topics, claims, 2_000, True)):
+        c, t = vectors(spark, range(100), own, "claim_id"), vectors(spark, range(400), which, "topic_id")
+        share = visited_share(group_topics(t), c, 5)
+        assert share < 0.2 if which is clustered else share > 0.8
+        found = topk_topics(c, t, 5, limit)
+        assert ("CoGroups" in plan_of(found)) == grouped
+        sims = np.round(own.astype(float) @ which.astype(float).T, 9)
+        want = [(i, int(j), n + 1) for i in range(100) for n, j in enumerate(np.lexsort((range(400), -sims[i]))[:5]) if sims[i][j] > 0]
+        assert sorted((r.claim_id, r.topic_id, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_many_claims_are_broadcast_in_parts(spark, monkeypatch):
+    """A partition of topics is no bound for the tasks, and a claim gets its best from few of them."""
+    monkeypatch.setattr(similarity, "PART_CLAIMS", 20)
+    rng = np.random.default_rng(12)
+    claims, topics = unit(rng, 200), unit(rng, 300)
+    scanned = []
+    scan = similarity._scan_all
+
+    def spied(*args):
+        scanned.append(scan(*args))
+        return scanned[-1]
+
+    monkeypatch.setattr(similarity, "_scan_all", spied)
+    c, t = vectors(spark, range(200), claims, "claim_id"), vectors(spark, range(300), topics, "topic_id")
+    found = topk_topics(c, t.coalesce(1), 5)
+    assert plan_of(scanned[0]).count("MapInArrow") == 10 and found.count() == 1000
+    assert topk_topics(c, t.repartition(30), 5).count() == 1000
+    assert scanned[1].groupBy("claim_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 5 * 2
+
+
 def test_grid_cells_do_not_go_by_the_broadcast_limit(spark):
     """A low limit for broadcasts chooses the grid; it must not copy the topics to a cell for
     every few claims."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import In
 
 from citeloom.checks.inputs import document_markup, page_xml, write_dump_files
+from citeloom.operators import similarity
 from citeloom.operators.models import HashingEncoder, OverlapScorer
 from citeloom.operators.support import prune_to_topics
 from citeloom.plans.classify import classify_claims
@@ -36,7 +37,7 @@ from citeloom.sources.register import claims, reserve
 from citeloom.sources.scores import scores_load
 from citeloom.sources.stores import append_topics, citations_load, citations_write, topics_load, topics_write
 from citeloom.sources.upkeep import merge_runs, run_sizes, vacuum
-from citeloom.streaming.jobs import stream_claims, stream_ingest
+from citeloom.streaming.jobs import stream_claims, stream_classify, stream_ingest
 
 WORDS = "river stone cloud maple engine harbor winter copper lantern meadow".split()
 
@@ -342,6 +343,29 @@ def test_streams_equal_batches(spark, store):
     assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == sorted(map(tuple, batch))
 
 
+def test_stream_of_many_claims_equals_a_batch(spark, store, monkeypatch):
+    """Batches below the limit of a broadcast go to the topics in parts; the answers are the same."""
+    topics, citations = topics_load(spark, store), citations_load(spark, store)
+    claims = spark.createDataFrame([(i * 100 + c, text) for i in range(4) for c, text in CLAIMS], "claim_id bigint, text string")
+    want = sorted(map(tuple, classify_claims(claims, topics, citations).collect()))
+    monkeypatch.setattr(similarity, "PART_CLAIMS", 1)
+    source, out, parts = scratch_path(spark, "claims"), scratch_path(spark, "answers"), []
+    scan = similarity._scan_all
+
+    def spied(*args):
+        found = scan(*args)
+        parts.append(found._jdf.queryExecution().analyzed().toString().count("MapInArrow"))
+        return found
+
+    monkeypatch.setattr(similarity, "_scan_all", spied)
+    claims.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_classify(stream, topics, citations, out, scratch_path(spark, "position")).awaitTermination()
+    got = spark.read.parquet(out).select(classify_claims(claims, topics, citations).columns)
+    assert want and sorted(map(tuple, got.collect())) == want
+    assert len(parts) == 3 and min(parts) > 1
+
+
 def test_stream_ingest_equals_batch(spark, store):
     folder = scratch_path(spark, "dumps")
     for part in range(3):

@@ -1,13 +1,13 @@
 """Claims against topics: cosine similarity and the best topics per claim.
 
 The topics table is the large side. While the claims are small (``BROADCAST_BYTES``,
-counted first) they go to the tasks as one broadcast matrix, and the topics are read once,
-where they lie: each task keeps the best ``k`` topics per claim of its own partition, so at
-most ``k`` rows per claim and task leave it. Beyond that topics are grouped around pivots; where
-claims can leave most groups out, the nearest are found by them (``operators.pivots``), and where
-they cannot, the claims are broadcast in rounds, up to ``MOST_ROUNDS``. Figures over all topics
-go by a grid of cells of bounded size. No (claim, topic) pair is written out that is not among a
-task's best.
+counted first) they go to the tasks as one broadcast matrix, in parts if they are many, and
+the topics are read once for each part, where they lie: each task keeps the best ``k`` topics
+per claim of its own partition, so at most ``k`` rows per claim and task leave it. Beyond that
+topics are grouped around pivots; where claims can leave most groups out, the nearest are found
+by them (``operators.pivots``), and where they cannot, the claims are broadcast in rounds, up to
+``MOST_ROUNDS``. Figures over all topics go by a grid of cells of bounded size. No (claim,
+topic) pair is written out that is not among a task's best.
 
 The best are looked for in single precision: a product that is below the claim's k-th best so
 far by more than the rounding of such a sum cannot be among them. What is left, a few pairs
@@ -321,13 +321,13 @@ def topk_topics(
     Returns ``claim_id, topic_id, sim, rank`` (from 1). For more claims than can be broadcast at
     once topics are grouped, and a sample of the claims tells whether groups are looked up or
     the claims broadcast in rounds, with the same result; give staged tables then, as they are
-    read several times.
+    read several times. So are the topics of many claims, once for each part of these.
     """
     # Groups reduce what this module computes, so they import it.
     from citeloom.operators.pivots import group_topics, grouped_topk, visited_share
 
     n_claims, numbers = _claim_numbers(claims)
-    rounds = max(1, -(-numbers * 8 // broadcast_bytes))
+    rounds = max(1, -(-numbers * 8 // max(1, broadcast_bytes)))
     if rounds > 1:
         groups = group_topics(topics)
         if rounds > MOST_ROUNDS or visited_share(groups, claims, k) <= GROUPS_PAY:
